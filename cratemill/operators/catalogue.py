@@ -80,7 +80,7 @@ def quota_block(ordered: DataFrame, places: int, per_artist: int, vinyl_share: f
     capped = kind.withColumn("arn", F.row_number().over(Window.partitionBy("aid").orderBy("ord"))).where(F.col("arn") <= per_artist)
     quota = {True: vinyl_places, False: places - vinyl_places}
     first = [capped.where(F.col("is_vinyl") == F.lit(v)).orderBy("ord").limit(n) for v, n in quota.items()]
-    full_at = [d.agg(F.when(F.count(F.lit(1)) >= n, F.max("ord")).alias("at")) for d, n in zip(first, quota.values())]
+    full_at = [d.agg(F.when(F.count(F.lit(1)) >= n, F.coalesce(F.max("ord"), F.lit(0))).alias("at")) for d, n in zip(first, quota.values())]
     ends = full_at[0].select(F.col("at").alias("v")).crossJoin(full_at[1].select(F.col("at").alias("n")))  # one row
     row = ends.first()
     known = [(row["v"], True), (row["n"], False)]
