@@ -83,7 +83,8 @@ def repeats(docs: DataFrame, run: int = 3) -> DataFrame:
     twice = common.materialize(counted, "repeated")
     again = common.materialize(runs(docs, run, KeyFilter.of(twice, "a", 26)), "runs")
     first = again.groupBy("a", "b").agg(F.min(F.struct("doc_id", "tag", "at")).alias("first"))
-    first = first.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "first")
+    # written out, so that the join below starts from plain shuffles and a very common run is split over tasks
+    first = common.materialize(first.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "first"), "firsts")
     paired = again.join(first, (again["a"] == first["fa"]) & (again["b"] == first["fb"]))
     later = paired.where(~common.same(F.col("doc_id"), F.col("first.doc_id")) | (F.col("tag") != F.col("first.tag")) | (F.col("at") != F.col("first.at")))
     return later.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("at"), F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"))
