@@ -22,6 +22,10 @@ _STATE = {
     # many small state stores: no disk is set aside beforehand, and a commit ships changes instead of whole files
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # an executor's stores share one bounded memory, and a store is closed once its batch is committed
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are scanned in groups of rows of about this many bytes (a longer single text is a group of its own).
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 #: Inside a group, prefix sums restart after about this many bytes, at a byte between two words.
 BLOCK_BYTES = 1 << 20
 
