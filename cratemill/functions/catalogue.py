@@ -10,6 +10,18 @@ LABELS = "array<struct<id:string,name:string,catno:string>>"
 FORMATS = "array<struct<name:string,qty:string,descriptions:array<string>>>"
 #: Fixed value: the catalogue's id of the collective artist Various.
 VARIOUS_ID = "194"
+#: Patterns that tell the kind of medium in lower-case format text.
+MEDIUM = {
+    "is_lp": r"\blp\b",
+    "is_7inch": r'7\s*"|\b7\s*inch\b',
+    "is_10inch": r'10\s*"|\b10\s*inch\b',
+    "is_12inch": r'1\s*2\s*"|\b12\s*inch\b',
+    "is_cd": r"\bcd\b|compact disc",
+}
+#: Patterns of boxes and of several discs.
+BOX, SEVERAL = "box set", r"\b[2-9]\s*x\s*vinyl\b|(double|triple) vinyl|quad.*vinyl|vinyl.*quad"
+#: Words of format text that tell special pressings.
+PRESSINGS = {"is_colored_vinyl": ("colored", "coloured", "color vinyl"), "is_picture_disc": ("picture disc", "pic disc"), "is_promo": ("promo", "white label")}
 
 
 def artists(json: Column) -> Column:
@@ -100,8 +112,7 @@ def queue_filter() -> Column:
 
 def text_flags(desc: Column) -> dict[str, Column]:
     t = _low(desc)
-    has = lambda *words: F.rlike(t, F.lit("|".join(words))).cast("int")
-    return {"is_colored_vinyl": has("colored", "coloured", "color vinyl"), "is_picture_disc": has("picture disc", "pic disc"), "is_promo": has("promo", "white label")}
+    return {name: F.rlike(t, F.lit("|".join(words))).cast("int") for name, words in PRESSINGS.items()}
 
 
 def is_original(json: Column, desc: Column) -> Column:
@@ -116,9 +127,8 @@ def medium_flags(json: Column, desc: Column) -> dict[str, Column]:
     t = F.lower(F.concat(F.array_join(parts, " "), F.lit(" "), F.coalesce(desc, F.lit(""))))
     has = lambda pattern: F.rlike(t, F.lit(pattern))
     quantity = F.aggregate(formats(json), F.lit(0.0), lambda acc, f: acc + F.greatest(F.coalesce(F.floor(f["qty"].try_cast("double")), F.lit(0)), F.lit(0)))
-    box = has("box set")
-    several = has(r"\b[2-9]\s*x\s*vinyl\b|(double|triple) vinyl|quad.*vinyl|vinyl.*quad") | (quantity >= 2)
-    kinds = {"is_lp": has(r"\blp\b"), "is_7inch": has(r'7\s*"|\b7\s*inch\b'), "is_10inch": has(r'10\s*"|\b10\s*inch\b'), "is_12inch": has(r'1\s*2\s*"|\b12\s*inch\b'), "is_cd": has(r"\bcd\b|compact disc"), "is_box_set": box, "is_multi_disc": several & ~box}
+    box, several = has(BOX), has(SEVERAL) | (quantity >= 2)
+    kinds = {name: has(pattern) for name, pattern in MEDIUM.items()} | {"is_box_set": box, "is_multi_disc": several & ~box}
     family = F.when(box | several, 5).when(kinds["is_7inch"], 2).when(kinds["is_10inch"] | kinds["is_12inch"], 3).when(kinds["is_lp"], 4).when(kinds["is_cd"], 1).otherwise(0)
     return {k: v.cast("int") for k, v in kinds.items()} | {"format_family": family}
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What is cut out of seller comments (underlines, labels of links, URLs), and pictures.
+SELLER_NOISE = (r"_{3,}", r"(?i)\blinks:\s*", r"(?i)https?://\S+", r"(?i)\bwww\.\S+")
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]+"
 
 
@@ -45,7 +47,7 @@ def hits(t: Column, words: tuple[str, ...]) -> Column:
 
 def seller_text(t: Column) -> Column:
     """Underlines, links: labels, URLs and pictures out; spaces collapsed."""
-    for pattern in (r"_{3,}", r"(?i)\blinks:\s*", r"(?i)https?://\S+", r"(?i)\bwww\.\S+", EMOJI):
+    for pattern in (*SELLER_NOISE, EMOJI):
         t = F.regexp_replace(t, pattern, " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 

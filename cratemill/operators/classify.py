@@ -71,10 +71,11 @@ def hash_draw(key: Column, seed: int) -> Column:
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, per: int, n: int, seed: int) -> DataFrame:
     """n keys: `per` of every stratum first (round by round), then whatever comes next by hash."""
-    h = hash_draw(F.col(key), seed)
-    ranked = df.select(key, stratum, h.alias("h")).withColumn("rn", F.row_number().over(Window.partitionBy(stratum).orderBy("h", key)))
-    first = F.col("rn") <= per
-    return ranked.orderBy(F.when(first, 0).otherwise(1), F.when(first, F.col("rn")).otherwise(F.col("h")), key).limit(n).select(key)
+    drawn = df.select(key, stratum, hash_draw(F.col(key), seed).alias("h"))
+    first = drawn.withColumn("rn", F.row_number().over(Window.partitionBy(stratum).orderBy("h", key))).where(F.col("rn") <= per)
+    rest = drawn.join(first.select(key), key, "left_anti").orderBy("h", key).limit(n)
+    both = first.select(key, F.lit(0).alias("part"), F.col("rn").cast("long").alias("o")).unionByName(rest.select(key, F.lit(1).alias("part"), F.col("h").alias("o")))
+    return both.orderBy("part", "o", key).limit(n).select(key)
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:

@@ -56,10 +56,9 @@ def popularity(inter: DataFrame, albums: DataFrame) -> DataFrame:
 
 def leave_one_out(inter: DataFrame, seed: int) -> DataFrame:
     """inter with held_out: one interaction of every user who has two or more, drawn by a hash."""
-    w = Window.partitionBy("user_id")
     draw = F.abs((F.col("user_id").cast("long") * 7919 + F.col("album_id").cast("long") * 104729 + seed) % 2147483647)
-    ranked = inter.withColumn("rn", F.row_number().over(w.orderBy(draw, "album_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return ranked.withColumn("held_out", (F.col("rn") == 1) & (F.col("n") > 1)).drop("rn", "n")
+    first = inter.groupBy("user_id").agg(F.min_by("album_id", F.struct(draw.alias("d"), F.col("album_id"))).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    return inter.join(first, "user_id").withColumn("held_out", (F.col("album_id") == F.col("__first")) & (F.col("__n") > 1)).drop("__first", "__n")
 
 
 def text_key(c: Column) -> Column:

@@ -88,9 +88,12 @@ def water_fill(rows: DataFrame, outer: list[str], inner: list[str], cap: int, bu
 
 
 def stratified_split(rows: DataFrame, stratum: str, draw: str, key: str, train: float = 0.7, val: float = 0.15, rare: int = 5) -> DataFrame:
-    """split train/val/test by hash rank within the stratum; strata with fewer than `rare` rows are train."""
-    w = Window.partitionBy(stratum)
-    r = rows.withColumn("rn", F.row_number().over(w.orderBy(draw, key))).withColumn("n", F.count(F.lit(1)).over(w))
+    """split train/val/test by hash rank within the stratum; strata with fewer than `rare` rows are train.
+
+    A few strata hold all rows, so ranks are counted over range partitions.
+    """
+    n = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
+    r = global_rank(rows, [F.asc(stratum), F.asc(draw), F.asc(key)], within=[stratum], name="rn").join(n, stratum)
     split = F.when(F.col("n") < rare, "train").when(F.col("rn") <= F.round(F.col("n") * train), "train").when(F.col("rn") <= F.round(F.col("n") * (train + val)), "val").otherwise("test")
     return r.withColumn("split", split)
 

@@ -120,18 +120,18 @@ def _(s, d):
     return df.withColumns({"year": c("year").cast("int"), "decade": c("decade").cast("int")})
 
 
-_PAGE = """SELECT l_orderkey AS page_id, '<table><tr><th>Date</th></tr>' || concat_ws('', sort_array(collect_list('<tr><td>' || date_format(l_shipdate, 'yyyy-MM-dd') || '</td><td>' || l_returnflag || '</td><td>' || l_linestatus || '</td><td>$' || cast(cast(l_quantity as int) as string) || '</td></tr>' || CASE WHEN l_linenumber % 2 = 0 THEN '<tr><td>note ' || cast(l_partkey as string) || '</td></tr>' ELSE '' END))) || '</table>' AS html FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey"""
+_PAGE = """SELECT l_orderkey AS page_id, '<table><tr><th>Date</th></tr>' || concat_ws('', sort_array(collect_list('<tr><td>' || date_format(l_shipdate, 'yyyy-MM-dd') || '</td><td>' || l_returnflag || '</td><td>' || l_linestatus || '</td><td>$' || cast(cast(l_quantity as int) as string) || '</td></tr>' || CASE WHEN l_linenumber % 2 = 0 THEN '<tr><td>note ' || cast(l_partkey as string) || '</td></tr>' ELSE '' END))) || '</table>' AS html FROM lineitem GROUP BY l_orderkey"""
 
 
-@query("SRC14", "SELECT l_orderkey AS page_id, strftime(l_shipdate, '%Y-%m-%d') AS order_date, l_returnflag AS media_condition, l_linestatus AS sleeve_condition, '$' || CAST(CAST(l_quantity AS INT) AS STRING) AS price_text, CASE WHEN l_linenumber % 2 = 0 THEN 'note ' || CAST(l_partkey AS STRING) ELSE '' END AS comments FROM lineitem WHERE l_orderkey % 5 = 0")
+@query("SRC14", "SELECT l_orderkey AS page_id, strftime(l_shipdate, '%Y-%m-%d') AS order_date, l_returnflag AS media_condition, l_linestatus AS sleeve_condition, '$' || CAST(CAST(l_quantity AS INT) AS STRING) AS price_text, CASE WHEN l_linenumber % 2 = 0 THEN 'note ' || CAST(l_partkey AS STRING) ELSE '' END AS comments FROM lineitem")
 def _(s, d):
     return X.sale_rows(sql(s, d, _PAGE)).drop("sale")
 
 
-_LIST = """SELECT l_suppkey AS page_id, concat_ws('', collect_list('<div class="listing"><a href="/sell/item/' || cast(l_orderkey as string) || '">x</a><h4>' || CASE WHEN l_orderkey % 4 = 0 THEN 'Untitled' ELSE l_returnflag || ' - Song - ' || l_linestatus END || '</h4>Media: NM<br>Sleeve: VG</div>')) AS html FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_returnflag, l_linestatus FROM lineitem WHERE l_orderkey % 10 = 1) q GROUP BY l_suppkey"""
+_LIST = """SELECT l_suppkey AS page_id, concat_ws('', collect_list('<div class="listing"><a href="/sell/item/' || cast(l_orderkey as string) || '">x</a><h4>' || CASE WHEN l_orderkey % 4 = 0 THEN 'Untitled' ELSE l_returnflag || ' - Song - ' || l_linestatus END || '</h4>Media: NM<br>Sleeve: VG</div>')) AS html FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_returnflag, l_linestatus FROM lineitem) q GROUP BY l_suppkey"""
 
 
-@query("SRC15", "SELECT l_suppkey AS page_id, CAST(l_orderkey AS STRING) AS listing_id, count(DISTINCT 1) AS n, 'NM' AS media, 'VG' AS sleeve FROM lineitem WHERE l_orderkey % 10 = 1 GROUP BY 1, 2")
+@query("SRC15", "SELECT l_suppkey AS page_id, CAST(l_orderkey AS STRING) AS listing_id, count(DISTINCT 1) AS n, 'NM' AS media, 'VG' AS sleeve FROM lineitem GROUP BY 1, 2")
 def _(s, d):
     rows = X.listing_rows(sql(s, d, _LIST))
     return rows.groupBy("page_id", "listing_id", "media", "sleeve").agg(F.count(F.lit(1)).alias("n"))

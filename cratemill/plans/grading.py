@@ -212,13 +212,12 @@ def _(s, d):
     return view(s, d, "releases").where(~c("genre").isin("PROMO", "LARGE") | c("format_desc").isNull() | _vinyl()).select("release_id")
 
 
-@query("FLT09", "SELECT release_id, coalesce(format_desc, nullif(array_to_string(list_concat(coalesce(json_extract_string(formats_json, '$[*].name'), []), coalesce(json_extract_string(formats_json, '$[*].descriptions[*]'), [])), ', '), '')) AS format_text FROM releases WHERE CAST(release_id AS BIGINT) % 7 <> 6")
+@query("FLT09", "SELECT release_id, coalesce(format_desc, nullif(array_to_string(flatten(list_transform(CAST(formats_json AS JSON[]), lambda f: list_concat([f->>'name'], CAST(f->'descriptions' AS VARCHAR[])))), ', '), '')) AS format_text FROM releases")
 def _(s, d):
     from cratemill.functions.catalogue import formats
 
     parts = F.flatten(F.transform(formats(c("formats_json")), lambda f: F.concat(F.array(f["name"]), f["descriptions"])))
-    rows = view(s, d, "releases").where(c("release_id").cast("long") % 7 != 6)
-    return rows.select("release_id", F.coalesce("format_desc", F.nullif(F.array_join(parts, ", "), F.lit(""))).alias("format_text"))
+    return view(s, d, "releases").select("release_id", F.coalesce("format_desc", F.nullif(F.array_join(parts, ", "), F.lit(""))).alias("format_text"))
 
 
 _LONG = "SELECT 'sleeve' AS target, sleeve_label AS label FROM notes WHERE sleeve_label IS NOT NULL UNION ALL SELECT 'media', media_label FROM notes WHERE media_label IS NOT NULL"
@@ -358,10 +357,9 @@ def _(s, d):
     return K.stratified_sample(_graded(s, d).where("y_true <> y_model"), "y_true", "item_no", 10, 100, 5)
 
 
-@query("AGG40", "WITH t AS (SELECT item_id, coalesce(sleeve_label, 'none') AS cls, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')) AS term FROM notes WHERE doc_id % 12 <> 5), m AS (SELECT cls, term, count(*) AS n FROM t WHERE term <> '' GROUP BY 1, 2) SELECT cls, term, n FROM m QUALIFY row_number() OVER (PARTITION BY cls ORDER BY n DESC, term) <= 5")
+@query("AGG40", "WITH t AS (SELECT item_id, coalesce(sleeve_label, 'none') AS cls, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')) AS term FROM notes), m AS (SELECT cls, term, count(*) AS n FROM t WHERE term <> '' GROUP BY 1, 2) SELECT cls, term, n FROM m QUALIFY row_number() OVER (PARTITION BY cls ORDER BY n DESC, term) <= 5")
 def _(s, d):
-    rows = _notes(s, d).where("doc_id % 12 <> 5")
-    t = rows.select(F.coalesce("sleeve_label", F.lit("none")).alias("cls"), F.explode(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ")).alias("term")).where("term <> ''")
+    t = _notes(s, d).select(F.coalesce("sleeve_label", F.lit("none")).alias("cls"), F.explode(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ")).alias("term")).where("term <> ''")
     n = t.groupBy("cls", "term").agg(F.count(F.lit(1)).alias("n"))
     return K.top_per_group(n, ["cls"], [F.desc("n"), c("term")], 5).select("cls", "term", "n")
 

@@ -96,7 +96,7 @@ def _(s, d):
     return out
 
 
-_TOKENS = "SELECT doc_id, {} AS tokens, doc_id % 5 < 4 AS is_train FROM notes WHERE doc_id % 2 = 0"
+_TOKENS = "SELECT doc_id, {} AS tokens, doc_id % 5 < 4 AS is_train FROM notes"
 _SPLIT = "split(trim(regexp_replace(lower(text), '[^a-z]+', ' ')), ' ')"
 
 

@@ -194,7 +194,7 @@ def _blend(sold: str, floor: str, tier: str) -> str:
     return f"CASE WHEN {sold} > 0 AND {floor} > 0 THEN exp({_weight(sold, floor, tier)} * ln({sold}) + (1 - {_weight(sold, floor, tier)}) * ln({floor})) WHEN {sold} > 0 THEN {sold} WHEN {floor} > 0 THEN {floor} END"
 
 
-_STATS = "SELECT m.release_id, m.release_lowest_price AS listing, s.low, s.high, s.median, s.average, s.n, CASE s.n % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS tier, price_suggestions_json FROM marketplace m LEFT JOIN (SELECT release_id, min(usd) AS low, max(usd) AS high, median(usd) AS median, avg(usd) AS average, count(*) AS n FROM sales WHERE l_orderkey % 4 = 0 GROUP BY 1) s ON m.release_id = s.release_id"
+_STATS = "SELECT m.release_id, m.release_lowest_price AS listing, s.low, s.high, s.median, s.average, s.n, CASE s.n % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS tier, price_suggestions_json FROM marketplace m LEFT JOIN (SELECT release_id, min(usd) AS low, max(usd) AS high, median(usd) AS median, avg(usd) AS average, count(*) AS n FROM sales WHERE media_ord >= 6 AND sleeve_ord >= 6 GROUP BY 1) s ON m.release_id = s.release_id"
 
 
 def _stats(s, d):

@@ -40,9 +40,9 @@ def _(s, d):
     return _inter(s, d).join(view(s, d, "albums").where("year > 0").select("album_id"), "album_id", "left_semi").select("user_id", "album_id", "strength", "source")
 
 
-@query("FLT23", "SELECT user_id, album_id FROM collection WHERE CAST(album_id AS BIGINT) % 3 <> 0 QUALIFY count(*) OVER (PARTITION BY user_id) >= 12")
+@query("FLT23", "SELECT user_id, album_id FROM collection QUALIFY count(*) OVER (PARTITION BY user_id) >= 12")
 def _(s, d):
-    rows = view(s, d, "collection").where(c("album_id").cast("long") % 3 != 0)
+    rows = view(s, d, "collection")
     enough = rows.groupBy("user_id").count().where("count >= 12").select("user_id")
     return rows.join(enough, "user_id", "left_semi").select("user_id", "album_id")
 
@@ -158,7 +158,7 @@ def _(s, d):
 
 _SCORES = "SELECT user_id, album_id, round(CAST((CAST(user_id AS BIGINT) * 31 + CAST(album_id AS BIGINT) * 17) % 1009 AS DOUBLE) / 1009, 6) AS score FROM (SELECT DISTINCT user_id, album_id FROM usage) q"
 _SCORES2 = "SELECT user_id, album_id, round(CAST((CAST(user_id AS BIGINT) * 13 + CAST(album_id AS BIGINT) * 29) % 997 AS DOUBLE) / 997, 6) AS score FROM (SELECT DISTINCT user_id, album_id FROM usage) q"
-_OWNED = "SELECT DISTINCT user_id, album_id FROM usage WHERE l_orderkey % 9 = 0"
+_OWNED = "SELECT DISTINCT user_id, album_id FROM usage WHERE l_quantity >= 45"
 _REL = "SELECT DISTINCT user_id, album_id FROM ratings WHERE rating >= 3"
 _RANKED = f"sc AS ({_SCORES}), rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, album_id) AS rank FROM sc)"
 

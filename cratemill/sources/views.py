@@ -1,6 +1,8 @@
 """The marketplace's entities as views over the order tables.
 
 Every view is one SELECT that Spark SQL and DuckDB read alike, so a query and its SQL twin start from the same rows.
+All rows are taken; where a remainder decides, it deals rows to entities (as ratings), or leaves keys out of one side so that outer
+joins have something to miss.
 """
 
 from __future__ import annotations
