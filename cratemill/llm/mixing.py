@@ -62,7 +62,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     """
     sized = common.pick(docs, "doc_id", "text", "source").select("doc_id", "source", words(F.col("text")).alias("size"), common.text_tag(F.col("text")).alias("tag"))
     order = [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("doc_id"), F.col("tag"), F.monotonically_increasing_id()]
-    keyed = sized.withColumn("tie", order.pop())
+    # words are counted once: the range partitioning looks at its input twice
+    keyed = common.materialize(sized.withColumn("tie", order.pop()), "sizes")
     placed = global_rank(keyed, [*order, F.col("tie")], within=["source"], name="place", write=lambda d: common.materialize(d, "mix"))
     placed = common.materialize(placed, "placed")
     per_source = targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
