@@ -29,15 +29,13 @@ def condition_ordinal(text: Column) -> Column:
 
 def number(raw: Column) -> Column:
     """A number as written: one comma and no point is a decimal comma, other commas group digits."""
-    commas, points = F.length(raw) - F.length(F.replace(raw, F.lit(","))), F.length(raw) - F.length(F.replace(raw, F.lit(".")))
-    text = F.when((commas == 1) & (points == 0), F.replace(raw, F.lit(","), F.lit("."))).otherwise(F.replace(raw, F.lit(",")))
-    return text.try_cast("double")
+    return F.replace(F.regexp_replace(raw, "^([^,.]*),([^,.]*)$", "$1.$2"), F.lit(",")).try_cast("double")
 
 
 def _after(sign: str, text: Column) -> Column:
     raw = F.regexp_extract(F.replace(text, F.lit(" "), F.lit(" ")), rf"{sign}\s*(\d[\d.,]*)", 1)
-    value = number(raw)
-    return F.when((raw != "") & (value > 0), value)
+    # a filter of one value, so that the pattern is searched once and not once for each use of it
+    return F.get(F.filter(F.array(number(raw)), lambda v: v > 0), F.lit(0))
 
 
 def usd(text: Column) -> Column:
