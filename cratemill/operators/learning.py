@@ -28,8 +28,18 @@ def train_als(inter: DataFrame, rank: int = 16, iterations: int = 5, regularizat
 
 
 def als_top_n(model, users: DataFrame, n: int, owned: DataFrame, margin: int) -> DataFrame:
-    """(user, item, score, rank) of the n best items not owned; the model gives n + margin, then owned ones go."""
-    recs = model.recommendForUserSubset(users, n + margin).select("user", F.explode("recommendations").alias("r")).select("user", "r.item", F.col("r.rating").cast("double").alias("score"))
+    """(user, item, score, rank) of the n best items not owned; fewer only where a user has fewer such items with factors.
+
+    The model gives n + k items or more to a user who owns k, then owned ones go. Users are asked for by size class of k (up to
+    margin, twice it, four times, ...; margin is 1 at least), so a hot user is one small request and answers grow with the owned rows only.
+    """
+    held = owned.select("user", "item").distinct().groupBy("user").agg(F.count(F.lit(1)).alias("k"))
+    over = F.floor((F.coalesce("k", F.lit(0)) - 1) / margin)
+    sized = users.join(held, "user", "left").select("user", F.when(over > 0, F.length(F.bin(over))).otherwise(0).alias("class")).checkpoint()  # read again for every class
+    items = model.itemFactors.count()
+    asked = {r["class"]: min(n + (margin << r["class"]), items) for r in sized.select("class").distinct().collect()} or {0: n}
+    recs = reduce(DataFrame.unionByName, (model.recommendForUserSubset(sized.where(F.col("class") == k).select("user"), asked[k]).select("user", "recommendations") for k in sorted(asked)))
+    recs = recs.select("user", F.explode("recommendations").alias("r")).select("user", "r.item", F.col("r.rating").cast("double").alias("score"))
     free = recs.join(owned.select("user", "item"), ["user", "item"], "left_anti")
     return free.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("score"), "item"))).where(F.col("rank") <= n)
 

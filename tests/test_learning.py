@@ -55,3 +55,15 @@ def test_recommendations_leave_out_owned(spark):
     top = L.als_top_n(L.train_als(inter, rank=4, iterations=2), inter.select("user").distinct(), 5, inter, 30).collect()
     assert not {(r["user"], r["item"]) for r in top} & pairs
     assert max(r["rank"] for r in top) <= 5
+
+
+def test_every_user_gets_n_recommendations(spark):
+    """Users who own far more than the margin get n items as well, or all that are left."""
+    rng = random.Random(3)
+    pairs = {(0, i) for i in range(60)} | {(1, i) for i in range(78)} | {(2, i) for i in range(15, 28)} | {(u, rng.randrange(80)) for u in range(3, 25) for _ in range(8)} | {(u, 58 + u) for u in range(3, 22)}
+    inter = spark.createDataFrame([(u, i, 1.0) for u, i in pairs], "user int, item int, strength double")
+    items = len({i for _, i in pairs})
+    top = L.als_top_n(L.train_als(inter, rank=4, iterations=2), inter.select("user").distinct(), 5, inter, 2).collect()
+    assert not {(r["user"], r["item"]) for r in top} & pairs
+    for u in range(25):
+        assert sorted(r["rank"] for r in top if r["user"] == u) == list(range(1, 1 + min(5, items - sum(x == u for x, _ in pairs))))
