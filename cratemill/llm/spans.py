@@ -114,11 +114,11 @@ def cut(texts: pa.Array, starts: list[list[int]], run: int, min_words: int) -> l
     return out
 
 
-def dedup_spans(docs: DataFrame, run: int = 3, min_words: int = 20, changed_only: bool = False) -> DataFrame:
+def dedup_spans(docs: DataFrame, run: int = 3, min_words: int = 0, changed_only: bool = False) -> DataFrame:
     """Of every row of docs (doc_id, text): doc_id, text without repeated spans, spans, n_removed_words, first_doc_ids.
 
-    run: consecutive sentences in a span. min_words: what is removed in one piece has at least this many words, so that short stock
-    phrases stay. changed_only: only the documents that lose something. Texts with fewer than run sentences never
+    run: consecutive sentences in a span. min_words: pieces of fewer words stay (by default none do, so stock phrases
+    of three clauses go as well). changed_only: only the documents that lose something. Texts with fewer than run sentences never
     change. A null text stays null. A null doc_id comes before all others. Rows alike in doc_id and text are one document (its
     runs do not repeat each other) and give a result row each. Repeats inside one document are removed too. Other
     columns are ignored.

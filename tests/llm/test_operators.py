@@ -104,6 +104,14 @@ def test_spans_match_brute(spark, corpus):
         assert [w for s in kept for w in s] == [w for n, s in enumerate(brute.sentences(t)) if n not in gone for w in s]
 
 
+def test_registered_spans_remove_short_repeats(spark, tmp_path):
+    """The registered query removes what is repeated, however few words it has."""
+    docs = [(1, "Alpha beta. Gamma, delta! First tail goes here"), (2, "Other lead stands there. Alpha beta. Gamma, delta! Second tail is longer")]
+    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.queries()["op2_substring_dedup"](spark, str(tmp_path)).collect()
+    assert [(r["doc_id"], r["text"], r["n_removed_words"]) for r in got] == [(2, "Other lead stands there. Second tail is longer", 4)]
+
+
 # --- 3: SimHash
 
 
