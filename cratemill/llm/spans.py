@@ -2,6 +2,10 @@
 
 A text is cut into sentences; every run of `run` consecutive sentences is hashed and the hashes are joined over all
 documents.  Of equal runs the first (by doc_id, then place) stays; sentences covered by any other are removed.
+
+Passages that hold no such run (few marks, or partial sentences at both ends) are found by runs of words: of every
+`passage` consecutive words, the run of passage // 2 + 1 words with the least hash is joined as well (winnowing; Schleimer et al., 2003).
+Which run that is depends on those words only, so equal passages of that length always share a run.
 """
 
 from __future__ import annotations
@@ -19,6 +23,11 @@ from .common import KeyFilter
 #: A sentence, or a clause of one, ends at these characters.
 _END = textscan.byte_table(lambda b: b in b".!?,;:\n")
 
+#: Places from here on are words, where runs of words begin; below are sentences.
+_WORDS = 1 << 30
+#: What runs of words cover beyond removed sentences goes if it has so many words.
+SCRAP = 20
+
 
 def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, start byte, end byte, number of words and hash of every sentence.
@@ -26,7 +35,10 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     Sentences are compared by their words (letters and digits, A-Z lower-cased), so white space and punctuation do not matter. A
     sentence reaches to the start of the next one; one without words belongs to the one before it.
     """
-    w = textscan.scan(texts)
+    return _sentences(textscan.scan(texts))
+
+
+def _sentences(w: textscan.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(w.row)
     if not n:
         none = np.zeros(0, dtype=np.int64)
@@ -51,37 +63,66 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return row, start, stop, size, h
 
 
-def runs(docs: DataFrame, run: int, only: KeyFilter | None = None) -> DataFrame:
-    """(doc_id, tag, at, a, b): 128-bit hashes of all runs of sentences; only those that the filter may hold, if given."""
+def _slide(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
+    """pick (minimum or maximum) over every n consecutive entries."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        x = pick(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def winnow(row: np.ndarray, h: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word places where chosen runs begin, and a hash for each word place; row and h are of every word."""
+    k = passage // 2 + 1
+    t = passage - k + 1
+    a = textscan.grams(h, k)
+    inside = textscan.within_row(row, passage)
+    if not inside.any():
+        return np.zeros(0, dtype=np.int64), a
+    least = np.where(inside, _slide(a, t, np.minimum), np.uint64(0))
+    pad = np.zeros(t - 1, dtype=np.uint64)
+    # a run is chosen if it is the least of any window that it lies in
+    return np.flatnonzero(_slide(np.concatenate([pad, least, pad]), t, np.maximum) == a), a
+
+
+def runs(docs: DataFrame, run: int, only: KeyFilter | None = None, passage: int = 0) -> DataFrame:
+    """(doc_id, tag, at, a, b): 128-bit hashes of all runs of sentences, and of the chosen runs of words if passage is
+    given; only those that the filter may hold, if given."""
     held = docs.sparkSession.sparkContext.broadcast(only)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in textscan.row_groups(batch.column(2)):
-                row, _, _, _, h = sentences(batch.column(2).slice(lo, hi - lo))
+                w = textscan.scan(batch.column(2).slice(lo, hi - lo))
+                row, _, _, _, h = _sentences(w)
                 a = textscan.grams(h, run)
-                keep = textscan.within_row(row, run)
-                if held.value is not None:
-                    keep &= held.value.maybe(a)
-                keep = np.flatnonzero(keep)
-                b = textscan.grams(h, run, second=True)[keep]
-                at = keep - np.searchsorted(row, row[keep])
-                rows = pa.array(row[keep] + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), textscan.signed(a[keep]), textscan.signed(b)], ["doc_id", "tag", "at", "a", "b"])
+                found = [(row, h, run, np.flatnonzero(textscan.within_row(row, run)), a, 0)]
+                if passage:
+                    chosen, a = winnow(w.row, w.hash, passage)
+                    found.append((w.row, w.hash, passage // 2 + 1, chosen, a, _WORDS))
+                for row, h, k, keep, a, base in found:
+                    if held.value is not None:
+                        keep = keep[held.value.maybe(a[keep])]
+                    b = textscan.grams(h, k, second=True)[keep] if len(keep) else np.zeros(0, dtype=np.uint64)
+                    at = keep - np.searchsorted(row, row[keep]) + base
+                    rows = pa.array(row[keep] + lo)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), textscan.signed(a[keep]), textscan.signed(b)], ["doc_id", "tag", "at", "a", "b"])
 
     rows = common.pick(docs, "doc_id", "text").select("doc_id", common.text_tag(F.col("text")).alias("tag"), "text")
     return rows.mapInArrow(find, f"doc_id {kind}, tag long, at int, a long, b long")
 
 
-def repeats(docs: DataFrame, run: int = 3) -> DataFrame:
+def repeats(docs: DataFrame, run: int = 3, passage: int = 0) -> DataFrame:
     """(doc_id, tag, sentences, first_doc_ids): of every document, the starts of runs that are not the first of their kind.
 
     Two light shuffles: counts by hash (combined before the shuffle), then the runs whose hash occurs twice or more.
     """
-    counted = runs(docs, run).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    counted = runs(docs, run, passage=passage).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
     twice = common.materialize(counted, "repeated")
-    again = common.materialize(runs(docs, run, KeyFilter.of(twice, "a", 26)), "runs")
+    again = common.materialize(runs(docs, run, KeyFilter.of(twice, "a", 26), passage), "runs")
     first = again.groupBy("a", "b").agg(F.min(F.struct("doc_id", "tag", "at")).alias("first"))
     # written out, so that the join below starts from plain shuffles and a very common run is split over tasks
     first = common.materialize(first.select(F.col("a").alias("fa"), F.col("b").alias("fb"), "first"), "firsts")
@@ -90,40 +131,56 @@ def repeats(docs: DataFrame, run: int = 3) -> DataFrame:
     return later.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("at"), F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"))
 
 
-def cut(texts: pa.Array, starts: list[list[int]], run: int, min_words: int) -> list[tuple[str, list[dict], int]]:
+def cut(texts: pa.Array, starts: list[list[int]], run: int, min_words: int, passage: int = 0) -> list[tuple[str, list[dict], int]]:
     """For each text: what stays, the removed spans (start, end in code points) and the number of removed words."""
     out = []
     for i, at in enumerate(starts):
-        _, start, stop, size, _ = sentences(texts.slice(i, 1))
-        covered = np.zeros(len(start), dtype=bool)
-        for s in at or ():
-            covered[s : s + run] = True
         raw = (texts[i].as_py() or "").encode()
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
+        if not at:
+            out.append((raw.decode(), [], 0))
+            continue
+        w = textscan.scan(texts.slice(i, 1))
+        size = _sentences(w)[3]
+        covered = np.zeros(len(size), dtype=bool)
+        by_words = np.zeros(len(w.row), dtype=bool)
+        for s in at:
+            if s < _WORDS:
+                covered[s : s + run] = True
+            else:
+                by_words[s - _WORDS : s - _WORDS + passage // 2 + 1] = True
+        covered = np.repeat(covered, size)
+        # beside removed sentences, no scraps of the next sentence are torn off
+        for lo, hi in _stretches(by_words & ~covered):
+            if hi - lo >= SCRAP:
+                covered[lo:hi] = True
         kept, spans, words, done = [], [], 0, 0
-        for lo, hi in zip(edge[::2], edge[1::2]):
-            n = int(size[lo:hi].sum())
-            if n < min_words:
+        for lo, hi in _stretches(covered):
+            if hi - lo < min_words:
                 continue
-            s, e = int(start[lo]), int(stop[hi - 1])
+            s, e = int(w.start[lo]) if lo else 0, int(w.start[hi]) if hi < len(covered) else len(raw)
             spans.append({"start": len(raw[:s].decode()), "end": len(raw[:e].decode())})
             kept.append(raw[done:s])
-            words, done = words + n, e
+            words, done = words + int(hi - lo), e
         kept.append(raw[done:])
         out.append((b"".join(kept).decode(), spans, words))
     return out
 
 
-def dedup_spans(docs: DataFrame, run: int = 3, min_words: int = 0, changed_only: bool = False) -> DataFrame:
+def _stretches(x: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], x.view(np.int8), [0]])))
+    return list(zip(edge[::2], edge[1::2]))
+
+
+def dedup_spans(docs: DataFrame, run: int = 3, min_words: int = 0, changed_only: bool = False, passage: int = 50) -> DataFrame:
     """Of every row of docs (doc_id, text): doc_id, text without repeated spans, spans, n_removed_words, first_doc_ids.
 
     run: consecutive sentences in a span. min_words: pieces of fewer words stay (by default none do, so stock phrases
-    of three clauses go as well). changed_only: only the documents that lose something. Texts with fewer than run sentences never
-    change. A null text stays null. A null doc_id comes before all others. Rows alike in doc_id and text are one document (its
+    of three clauses go as well). changed_only: only the documents that lose something. passage: a repeated passage of so many words
+    is found whatever its marks are (0: by sentences only); up to half as many words at each of its ends may stay. A null text stays null. A null doc_id comes before all others. Rows alike in doc_id and text are one document (its
     runs do not repeat each other) and give a result row each. Repeats inside one document are removed too. Other
     columns are ignored.
     """
-    later = common.materialize(repeats(docs, run), "later").select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "at", "first_doc_ids")
+    later = common.materialize(repeats(docs, run, passage), "later").select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "at", "first_doc_ids")
     rows = common.pick(docs, "doc_id", "text").withColumn("tag", common.text_tag(F.col("text")))
     joined = rows.join(later, common.same(rows["doc_id"], later["d"]) & (rows["tag"] == later["t"]), "inner" if changed_only else "left")
     slim = joined.select("doc_id", "text", "at", "first_doc_ids")
@@ -132,7 +189,7 @@ def dedup_spans(docs: DataFrame, run: int = 3, min_words: int = 0, changed_only:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = cut(b.column(1), b.column(2).to_pylist(), run, min_words)
+            done = cut(b.column(1), b.column(2).to_pylist(), run, min_words, passage)
             texts = pa.array([t if v else None for (t, _, _), v in zip(done, b.column(1).is_valid().to_pylist())], pa.string())
             got = pa.RecordBatch.from_arrays([b.column(0), texts, pa.array([s for _, s, _ in done], span), pa.array([n for _, _, n in done], pa.int64()), b.column(3)], ["doc_id", "text", "spans", "n_removed_words", "first_doc_ids"])
             yield got.filter(pa.array([n > 0 for _, _, n in done], pa.bool_())) if changed_only else got

@@ -112,6 +112,27 @@ def test_registered_spans_remove_short_repeats(spark, tmp_path):
     assert [(r["doc_id"], r["text"], r["n_removed_words"]) for r in got] == [(2, "Other lead stands there. Second tail is longer", 4)]
 
 
+def test_spans_find_passages_without_whole_sentences(spark):
+    """Any passage of 50 words is found: in unmarked text, or with partial sentences at both ends."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs = []
+    for i in range(0, 60, 2):
+        p = [word() for _ in range(50)]
+        p[17] += "," if i % 4 else ""
+        docs += [(i + j, " ".join([*(word() for _ in range(rng.randint(1, 30))), *p, *(word() for _ in range(rng.randint(1, 30)))])) for j in (0, 1)]
+    out = {r["doc_id"]: r for r in spans.dedup_spans(frame(spark, docs)).collect()}
+    texts = dict(docs)
+    for i in range(0, 60, 2):
+        assert out[i]["text"] == texts[i] and not out[i]["spans"]
+        assert 26 <= out[i + 1]["n_removed_words"] <= 50
+        words = texts[i + 1].split()
+        s, = out[i + 1]["spans"]
+        gone = texts[i + 1][s["start"] : s["end"]]
+        assert len(gone.split()) == out[i + 1]["n_removed_words"] and gone.strip() in texts[i]
+        assert len(out[i + 1]["text"].split()) == len(words) - out[i + 1]["n_removed_words"]
+
+
 # --- 3: SimHash
 
 
