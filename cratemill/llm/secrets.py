@@ -1,13 +1,14 @@
 """Secret scans: fixed patterns, and automata that score any token by how well it fits a credential's format.
 
 Patterns find and label credentials (base spans).  From a bounded sample of those, one probabilistic automaton for each
-label is inferred; then every other long token of letters and digits is a candidate, and gets a span if its format is as likely as
-that of nearly all sample credentials.
+label is inferred; then every long token is a candidate, and gets a span if a credential's automaton makes it far likelier than
+the model of ordinary tokens (character pairs, counted over all documents) does.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, textscan
-from .automata import Automaton, infer
+from .automata import ALPHABET, Automaton, infer
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "grammar")
@@ -26,11 +27,9 @@ ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Shortest token that is scored, and the characters of tokens.
-CANDIDATE = 16
+CANDIDATE = 12
 _HEX = textscan.byte_table(lambda b: b in b"0123456789abcdef")
 _TOKEN = textscan.byte_table(lambda b: b < 0x80 and (chr(b).isalnum() or b in b"+/_=-"))
-_DIGIT = textscan.byte_table(lambda b: b in b"0123456789")
-_LETTER = textscan.byte_table(lambda b: b < 0x80 and chr(b).isalpha())
 
 
 def _runs(table: np.ndarray, data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,9 +70,8 @@ def scan(texts: pa.Array) -> list[tuple[list[tuple[int, int, str]], list[tuple[i
     for row, s, e in zip(*_runs(_HEX, data, offsets, LEAST["hex"])):
         add(row, s, e, "hex", raw[s:e])
     for row, s, e in zip(*_runs(_TOKEN, data, offsets, CANDIDATE)):
-        if _DIGIT[data[s:e]].any() and _LETTER[data[s:e]].any():
-            base = points[offsets[row]]
-            out[row][1].append((int(points[s] - base), int(points[e] - base), raw[s:e].decode()))
+        base = points[offsets[row]]
+        out[row][1].append((int(points[s] - base), int(points[e] - base), raw[s:e].decode()))
     return out
 
 
@@ -98,60 +96,122 @@ def found(docs: DataFrame) -> DataFrame:
     return common.pick(docs, "doc_id", "text").mapInArrow(run, schema)
 
 
-def fit(rows: DataFrame, per_kind: int = 400, quantile: float = 0.02) -> dict[str, tuple[Automaton, float]]:
-    """For each kind an automaton and the least score of a credential, from a sample of the labelled credentials.
+def fit(rows: DataFrame, per_kind: int = 400, longest: int = 256) -> dict[str, Automaton]:
+    """An automaton for each kind that has a credential, however few there are.
 
-    The sample is bounded: the per_kind distinct credentials of 12 characters or more with the smallest hashes over all documents.
-    Automata are inferred from four fifths of it; the threshold is a low quantile of the scores of the rest.
+    The sample is bounded: of each kind the per_kind distinct credentials with the smallest hashes over all documents; longer ones
+    than `longest` characters are no part of it. Whole credentials are learned from.
     """
-    labelled = rows.select(F.explode("labelled").alias("x")).select("x.*").where(F.length("secret") >= 12)
+    labelled = rows.select(F.explode("labelled").alias("x")).select("x.*").where(F.length("secret") <= longest)
     models = {}
     for kind in KINDS[:3]:
         own = labelled.where(F.col("kind") == kind).groupBy("secret").agg(F.lit(1).alias("one"))
         sample = [r["secret"] for r in own.orderBy(F.xxhash64("secret"), "secret").limit(per_kind).collect()]  # bounded by per_kind
-        if len(sample) < 20:
-            continue
-        cut = len(sample) * 4 // 5
-        model = infer([s[:64] for s in sample[:cut]])
-        scores = sorted(x for x in (model.score(s[:64]) for s in sample[cut:]) if x > float("-inf"))
-        if scores:
-            models[kind] = (model, scores[int(len(scores) * quantile)])
+        if sample:
+            models[kind] = infer(sample)
     return models
 
 
-def likely(token: str, models: dict[str, tuple[Automaton, float]]) -> float:
-    """How far the token's score lies above the threshold of the kind that it fits best."""
-    return max((m.score(token) - least for m, least in models.values()), default=float("-inf"))
+_CODE = np.full(256, len(ALPHABET), dtype=np.int64)
+_CODE[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(len(ALPHABET))
+#: Before the first and after the last character of a token.
+_EDGE = len(ALPHABET)
+_SIDE = len(ALPHABET) + 1
+
+
+def pairs(token: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a token's characters, each with the one before it; the edges of the token count as a character."""
+    codes = _CODE[np.frombuffer(token.encode(), dtype=np.uint8)]
+    return np.append(_EDGE, codes), np.append(codes, _EDGE)
+
+
+def uncovered(base: list[tuple[int, int]], tokens: list[tuple[int, int]]) -> list[bool]:
+    """Of each token whether it overlaps no base span. Both are swept once by start; tokens do not overlap each other."""
+    base, out, at, reach = sorted(base), [], 0, 0
+    for start, end in tokens:
+        while at < len(base) and base[at][0] < end:
+            reach = max(reach, base[at][1])
+            at += 1
+        out.append(reach <= start)
+    return out
 
 
-def secrets(docs: DataFrame, per_kind: int = 400) -> DataFrame:
-    """Of every row of docs (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_grammar.
+def background(rows: DataFrame, prior: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of character pairs, and of their first characters, in all tokens of all documents that overlap no base span.
+
+    Counts are summed up in the tasks; at most one row for each pair of characters comes to the driver. prior is added to
+    every count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(_SIDE * _SIDE, dtype=np.int64)
+        for b in batches:
+            for base, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                free = uncovered([(x["start"], x["end"]) for x in base], [(t["start"], t["end"]) for t in tokens])
+                text = [pairs(t["token"]) for t, keep in zip(tokens, free) if keep]
+                if text:
+                    count += np.bincount(np.concatenate([x * _SIDE + y for x, y in text]), minlength=len(count))
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], ["pair", "n"])
+
+    counted = rows.where(F.size("tokens") > 0).select("base", "tokens").mapInArrow(run, "pair int, n long")
+    sums = counted.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    count = np.full(_SIDE * _SIDE, prior)
+    count[sums.column("pair").to_numpy()] += sums.column("n").to_numpy()
+    count = count.reshape(_SIDE, _SIDE)
+    return count, count.sum(axis=1)
+
+
+def _own(x: np.ndarray) -> np.ndarray:
+    """How often each entry occurs."""
+    _, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def likelihood(token: str, models: dict[str, Automaton], ordinary: tuple[np.ndarray, np.ndarray], counted: bool) -> float:
+    """Log-likelihood ratio of a token: by the automaton that it fits best, against an ordinary token.
+
+    ordinary: counts of pairs and of first characters. What is ordinary, the other tokens tell: a token that was counted itself is
+    taken out of the counts.
+    """
+    best = max((m.score(token) for m in models.values()), default=-math.inf)
+    before, after = pairs(token)
+    pair, first = ordinary[0][before, after], ordinary[1][before]
+    if counted:
+        pair, first = pair - _own(before * _SIDE + after), first - _own(before)
+    return best - float(np.log(pair / first).sum())
+
+
+def secrets(docs: DataFrame, per_kind: int = 400, longest: int = 256, bits: float = 20.0) -> DataFrame:
+    """Of every row of docs (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_grammar, n_confirmed.
 
     Whole texts are scanned; null is empty. Spans are kind:start:end in code points, end exclusive, by start, then kind.
-    Tokens that overlap a base span are not scored. Without labelled credentials there are no automata and only base spans.
-    Repeated rows give repeated result rows; other columns are ignored.
+    Every token of CANDIDATE characters or more is scored by its format; it is a credential if an automaton makes it 2**bits times
+    as likely as the model of ordinary tokens. Such a token is a grammar span if it overlaps no base span (n_grammar), else it
+    confirms one (n_confirmed). Without any labelled credential there are no automata and only base spans. per_kind and longest
+    bound the sample that automata are fitted on. Repeated rows give repeated result rows; other columns are ignored.
     """
     rows = common.materialize(found(docs), "secrets")
-    models = rows.sparkSession.sparkContext.broadcast(fit(rows, per_kind))
+    held = rows.sparkSession.sparkContext.broadcast((fit(rows, per_kind, longest), background(rows)))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    least = bits * math.log(2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, ordinary = held.value
         order = {k: i for i, k in enumerate(KINDS)}
         join = lambda xs: ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted((s, order[k], e, k) for s, e, k in xs))
         for b in batches:
             out = []
             for r in b.to_pylist():
                 base = [(x["start"], x["end"], x["kind"]) for x in r["base"]]
-                more = [
-                    (t["start"], t["end"], "grammar")
-                    for t in r["tokens"]
-                    if not any(s < t["end"] and t["start"] < e for s, e, _ in base) and likely(t["token"], models.value) >= 0
-                ]
+                free = uncovered([(s, e) for s, e, _ in base], [(t["start"], t["end"]) for t in r["tokens"]])
+                likely = [likelihood(t["token"], models, ordinary, f) >= least for t, f in zip(r["tokens"], free)]
+                more = [(t["start"], t["end"], "grammar") for t, f, y in zip(r["tokens"], free, likely) if f and y]
                 n = [sum(k == kind for *_, kind in base) for k in KINDS[:3]]
-                out.append((r["doc_id"], *n, hashlib.sha256(join(base).encode()).hexdigest(), join(base + more), len(more)))
-            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar"]
-            types = [b.schema.field(0).type, *[pa.int64()] * 3, pa.string(), pa.string(), pa.int64()]
+                out.append((r["doc_id"], *n, hashlib.sha256(join(base).encode()).hexdigest(), join(base + more), len(more), sum(likely) - len(more)))
+            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar", "n_confirmed"]
+            types = [b.schema.field(0).type, *[pa.int64()] * 3, pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names)
 
     slim = rows.select("doc_id", "base", "tokens")
-    return slim.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long")
+    return slim.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_grammar long, n_confirmed long")

@@ -1,8 +1,9 @@
 """Plain single-machine versions of the operators, for comparison on small inputs."""
 
 import hashlib
+import math
 import re
-from difflib import SequenceMatcher  # noqa: F401
+from collections import Counter
 
 import xxhash
 
@@ -115,3 +116,68 @@ def tiling(doc, item, k):
         covered += n
         for x in range(n):
             mt[i + x] = md[j + x] = True
+
+
+def alergia(strings, alpha):
+    """State merging said plainly: a state is a set of prefixes of the sample. Returns a function: symbols -> log-likelihood."""
+    reach = Counter(tuple(s[:n]) for s in strings for n in range(len(s) + 1))
+    end = Counter(map(tuple, strings))
+    block = {p: {p} for p in reach}  # prefix -> the state it belongs to
+
+    def count(q, c=None):
+        return sum(end[p] for p in q) if c is None else sum(reach[(*p, c)] for p in q)
+
+    def following(q):
+        return sorted({p[-1] for p in reach if p and p[:-1] in q})
+
+    def after(q, c):
+        return next(block[(*p, c)] for p in q if (*p, c) in reach)
+
+    def close(a, b):
+        n, m = (sum(reach[p] for p in q) for q in (a, b))
+        bound = math.sqrt(0.5 * math.log(2 / alpha)) * (n**-0.5 + m**-0.5)
+        if any(abs(count(a, c) / n - count(b, c) / m) > bound for c in [None, *following(a), *following(b)]):
+            return False
+        return all(close(after(a, c), after(b, c)) for c in set(following(a)) & set(following(b)) if after(a, c) is not after(b, c))
+
+    def merge(a, b):
+        shared = set(following(a)) & set(following(b))
+        below = [tuple(next((*p, c) for p in q if (*p, c) in reach) for q in (a, b)) for c in shared]
+        a |= b
+        for p in b:
+            block[p] = a
+        for x, y in below:
+            if block[x] is not block[y]:
+                merge(block[x], block[y])
+
+    red = [(block[()], ())]
+    while True:
+        kept = [id(q) for q, _ in red]
+        blue = [(len(path) + 1, (*path, c), after(q, c)) for q, path in red for c in following(q) if id(after(q, c)) not in kept]
+        if not blue:
+            break
+        _, path, b = min(blue, key=lambda x: x[:2])
+        for q, _ in red:
+            if close(q, b):
+                merge(q, b)
+                break
+        else:
+            red.append((b, path))
+
+    def score(word, text, sizes, alphabet):
+        q, total = block[()], 0.0
+        for c, char in zip([*word, None], [*text, None]):
+            seen = following(q)
+            if c and c not in seen:
+                c = "=" + char
+            n = sum(reach[p] for p in q) + len(seen) + 2
+            if c is None:
+                return total + math.log((count(q) + 1) / n)
+            if c in seen:
+                total += math.log((count(q, c) + 1) / n / sizes.get(c, 1))
+            else:
+                total += math.log(1 / n / alphabet)
+                c = min(seen, key=lambda s: (-count(q, s), s)) if seen else None
+            q = after(q, c) if c else q
+
+    return len(red), score

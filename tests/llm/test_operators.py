@@ -1,5 +1,6 @@
 """Each operator against a plain version or held-out accuracy, on small tables and on every awkward case."""
 
+import math
 import random
 import statistics
 
@@ -7,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cratemill.llm import automata, exactdedup, licenses, mixing, quality, queries, revisits, secrets, simhash, spans, tiling, urlfilter
+from cratemill.llm import automata, common, exactdedup, licenses, mixing, quality, queries, revisits, secrets, simhash, spans, tiling, urlfilter
 
 from . import brute
 
@@ -86,6 +87,73 @@ def test_secrets_grammar_adds_spans_and_keeps_base(spark):
     assert got[1000]["n_access"] == 0 and got[1000]["spans"].startswith("grammar:0:20")
 
 
+def test_automata_match_brute():
+    """Merging and scoring against a version that says what a state is: a set of prefixes."""
+    rng = random.Random(21)
+    word = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
+    formats = [
+        lambda: "ghp_" + word("abcXYZ019", 8), lambda: word("0123456789abcdef", 12), lambda: word("0123456789abcdef", rng.choice([8, 12])), lambda: word("abcdefgh", 3) + "-" + word("0123456789", 4),
+        lambda: word("ab/+1", rng.randint(1, 9)), lambda: "sk." + word("ABC123", 10),
+    ]
+    mixed = 0
+    for trial in range(12):
+        sample = [f() for f in rng.sample(formats, rng.randint(1, 3)) for _ in range(rng.choice([1, 5, 20, 40]))]
+        model = automata.infer(sample)
+        words = [automata.symbols(s, model.literal) for s in sample]
+        states, score = brute.alergia(words, 0.05)
+        assert len(model.states) == states
+        mixed += states > 1
+        for text in [*sample[:20], *(f() for f in formats), "", "thing", "0" * 20]:
+            want = score(automata.symbols(text, model.literal), text, automata.CLASSES, len(automata.ALPHABET))
+            assert model.score(text) == pytest.approx(want)
+    assert mixed >= 6
+    # all text has some probability, and the probabilities of what a state can do add up to one
+    for end, seen, (other, _) in model.states:
+        assert math.exp(end) + sum(math.exp(p) for p, _ in seen.values()) + math.exp(other) == pytest.approx(1)
+
+
+def test_automata_keep_markers_and_lengths_apart():
+    rng = random.Random(22)
+    word = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
+    mixed = [*("ghp_" + word("abcdefghijklmnopqrstuvwxyz0123456789", 20) for _ in range(40)), *(word("0123456789abcdef", 32) for _ in range(40))]
+    model = automata.infer(mixed)
+    assert "ghp_" in model.literal and len(model.states) > 30
+    per = lambda t: model.score(t) / len(t)
+    assert per("ghp_0a1b2c3d4e5f6g7h8i9j") > per("xyz_0a1b2c3d4e5f6g7h8i9j")
+    # a hexadecimal digit costs log 16; what two fewer save is less than what the wrong length costs
+    assert model.score("0123456789abcdef" * 2) > model.score("0123456789abcdef0123456789abcd") - 2 * math.log(16)
+    assert automata.infer(["only-one"]).score("only-one") > automata.infer(["only-one"]).score("0n1y-0n3-and-more")
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_secrets_find_planted_credentials(spark, sf):
+    """Credentials that no pattern catches get a span on the given tables; ordinary long tokens get none."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    planted = [(-1, "see c0047fc67d33e87ad3 and 9233A8ECF7C5B09FE5949719B6B82BC439E9329B"), (-2, "4111222233334444 Freundschaftsbezeugungen internal_get_element a-long-slug-name-2021")]
+    got = {r["doc_id"]: r for r in secrets.secrets(docs.unionByName(frame(spark, planted))).where("n_grammar > 0 or doc_id < 0").collect()}
+    assert got[-1]["spans"] == "grammar:4:22,grammar:27:67" and got[-1]["n_grammar"] == 2
+    assert got[-2]["spans"] == ""
+    known = sum(i >= 0 for i in got)
+    assert known <= 5
+
+
+def test_secrets_overlap_sweep(spark):
+    rng = random.Random(23)
+    for _ in range(200):
+        base = [(s, s + rng.randint(1, 30)) for s in (rng.randrange(100) for _ in range(rng.randint(0, 8)))]
+        cuts = sorted(rng.sample(range(120), 2 * rng.randint(0, 10)))
+        tokens = list(zip(cuts[::2], cuts[1::2]))
+        assert secrets.uncovered(base, tokens) == [not any(s < e2 and s2 < e for s, e in base) for s2, e2 in tokens]
+
+
+def test_secrets_with_one_credential(spark):
+    """No least number of credentials: one is enough for an automaton."""
+    docs = [(1, "token = 8f14e45fceea167a5a36dedd4bea2543"), (2, "8f14e45fceea167a and nothing else of note here"), (3, None)]
+    rows = common.materialize(secrets.found(frame(spark, docs)), "one")
+    assert set(secrets.fit(rows)) == {"assign", "hex"}
+    assert secrets.secrets(frame(spark, docs)).count() == 3
+
+
 # --- 2: repeated spans
 
 
