@@ -66,7 +66,8 @@ def digest_state(spark: SparkSession, path: str, digest=sha, bytes_per_batch: in
     checkpoint = common.new_path(spark, "dedup-state")
     schema = spark.read.parquet(path).select("doc_id", "text").schema
     path = path.rstrip("/")
-    glob = f"{path[:-1]}[{path[-1]}]"  # the stream source takes one file only by a pattern
+    # the stream source takes one file only by a pattern; a path that is one already is read as it is
+    glob = path if set(path) & set("[]{}*?") else f"{path[:-1]}[{path[-1]}]"
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(glob)
     rows = _located(stream, digest).select("digest", F.struct("doc_id", "file", "at").alias("place"))
     counted = rows.groupBy("digest").agg(F.max("place").alias("keep"), F.count(F.lit(1)).alias("n"))
@@ -86,23 +87,25 @@ def dedup_table(spark: SparkSession, path: str, digest=sha, bytes_per_batch: int
     columns are ignored. digest can be any function of the text: texts that meet under one digest are compared in full.
     """
     state = common.materialize(digest_state(spark, path, digest, bytes_per_batch), "digests")
+    hot = common.materialize(common.hot_keys(state, "digest"), "hot-digests")
     rows = _located(spark.read.parquet(path), digest)
+    place = [F.col("file"), F.col("at")]
     hits = state.where("n > 1")
-    # every hit is compared with the text at the locator, byte by byte
+    # every hit is compared with the text at the locator, byte by byte; copies of one text are dealt to several tasks
     at = hits.select(F.col("digest").alias("d"), F.col("keep.file").alias("kf"), F.col("keep.at").alias("ka"))
     full = F.coalesce(F.col("text"), F.lit(""))
-    hit = common.materialize(rows.join(at, rows["digest"] == at["d"]), "hits")
-    kept_text = hit.where((F.col("file") == F.col("kf")) & (F.col("at") == F.col("ka"))).select(F.col("digest").alias("kd"), full.alias("kept_text"))
-    seen = hit.join(kept_text, hit["digest"] == kept_text["kd"]).where(full != F.col("kept_text"))
+    kept = (F.col("file") == F.col("kf")) & (F.col("at") == F.col("ka"))
+    hit = common.materialize(common.salted_join(rows, at, "digest", "d", hot, place), "hits")
+    kept_text = hit.where(kept).select(F.col("digest").alias("kd"), full.alias("kept_text"))
+    seen = common.salted_join(hit, kept_text, "digest", "kd", hot, place).where(full != F.col("kept_text"))
     mixed = common.materialize(seen.select("digest").distinct(), "collisions")
     known = state.select(F.col("digest").alias("d"), F.col("keep.doc_id").alias("keep_id"), F.col("keep.file").alias("kf"), F.col("keep.at").alias("ka"), F.col("n").alias("group_size"))
     slim = rows.select("doc_id", "file", "at", "digest", sha(F.col("text")).alias("text_sha256"))
     cols = ("doc_id", "file", "at", "keep_id", "group_size", "kept", "text_sha256")
-    kept = (F.col("file") == F.col("kf")) & (F.col("at") == F.col("ka"))
     if mixed.isEmpty():
-        return slim.join(known, slim["digest"] == known["d"]).withColumn("kept", kept).select(*cols)
+        return common.salted_join(slim, known, "digest", "d", hot, place).withColumn("kept", kept).select(*cols)
     plain = slim.join(mixed.select(F.col("digest").alias("m")), slim["digest"] == F.col("m"), "left_anti")
-    plain = plain.join(known, plain["digest"] == known["d"]).withColumn("kept", kept).select(*cols)
+    plain = common.salted_join(plain, known, "digest", "d", hot, place).withColumn("kept", kept).select(*cols)
     odd = rows.join(mixed.select(F.col("digest").alias("m")), rows["digest"] == F.col("m"), "left_semi").withColumn("full", full)
     groups = odd.groupBy("full").agg(F.max(F.struct("doc_id", "file", "at")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select(F.col("full").alias("g"), F.col("keep.doc_id").alias("keep_id"), F.col("keep.file").alias("kf"), F.col("keep.at").alias("ka"), "group_size")
