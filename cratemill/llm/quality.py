@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +30,20 @@ def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows, (ids & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def sample_labels(labels: DataFrame, bound: int) -> tuple[list, list]:
-    """Ids of good and of bad labelled documents: of each the `bound` with the smallest hashes.
+def label_states(labels: DataFrame) -> DataFrame:
+    """(doc_id, fine, good): one row per labelled id. fine: of quality 1; good: fine and not toxic.
 
-    Good: quality 1 and not toxic. Bad: quality 0.
+    An unknown toxicity counts as none. Null ids and unknown qualities are no labels; an id with contrary labels is neither fine nor good.
     """
-    own = common.pick(labels, *(c for c in ("doc_id", "quality", "toxic") if c in labels.columns)).where("doc_id is not null")
+    own = common.pick(labels, *(c for c in ("doc_id", "quality", "toxic") if c in labels.columns)).where("doc_id is not null and quality in (0, 1)")
     toxic = F.coalesce("toxic", F.lit(0)) if "toxic" in own.columns else F.lit(0)
-    draw = lambda df: [r["doc_id"] for r in df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()]  # noqa: E731  bounded
-    return draw(own.where((F.col("quality") == 1) & (toxic == 0))), draw(own.where(F.col("quality") == 0))
+    per = own.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(toxic).alias("t"))
+    return per.select("doc_id", (F.col("q") == 1).alias("fine"), ((F.col("q") == 1) & (F.col("t") == 0)).alias("good"))
+
+
+def sample_labels(states: DataFrame, bound: int) -> list:
+    """Ids of good documents: the `bound` with the smallest hashes."""
+    return [r["doc_id"] for r in states.where("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()]  # bounded
 
 
 def log_ratios(docs: DataFrame, good: list) -> np.ndarray:
@@ -45,12 +51,15 @@ def log_ratios(docs: DataFrame, good: list) -> np.ndarray:
 
     The target model is smoothed towards the raw one with as much weight as it has tokens, so what is rare counts little.
     """
-    held = docs.sparkSession.sparkContext.broadcast(np.array(sorted(good), dtype=np.int64))
+    held = docs.sparkSession.sparkContext.broadcast(good)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+        ids_of_good = None
         for b in batches:
-            chosen = np.isin(b.column(0).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False), held.value)
+            if ids_of_good is None:
+                ids_of_good = pa.array(held.value, b.column(0).type)
+            chosen = pc.is_in(b.column(0), value_set=ids_of_good).to_numpy(zero_copy_only=False)
             for lo, hi in textscan.row_groups(b.column(1)):
                 rows, ids = buckets(b.column(1).slice(lo, hi - lo))
                 raw += np.bincount(ids, minlength=BUCKETS)
@@ -58,7 +67,7 @@ def log_ratios(docs: DataFrame, good: list) -> np.ndarray:
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
-    counted = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket int, raw long, target long")
+    counted = common.pick(docs, "doc_id", "text").mapInArrow(run, "bucket int, raw long, target long")
     sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # BUCKETS rows at most
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = sums.column("bucket").to_numpy()
@@ -84,22 +93,15 @@ def weight(docs: DataFrame, ratios: np.ndarray):
     return log_importance
 
 
-def threshold(good: list[float], bad: list[float], care: float = 3.0) -> float:
-    """The weight that parts good and bad samples at the least cost; 0 without samples. A lost good one costs `care` times as
-    much as a bad one kept."""
-    if not good or not bad:
-        return 0.0
-    g, b = np.sort(good), np.sort(bad)
-    at = np.unique(np.concatenate([g, b]))
-    errors = care * np.searchsorted(g, at, side="left") / len(g) + 1 - np.searchsorted(b, at, side="left") / len(b)
-    i = int(np.argmin(errors))
-    return float((at[i] + at[i - 1]) / 2 if i else at[i] - 1)
-
+def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
+    """The k-th largest value of a long column, None if it has fewer values than k (or k is 0).
 
-def kth_largest(df: DataFrame, column: str, k: int) -> int:
-    """The k-th largest value of a long column: histograms of 4096 bins are refined around it, so little comes to the driver."""
-    edges = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    Histograms of 4096 bins are refined around the value, so little comes to the driver.
+    """
+    edges = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("n")).first()
     lo, hi = edges["lo"], edges["hi"]
+    if not 0 < k <= edges["n"]:
+        return None
     while lo < hi:
         width = max(1, -(-(hi - lo + 1) // 4096))
         inside = df.where(F.col(column).between(lo, hi))
@@ -116,37 +118,41 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int:
 PARTS = 1 << 20
 
 
-def gumbel(doc_id: Column, tag: Column, seed: int) -> Column:
+def gumbel(doc_id: Column, tag: Column, seed: int | Column) -> Column:
     """Standard Gumbel noise drawn from a hash of the row, so reruns agree."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, tag), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+    drawn = seed if isinstance(seed, Column) else F.lit(seed)
+    u = (F.shiftrightunsigned(F.xxhash64(drawn, doc_id, tag), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.ln(-F.ln(u))
 
 
-def quality(docs: DataFrame, labels: DataFrame, bound: int = 20000, seed: int = 7, keep: int | None = None, temperature: float = 0.1) -> DataFrame:
-    """The rows of docs that are sampled, all columns, with their log-importance and key added (log_importance, sample_key).
+def sample_key(weight: Column, doc_id: Column, tag: Column, seed: int | Column) -> Column:
+    """The key of a row: the rows with the k largest are a sample without replacement in proportion to exp(weight)."""
+    return F.floor((weight + gumbel(doc_id, tag, seed)) * PARTS).cast("long")
+
+
+def quality(docs: DataFrame, labels: DataFrame, bound: int = 20000, seed: int = 7, keep: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """The rows of docs that are sampled, with their log-importance and key added (log_importance, sample_key).
 
     labels: doc_id, quality (0 or 1), toxic. The target model is fitted on a bounded sample of labelled documents: the `bound`
-    good ids with the smallest hashes. The raw model counts all documents. keep: the size k of the sample; by default the
-    number of documents whose importance lies above the threshold that best parts good and bad labelled documents; a fifth of the
-    good sample is held out of the target model for it. temperature: weights the noise, so importance counts as its power
-    1 / temperature; at a low one only documents near the threshold are left to chance. Rows with
-    equal keys (in particular repeated rows) are kept or left together. Null and empty texts have log-importance 0. Without
-    labels everything is equally important and everything is kept.
+    good ids (quality 1, not toxic) with the smallest hashes. The raw model counts all documents. The importance of a text is the ratio of
+    its likelihoods; rows are drawn without replacement in proportion to it. keep: the size k of the sample; by default
+    the number of rows times the share of quality 1 among all labelled ids. It may be 0, or more than there are rows (all are kept).
+    Rows with equal keys (in particular repeated rows) are kept or left together, so the sample can be larger by such ties. Null
+    and empty texts have log-importance 0. Without labels everything is kept. carry: the columns of docs that the result
+    has (by default all of them). Each text is looked at twice: once to count, once to weigh.
     """
-    good, bad = sample_labels(labels, bound)
-    held_out, good = good[::5], [x for i, x in enumerate(good) if i % 5]
-    score = weight(docs, log_ratios(docs, good))
-    w, key = common.fresh(docs, "log_importance"), common.fresh(docs, "sample_key")
-    tag = common.text_tag(docs["text"])
-    slim = common.pick(docs, "doc_id", "text").select("doc_id", common.text_tag(F.col("text")).alias("tag"), score("text").alias("w"))
-    slim = common.materialize(slim.withColumn("key", F.floor((F.col("w") + temperature * gumbel(F.col("doc_id"), F.col("tag"), seed)) * PARTS).cast("long")), "importance")
-    if keep is None:
-        held = docs.sparkSession.createDataFrame([(i, True) for i in held_out] + [(i, False) for i in bad], "id long, good boolean")
-        known = slim.join(F.broadcast(held), slim["doc_id"] == held["id"]).select("good", "w").limit(4 * bound).collect()  # bounded like the sample
-        at = threshold([r["w"] for r in known if r["good"]], [r["w"] for r in known if not r["good"]])
-        keep = slim.where(F.col("w") >= (at if known else float("-inf"))).count()
-    out = docs.withColumn(w, score(docs["text"]))
-    out = out.withColumn(key, F.floor((F.col(w) + temperature * gumbel(docs["doc_id"], tag, seed)) * PARTS).cast("long"))
-    least = kth_largest(slim, "key", keep) if keep > 0 else None
-    out = out.where(F.col(key) >= F.lit(least)) if least is not None else out.where(F.lit(False))
-    return out.withColumnsRenamed({w: w.strip("_") if w.strip("_") not in docs.columns else w, key: key.strip("_") if key.strip("_") not in docs.columns else key})
+    states = common.materialize(label_states(labels), "labels")
+    ratio = log_ratios(docs, sample_labels(states, bound))
+    cols = docs.columns if carry is None else carry
+    names = {c: docs.columns.index(c) for c in ("doc_id", "text")}
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    doc_id, text = (F.col(f"c{names[c]}") for c in ("doc_id", "text"))
+    scored = flat.withColumn("w", weight(docs, ratio)(text)).withColumn("key", sample_key(F.col("w"), doc_id, common.text_tag(text), seed))
+    own = [i for i, c in enumerate(docs.columns) if c in cols]
+    scored = common.materialize(scored.select(*(f"c{i}" for i in own), "w", "key"), "importance")
+    share = states.agg(F.avg(F.col("fine").cast("int")).alias("s")).first()["s"]
+    k = keep if keep is not None else scored.count() if share is None else round(scored.count() * share)
+    least = kth_largest(scored, "key", k)
+    out = scored.where(F.lit(False)) if k <= 0 else scored if least is None else scored.where(F.col("key") >= least)
+    added = [w if w not in docs.columns else common.fresh(docs, w) for w in ("log_importance", "sample_key")]
+    return out.toDF(*(docs.columns[i] for i in own), *added)

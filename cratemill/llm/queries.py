@@ -36,7 +36,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are kept."""
-    kept = quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    kept = quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"])
     return kept.select("doc_id", "log_importance", (F.col("sample_key") / quality.PARTS).alias("sample_key"))
 
 

@@ -181,3 +181,27 @@ def alergia(strings, alpha):
             q = after(q, c) if c else q
 
     return len(red), score
+
+
+TOKENS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x08\x0E-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def importance(docs, good, bucket, size):
+    """{doc_id: log-importance} of docs (doc_id, text): one count per n-gram, model by model. bucket: n-gram (tuple) -> number."""
+
+    def features(text):
+        t = TOKENS.findall(text or "")
+        return [bucket((x,)) for x in t] + [bucket(x) for x in zip(t, t[1:])]
+
+    raw, target = Counter(), Counter()
+    for i, text in docs:
+        raw.update(features(text))
+        if i in good:
+            target.update(features(text))
+    n, m = sum(raw.values()), sum(target.values())
+
+    def ratio(b):
+        p = (raw[b] + 1) / (n + size)
+        return math.log((target[b] / m + p) / 2 / p) if m else 0.0
+
+    return {i: sum(map(ratio, features(text))) for i, text in docs}

@@ -5,7 +5,9 @@ import random
 import statistics
 
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cratemill.llm import automata, common, exactdedup, licenses, mixing, quality, queries, revisits, secrets, simhash, spans, tiling, urlfilter
@@ -283,6 +285,59 @@ def test_quality_keeps_k(spark):
     assert quality.quality(docs, labels, keep=0).count() == 0
 
 
+def test_quality_keep_beyond_the_rows(spark):
+    rng = random.Random(7)
+    docs = frame(spark, [(i, prose(rng, 30)) for i in range(100)])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for keep in (99, 100, 101, 140):
+        assert quality.quality(docs, labels, keep=keep).count() == min(keep, 100)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert quality.quality(empty, labels, keep=5).count() == quality.quality(empty, labels, keep=0).count() == 0
+    assert quality.quality(docs, labels.limit(0)).count() == 100
+
+
+def test_quality_matches_a_plain_version(spark, corpus):
+    """Both models, the log-ratio and the top k, for every k."""
+    docs = [*corpus, (500, None), (501, ""), (502, "a\x01b #!? é-è"), (503, "one"), (504, "x y " * 3000)]
+    labels = [(i, i % 3 > 0, i % 5 == 0) for i in range(0, 120, 2)] + [(4, 0, 0), (None, 1, 0), (8, None, None)]
+    states = {}
+    for i, q, t in labels:
+        if i is not None and q is not None:
+            states.setdefault(i, []).append((int(q), int(t)))
+    fine = {i for i, v in states.items() if min(q for q, _ in v)}
+    good = {i for i in fine if not max(t for _, t in states[i])}
+    bucket = lambda g: int(quality.buckets(pa.array([" ".join(g)]))[1][-1])  # noqa: E731  the hash function is shared, nothing else
+    want = brute.importance(docs, good, bucket, quality.BUCKETS)
+    table = spark.createDataFrame([(i, None if q is None else int(q), None if t is None else int(t)) for i, q, t in labels], "doc_id long, quality int, toxic int")
+    every = {r["doc_id"]: r for r in quality.quality(frame(spark, docs), table, keep=10**6).collect()}
+    assert {i: r["log_importance"] for i, r in every.items()} == {i: pytest.approx(w, abs=1e-6) for i, w in want.items()}
+    drawn = sorted(every, key=lambda i: -every[i]["sample_key"])
+    k = round(len(docs) * len(fine) / len(states))
+    assert {r["doc_id"] for r in quality.quality(frame(spark, docs), table).collect()} == set(drawn[:k])
+
+
+def test_quality_draws_in_proportion_to_importance(spark):
+    """Over many seeds, first and second draws come as often as drawing by importance without replacement has them."""
+    odds, n = {1: 1.0, 2: 2.0, 3: 3.0, 4: 6.0}, 6000
+    rows = spark.createDataFrame([(i, math.log(o), f"text {i}") for i, o in odds.items()], "doc_id long, w double, text string").crossJoin(spark.range(n).withColumnRenamed("id", "seed"))
+    keyed = rows.withColumn("key", quality.sample_key(F.col("w"), F.col("doc_id"), common.text_tag(F.col("text")), F.col("seed")))
+    order = Window.partitionBy("seed").orderBy(F.desc("key"))
+    drawn = {(r["rn"], r["doc_id"]): r["count"] / n for r in keyed.withColumn("rn", F.row_number().over(order)).groupBy("rn", "doc_id").count().collect()}
+    total = sum(odds.values())
+    for i, o in odds.items():
+        second = sum(p / total * o / (total - p) for j, p in odds.items() if j != i)
+        for rn, want in ((1, o / total), (2, second)):
+            assert abs(drawn[rn, i] - want) < 4 * math.sqrt(want * (1 - want) / n)
+
+
+def test_quality_ids_of_any_type(spark):
+    rng = random.Random(9)
+    docs = [(f"d{i}", prose(rng, 40)) for i in range(40)] + [(None, "null id")]
+    labels = spark.createDataFrame([(f"d{i}", i % 2, 0) for i in range(20)], "doc_id string, quality int, toxic int")
+    out = quality.quality(spark.createDataFrame(docs, "doc_id string, text string"), labels)
+    assert out.count() == round(41 * 0.5) and out.columns == ["doc_id", "text", "log_importance", "sample_key"]
+
+
 def test_kth_largest(spark):
     rng = random.Random(8)
     xs = [rng.randrange(-(10**12), 10**12) for _ in range(500)] + [5] * 20
