@@ -2,13 +2,21 @@
 
 A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments.  The Manhattan distance of two such vectors
 never exceeds the Hamming distance of the fingerprints, so all pairs within Hamming distance r are among the pairs
-within Manhattan distance r.  The 32 axes are dealt to `groups` groups of axes: a Manhattan distance of r touches r groups at
-most, so two neighbours share the grid cell of at least one choice of groups - r groups, and an equi-join on the cells
-finds every neighbour.  Candidates pass the Manhattan bound first, then the exact Hamming distance.
+within Manhattan distance r.
+
+The grid: the 32 axes are dealt to `groups` groups.  A Manhattan distance of r touches r groups at most, so two neighbours are
+equal on at least one choice of groups - r groups; on the axes that are left, their coordinates add up to sums at
+most r apart.  A grid cell is a choice, the coordinates of its axes and the sum of the others in steps of r + 1; every
+point is stored in one cell per choice and looks for partners in the one or two cells that its range [sum - r, sum] touches.
+Candidates pass the Manhattan bound first, then the exact Hamming distance.
+
+Two-bit segments, because wider ones tell too little apart: random fingerprints have 48 bits of entropy in 32 segments of
+two bits, 32 in 16 of four, 20 in 8 of eight.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -77,41 +85,69 @@ def _long(x: int) -> str:
     return "(-9223372036854775807L - 1L)" if x == -(1 << 63) else f"({x}L)"
 
 
-def links(fps: DataFrame, radius: int = 3, groups: int = 6) -> DataFrame:
+def groups_for(points: int, radius: int) -> int:
+    """As many groups of axes as keep a cell of random fingerprints to a few points: more points, more choices of finer cells.
+
+    It decides how much is compared, not what is found.
+    """
+    groups = radius + 3
+    while groups < 12 and 48 * (groups - radius) / groups < math.log2(max(points, 2)) - 2:
+        groups += 1
+    return groups
+
+
+#: Cells are dealt to so many buckets to find the crowded ones.
+_BUCKETS = 1 << 14
+
+
+def links(fps: DataFrame, radius: int = 3, groups: int = 6, least: int = 1000) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints that differ in radius bits at most; each pair once.
 
-    fps: fingerprints in column fp, distinct. Copies share a fingerprint, so a group of copies is one point here.
+    fps: fingerprints in column fp, distinct. Copies share a fingerprint, so a group of copies is one point here. Buckets of cells
+    that hold more than a 4096-th of all cells (and more than `least`) are split: their points are dealt to several tasks and
+    those that look for partners are sent to each.
     """
     masks = cell_masks(radius, groups)
+    step = radius + 1
     at = fps.select("fp", F.expr(embed("fp")).alias("e"))
-    cells = at.select(
-        "fp",
-        F.posexplode(F.array(*(F.expr(f"e & {_long(m)}") for m in masks))).alias("choice", "cell"),
-    )
-    a, b = cells.alias("a"), cells.alias("b")
-    differ = f"(({embed('a.fp')}) ^ ({embed('b.fp')}))"
-    # of the cells that two points share, only the first makes the pair
-    first = "CASE " + " ".join(f"WHEN ({differ} & {_long(m)}) = 0 THEN {i}" for i, m in enumerate(masks)) + " END"
+    spread = F.posexplode(F.array(*(F.expr(f"struct(e & {_long(m)} AS cell, bit_count(e & ~{_long(m)}) AS rest)") for m in masks))).alias("choice", "at")
+    cells = at.select("fp", spread).select("fp", "choice", "at.cell", "at.rest")
+    bucket = lambda stripe: F.pmod(F.xxhash64("choice", "cell", stripe), F.lit(_BUCKETS))
+    stored = cells.withColumn("stripe", F.floor(F.col("rest") / step).cast("int")).withColumn("bucket", bucket("stripe"))
+    sizes = common.materialize(stored.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "cell-sizes")  # one row for each bucket
+    hot = common.materialize(common.hot_keys(sizes, "bucket", least=least), "hot-cells")
+    first, last = F.floor(F.greatest(F.col("rest") - radius, F.lit(0)) / step).cast("int"), F.floor(F.col("rest") / step).cast("int")
+    asking = cells.withColumn("stripe", F.explode(F.sequence(first, last))).withColumn("bucket", bucket("stripe"))
+    b = asking.select(F.col("fp").alias("q"), F.col("choice").alias("q_choice"), F.col("cell").alias("q_cell"), F.col("stripe").alias("q_stripe"), F.col("rest").alias("q_rest"), F.col("bucket").alias("q_bucket"))
+    crowded = F.broadcast(hot)  # bounded by common.hot_keys
+    left = stored.join(crowded, stored["bucket"] == hot["hot"], "left").withColumn("part", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("salts").cast("long"))).cast("int"))
+    right = b.join(crowded, b["q_bucket"] == hot["hot"], "left").withColumn("q_part", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    left, right = left.drop("hot", "salts", "bucket"), right.drop("hot", "salts", "q_bucket")
+    differ = f"(({embed('fp')}) ^ ({embed('q')}))"
+    # of the choices on which two points are equal, only the first makes the pair; the smaller sum is the stored side
+    once = "CASE " + " ".join(f"WHEN ({differ} & {_long(m)}) = 0 THEN {i}" for i, m in enumerate(masks)) + " END"
     close = (
-        (F.col("a.choice") == F.col("b.choice"))
-        & (F.col("a.cell") == F.col("b.cell"))
-        & (F.col("a.fp") < F.col("b.fp"))
+        (F.col("choice") == F.col("q_choice"))
+        & (F.col("cell") == F.col("q_cell"))
+        & (F.col("stripe") == F.col("q_stripe"))
+        & (F.col("part") == F.col("q_part"))
+        & ((F.col("rest") < F.col("q_rest")) | ((F.col("rest") == F.col("q_rest")) & (F.col("fp") < F.col("q"))))
         & F.expr(f"bit_count({differ}) <= {radius}")
-        & F.expr(f"bit_count(a.fp ^ b.fp) <= {radius}")
-        & (F.expr(first) == F.col("a.choice"))
+        & F.expr(f"bit_count(fp ^ q) <= {radius}")
+        & (F.expr(once) == F.col("choice"))
     )
-    return a.join(b, close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return left.join(right, close).select(F.least("fp", "q").alias("a"), F.greatest("fp", "q").alias("b"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): of every node that has an edge, the smallest node it can reach.
 
     Each round takes the smallest label among neighbours and then the label of that label, so chains are followed at
-    doubling distance. Labels are written out each round; only a count of changes comes to the driver.
+    doubling distance, until nothing changes. Labels are written out each round; only whether any changed comes to the driver.
     """
     both = common.materialize(edges.select("a", "b").union(edges.select("b", "a")), "edges")
     labels = common.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         stepped = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         up = labels.select(F.col("node").alias("via"), F.col("root").alias("top"))
@@ -120,27 +156,29 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = new.select("node", "root")
         if new.where("root <> was").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, groups: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, groups: int | None = None) -> DataFrame:
     """Of every row of docs (doc_id, text): doc_id, tag, fp, root, component_id.
 
     component_id is the smallest doc_id of all rows whose fingerprints can be reached over links of radius bits at most.
+    groups: groups of axes in the grid, by default by the number of fingerprints; the result does not depend on it.
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows give repeated result rows.
     A null doc_id is kept; it is never the smallest unless all of a component's are null. Other columns are ignored.
     """
     rows = common.materialize(fingerprints(docs), "fingerprints")
-    points = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "points")
-    roots = components(links(points, radius, groups))
+    points = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "points")
+    roots = components(links(points, radius, groups or groups_for(points.count(), radius)))
     rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = common.materialize(rooted, "rooted")
     ids = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id"))
     of_fp = rooted.join(ids, rooted["root"] == ids["r"]).select(F.col("fp").alias("p"), "root", "component_id")
-    return rows.join(of_fp, rows["fp"] == of_fp["p"]).select("doc_id", "tag", "fp", "root", "component_id")
+    hot = common.materialize(common.hot_keys(points, "fp"), "hot-fingerprints")
+    found = common.salted_join(rows, of_fp, "fp", "p", hot, [F.col("doc_id"), F.col("tag")])
+    return found.select("doc_id", "tag", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, groups: int = 6) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 3, groups: int | None = None) -> DataFrame:
     """docs with one document of each component: the smallest doc_id (null last), then the smallest text hash.
 
     Rows that are alike in both are alike in text too; they tie and stay together, so run the exact deduplication first.
