@@ -20,6 +20,10 @@ BLOCK_BYTES = 1 << 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
+_MULT_2 = np.uint64(0xC2B2AE3D27D4EB4F)
+_INV_2 = np.uint64(pow(int(_MULT_2), -1, 1 << 64))
+#: For the second hash every byte stands for a number of its own.
+_BYTES_2 = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -67,6 +71,8 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray  # uint64
+    second: np.ndarray | None = None  # another hash of the same bytes, if asked for
+    marks: np.ndarray | None = None  # bytes of marks, if asked for
 
     @property
     def first(self) -> np.ndarray:
@@ -112,15 +118,42 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterator[
         lo = hi
 
 
-def scan(texts: pa.Array, table: np.ndarray = ALNUM, lower: bool = True) -> Words:
-    """All words of all texts; A-Z are lower-cased first if asked for (in hashes; data stays as given)."""
+def _hashes(values: np.ndarray, begin: np.ndarray, finish: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Polynomial hash of every stretch of values, from prefix sums. values is overwritten."""
+    sums = np.empty(len(values) + 1, dtype=np.uint64)
+    sums[0] = 0
+    values *= up[: len(values)]
+    np.cumsum(values, out=sums[1:])
+    return mix((sums[finish] - sums[begin]) * down[begin])
+
+
+def places(data: np.ndarray, marks: str) -> np.ndarray:
+    """Which bytes belong to one of the marks (characters outside ASCII)."""
+    out = np.zeros(len(data), dtype=bool)
+    for m in marks:
+        code = m.encode()
+        at = np.flatnonzero(data[: len(data) - len(code) + 1] == code[0]) if len(data) >= len(code) else np.zeros(0, dtype=np.int64)
+        for i, byte in enumerate(code[1:], 1):
+            at = at[data[at + i] == byte]
+        for i in range(len(code)):
+            out[at + i] = True
+    return out
+
+
+def scan(texts: pa.Array, table: np.ndarray = ALNUM, lower: bool = True, twice: bool = False, marks: str = "") -> Words:
+    """All words of all texts; A-Z are lower-cased first if asked for (in hashes; data stays as given).
+
+    twice: a second hash as well, made from the bytes on its own; equal in both means equal words for all purposes.
+    marks: characters outside ASCII that belong to no word.
+    """
     data, offsets = buffers(texts)
-    starts, ends, hashes = [], [], []
+    marked = places(data, marks) if marks else None
+    starts, ends, hashes, seconds = [], [], [], []
     breaks = np.zeros(len(data) + 1, dtype=bool)
     breaks[offsets] = True
     for lo, hi in _cuts(data, offsets, table):
         part = data[lo:hi]
-        kind = table[part]
+        kind = table[part] if marked is None else np.where(marked[lo:hi], 0, table[part])
         inside = kind > 0
         edge = breaks[lo : hi + 1].copy()  # a word starts or ends at these places if its byte is inside
         edge[0] = edge[-1] = True
@@ -129,32 +162,26 @@ def scan(texts: pa.Array, table: np.ndarray = ALNUM, lower: bool = True) -> Word
         finish = np.flatnonzero(inside & edge[1:]) + 1
         if not len(begin):
             continue
-        sums = np.empty(len(part) + 1, dtype=np.uint64)
-        sums[0] = 0
-        values = (_LOWER[part] if lower else part).astype(np.uint64)
-        values += np.uint64(1)
-        values *= _power(_MULT, len(part) + 1, "up")[: len(part)]
-        np.cumsum(values, out=sums[1:])
-        h = (sums[finish] - sums[begin]) * _power(_INV, len(part) + 1, "down")[begin]
+        chars = _LOWER[part] if lower else part
         starts.append(begin + lo)
         ends.append(finish + lo)
-        hashes.append(mix(h))
+        hashes.append(_hashes(chars.astype(np.uint64) + np.uint64(1), begin, finish, _power(_MULT, len(part) + 1, "up"), _power(_INV, len(part) + 1, "down")))
+        if twice:
+            seconds.append(_hashes(_BYTES_2[chars], begin, finish, _power(_MULT_2, len(part) + 1, "up2"), _power(_INV_2, len(part) + 1, "down2")))
     if not starts:
-        none = np.zeros(0, dtype=np.int64)
-        return Words(data, offsets, none, none, none, np.zeros(0, dtype=np.uint64))
+        none, empty = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return Words(data, offsets, none, none, none, empty, empty if twice else None, marked)
     start = np.concatenate(starts)
     row = np.searchsorted(offsets, start, side="right") - 1
-    return Words(data, offsets, row, start, np.concatenate(ends), np.concatenate(hashes))
+    return Words(data, offsets, row, start, np.concatenate(ends), np.concatenate(hashes), np.concatenate(seconds) if twice else None, marked)
 
 
 def grams(hashes: np.ndarray, k: int, second: bool = False) -> np.ndarray:
-    """Rolling hash of every k consecutive entries (n - k + 1 of them); second gives an independent hash."""
+    """Rolling hash of every k consecutive entries (n - k + 1 of them); second rolls with another base."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     base = np.uint64(0xD6E8FEB86659FD93 if second else 0xA24BAED4963EE407)
-    if second:
-        hashes = mix(hashes + np.uint64(0x632BE59BD9B4E019))
     out = np.zeros(n, dtype=np.uint64)
     for j in range(k):
         out *= base
