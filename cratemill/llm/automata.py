@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Classes of segments (the narrowest that holds all of a segment's characters), and the number of characters in each.
 CLASSES = {"d": 10, "x": 16, "l": 26, "m": 36, "w": 52, "a": 62}
+_SHARE = {k: math.log(n) for k, n in CLASSES.items()}
+_ANY = math.log(len(ALPHABET))
 _FITS = [(k, re.compile(v)) for k, v in (("d", "[0-9]+"), ("x", "[0-9a-f]+|[0-9A-F]+"), ("l", "[a-z]+|[A-Z]+"), ("m", "[0-9a-z]+|[0-9A-Z]+"), ("w", "[A-Za-z]+"))]
 _SEGMENT = re.compile("[A-Za-z0-9]+")
 
@@ -69,8 +71,8 @@ class Automaton:
     states: list[tuple[float, dict[str, tuple[float, int]], tuple[float, int]]]
     literal: frozenset[str] = frozenset()
 
-    def score(self, text: str) -> float:
-        """Log-likelihood of the text, its end included.
+    def score(self, text: str, least: float = -math.inf) -> float:
+        """Log-likelihood of the text, its end included; -inf as soon as it is known to be below `least`.
 
         A class's probability is shared by its characters. A symbol that a state has not seen is taken as the character itself if the
         state has seen that; else it is one unseen outcome, shared by all characters, and the state's likeliest successor follows.
@@ -82,11 +84,13 @@ class Automaton:
                 c = f"={char}"
             step = seen.get(c)
             if step is None:
-                total += other[0] - math.log(len(ALPHABET))
+                total += other[0] - _ANY
                 at = other[1]
             else:
-                total += step[0] - (math.log(CLASSES[c]) if c in CLASSES else 0.0)
+                total += step[0] - _SHARE.get(c, 0.0)
                 at = step[1]
+            if total < least:
+                return -math.inf
         return total + self.states[at][0]
 
 

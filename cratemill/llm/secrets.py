@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -112,17 +114,11 @@ def fit(rows: DataFrame, per_kind: int = 400, longest: int = 256) -> dict[str, A
     return models
 
 
-_CODE = np.full(256, len(ALPHABET), dtype=np.int64)
-_CODE[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(len(ALPHABET))
-#: Before the first and after the last character of a token.
-_EDGE = len(ALPHABET)
-_SIDE = len(ALPHABET) + 1
-
-
-def pairs(token: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of a token's characters, each with the one before it; the edges of the token count as a character."""
-    codes = _CODE[np.frombuffer(token.encode(), dtype=np.uint8)]
-    return np.append(_EDGE, codes), np.append(codes, _EDGE)
+#: Stands before the first and after the last character of a token.
+_EDGE = "\n"
+_CHARS = ALPHABET + _EDGE
+_CODE = np.zeros(256, dtype=np.int64)
+_CODE[np.frombuffer(_CHARS.encode(), dtype=np.uint8)] = np.arange(len(_CHARS))
 
 
 def uncovered(base: list[tuple[int, int]], tokens: list[tuple[int, int]]) -> list[bool]:
@@ -136,50 +132,58 @@ def uncovered(base: list[tuple[int, int]], tokens: list[tuple[int, int]]) -> lis
     return out
 
 
-def background(rows: DataFrame, prior: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of character pairs, and of their first characters, in all tokens of all documents that overlap no base span.
+@dataclass(frozen=True)
+class Ordinary:
+    """How often a character follows another one in ordinary tokens, and how often a character is followed by any."""
+
+    pair: dict[str, float]
+    first: dict[str, float]
+
+    def score(self, token: str, counted: bool) -> float:
+        """Log-likelihood of a token.
+
+        What is ordinary, the other tokens tell: a token that was counted itself is taken out of the counts.
+        """
+        text = _EDGE + token + _EDGE
+        pairs = [text[i : i + 2] for i in range(len(text) - 1)]
+        if not counted:
+            return sum(math.log(self.pair[p] / self.first[p[0]]) for p in pairs)
+        own, begin = Counter(pairs), Counter(text[:-1])
+        return sum(math.log((self.pair[p] - own[p]) / (self.first[p[0]] - begin[p[0]])) for p in pairs)
+
+
+def background(rows: DataFrame, prior: float = 8.0) -> Ordinary:
+    """Counts of character pairs in all tokens of all documents that overlap no base span.
 
     Counts are summed up in the tasks; at most one row for each pair of characters comes to the driver. prior is added to
     every count.
     """
+    side = len(_CHARS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(_SIDE * _SIDE, dtype=np.int64)
+        count = np.zeros(side * side, dtype=np.int64)
         for b in batches:
+            text = [_EDGE]
             for base, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 free = uncovered([(x["start"], x["end"]) for x in base], [(t["start"], t["end"]) for t in tokens])
-                text = [pairs(t["token"]) for t, keep in zip(tokens, free) if keep]
-                if text:
-                    count += np.bincount(np.concatenate([x * _SIDE + y for x, y in text]), minlength=len(count))
+                text += [t["token"] + _EDGE for t, keep in zip(tokens, free) if keep]
+            codes = _CODE[np.frombuffer("".join(text).encode(), dtype=np.uint8)]
+            count += np.bincount(codes[:-1] * side + codes[1:], minlength=len(count))
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], ["pair", "n"])
 
     counted = rows.where(F.size("tokens") > 0).select("base", "tokens").mapInArrow(run, "pair int, n long")
     sums = counted.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    count = np.full(_SIDE * _SIDE, prior)
+    count = np.full(side * side, prior)
     count[sums.column("pair").to_numpy()] += sums.column("n").to_numpy()
-    count = count.reshape(_SIDE, _SIDE)
-    return count, count.sum(axis=1)
-
-
-def _own(x: np.ndarray) -> np.ndarray:
-    """How often each entry occurs."""
-    _, at, n = np.unique(x, return_inverse=True, return_counts=True)
-    return n[at]
+    first = count.reshape(side, side).sum(axis=1)
+    return Ordinary({a + b: float(count[i * side + j]) for i, a in enumerate(_CHARS) for j, b in enumerate(_CHARS)}, {a: float(first[i]) for i, a in enumerate(_CHARS)})
 
 
-def likelihood(token: str, models: dict[str, Automaton], ordinary: tuple[np.ndarray, np.ndarray], counted: bool) -> float:
-    """Log-likelihood ratio of a token: by the automaton that it fits best, against an ordinary token.
-
-    ordinary: counts of pairs and of first characters. What is ordinary, the other tokens tell: a token that was counted itself is
-    taken out of the counts.
-    """
-    best = max((m.score(token) for m in models.values()), default=-math.inf)
-    before, after = pairs(token)
-    pair, first = ordinary[0][before, after], ordinary[1][before]
-    if counted:
-        pair, first = pair - _own(before * _SIDE + after), first - _own(before)
-    return best - float(np.log(pair / first).sum())
+def is_credential(token: str, models: dict[str, Automaton], ordinary: Ordinary, counted: bool, bits: float) -> bool:
+    """Whether some automaton makes the token 2**bits times as likely as an ordinary token."""
+    least = ordinary.score(token, counted) + bits * math.log(2)
+    return any(m.score(token, least) >= least for m in models.values())
 
 
 def secrets(docs: DataFrame, per_kind: int = 400, longest: int = 256, bits: float = 20.0) -> DataFrame:
@@ -194,7 +198,6 @@ def secrets(docs: DataFrame, per_kind: int = 400, longest: int = 256, bits: floa
     rows = common.materialize(found(docs), "secrets")
     held = rows.sparkSession.sparkContext.broadcast((fit(rows, per_kind, longest), background(rows)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    least = bits * math.log(2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, ordinary = held.value
@@ -205,7 +208,7 @@ def secrets(docs: DataFrame, per_kind: int = 400, longest: int = 256, bits: floa
             for r in b.to_pylist():
                 base = [(x["start"], x["end"], x["kind"]) for x in r["base"]]
                 free = uncovered([(s, e) for s, e, _ in base], [(t["start"], t["end"]) for t in r["tokens"]])
-                likely = [likelihood(t["token"], models, ordinary, f) >= least for t, f in zip(r["tokens"], free)]
+                likely = [is_credential(t["token"], models, ordinary, f, bits) for t, f in zip(r["tokens"], free)]
                 more = [(t["start"], t["end"], "grammar") for t, f, y in zip(r["tokens"], free, likely) if f and y]
                 n = [sum(k == kind for *_, kind in base) for k in KINDS[:3]]
                 out.append((r["doc_id"], *n, hashlib.sha256(join(base).encode()).hexdigest(), join(base + more), len(more), sum(likely) - len(more)))

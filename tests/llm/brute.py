@@ -75,7 +75,7 @@ def phrase_places(text, phrases):
 def sentences(text):
     """(words) of each sentence, as lists of lower-cased words."""
     out = []
-    for part in re.split(r"[.!?,;:\n]", text or ""):
+    for part in re.split("[.!?\n。！？｡।॥؟۔…։።။។]", text or ""):
         w = ALNUM.findall(low(part))
         if w:
             out.append(w)
@@ -99,6 +99,7 @@ def later_runs(docs, run):
 def tiling(doc, item, k):
     """Words of the item covered by greedy string tiling, word by word."""
     d, t = ALNUM.findall(low(doc)), ALNUM.findall(low(item))
+    k = min(k, len(t))
     md, mt = [False] * len(d), [False] * len(t)
     covered = 0
     while True:
