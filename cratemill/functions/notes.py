@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What is cut out of seller comments (underlines, labels of links, URLs), and pictures.
@@ -38,7 +38,10 @@ def low(t: Column) -> Column:
 
 
 def has_any(t: Column, words: tuple[str, ...]) -> Column:
-    return F.rlike(t, F.lit("|".join(re.escape(w) for w in words))) if words else F.lit(False)
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(t, F.lit(w))
+    return out
 
 
 def hits(t: Column, words: tuple[str, ...]) -> Column:
@@ -77,30 +80,49 @@ def clean(t: Column, v: Vocabulary = VOCABULARY) -> Column:
     return t
 
 
-def media_verifiable(t: Column, v: Vocabulary = VOCABULARY) -> Column:
+def cues(t: Column, v: Vocabulary = VOCABULARY) -> Column:
+    """What a note says, as one struct: looked up once, used by every rule below. Select it as a column of its own."""
     t = low(t)
-    return ~has_any(t, v.unverified) & (has_any(t, v.sealed) | has_any(t, v.playback) | (has_any(t, v.subjects) & has_any(t, v.conditions)))
+    return F.struct(
+        has_any(t, v.unverified).alias("unverified"), has_any(t, v.sealed).alias("sealed"), hits(t, v.playback).alias("playback"),
+        has_any(t, v.subjects).alias("subjects"), has_any(t, v.conditions).alias("conditions"),
+    )
+
+
+def verifiable_by(q: Column) -> Column:
+    return ~q["unverified"] & (q["sealed"] | (q["playback"] >= 1) | (q["subjects"] & q["conditions"]))
+
+
+def evidence_by(q: Column) -> Column:
+    strong = (q["playback"] >= 2) | ((q["playback"] >= 1) & (q["subjects"] | q["conditions"]))
+    return F.when(q["unverified"], "none").when(strong, "strong").when((q["subjects"] & q["conditions"]) | q["sealed"], "weak").otherwise("none")
+
+
+def media_verifiable(t: Column, v: Vocabulary = VOCABULARY) -> Column:
+    return verifiable_by(cues(t, v))
 
 
 def evidence(t: Column, v: Vocabulary = VOCABULARY) -> Column:
     """none, weak or strong: how directly the media's condition is described."""
-    t = low(t)
-    both = has_any(t, v.subjects) & has_any(t, v.conditions)
-    n = hits(t, v.playback)
-    strong = (n >= 2) | ((n >= 1) & (has_any(t, v.subjects) | has_any(t, v.conditions)))
-    return F.when(has_any(t, v.unverified), "none").when(strong, "strong").when(both | has_any(t, v.sealed), "weak").otherwise("none")
+    return evidence_by(cues(t, v))
 
 
 def generic_sleeve(t: Column, v: Vocabulary = VOCABULARY) -> Column:
     return has_any(low(t), v.generic)
 
 
-def quality(raw: Column, cleaned: Column, v: Vocabulary = VOCABULARY) -> dict[str, Column]:
-    """Whether sleeve and media are described well enough, what is missing, and whether the note is fit for training."""
-    sleeve = has_any(low(cleaned), v.sleeve) | (F.length(F.trim(cleaned)) >= v.fallback_chars)
-    media = evidence(raw, v) != "none"
-    gaps = F.array_compact(F.array(F.when(~sleeve, "sleeve"), F.when(~media, "media")))
-    return {"sleeve_note_adequate": sleeve, "media_note_adequate": media, "adequate_for_training": sleeve & media, "gaps": gaps, "needs_richer_note": F.size(gaps) > 0}
+#: What to ask the seller for where a note says too little.
+PROMPTS = {"sleeve": "Describe the sleeve: seams, corners, wear, writing.", "media": "Describe the record: how it looks under light and how it plays."}
+
+
+def with_quality(df: DataFrame, raw: str, cleaned: str, v: Vocabulary = VOCABULARY) -> DataFrame:
+    """df with sleeve_note_adequate, media_note_adequate, adequate_for_training, gaps, prompts, needs_richer_note and cues."""
+    text = F.lower(F.trim(F.coalesce(cleaned, F.lit(""))))
+    out = df.withColumn("cues", cues(F.col(raw), v)).withColumn("__text", text)
+    out = out.withColumn("sleeve_note_adequate", has_any(F.col("__text"), v.sleeve) | (F.length("__text") >= v.fallback_chars)).withColumn("media_note_adequate", evidence_by(F.col("cues")) != "none")
+    missing = lambda give: F.array_compact(F.array(*(F.when(~F.col(f"{k}_note_adequate"), F.lit(give[k])) for k in ("sleeve", "media"))))
+    both = F.col("sleeve_note_adequate") & F.col("media_note_adequate")
+    return out.withColumns({"adequate_for_training": both, "gaps": missing({"sleeve": "sleeve", "media": "media"}), "prompts": missing(PROMPTS), "needs_richer_note": ~both}).drop("__text")
 
 
 def lost_terms(raw: Column, cleaned: Column, v: Vocabulary = VOCABULARY) -> Column:
@@ -123,6 +145,7 @@ class GradeRule:
     most: int = 99
     confidence: float = 0.85
     only_downgrade: bool = False
+    targets: tuple[str, ...] = ("sleeve", "media")
 
 
 @dataclass(frozen=True)
@@ -131,7 +154,7 @@ class Rules:
     order: tuple[str, ...] = ("Mint", "Near Mint", "Excellent", "Very Good Plus", "Very Good", "Good", "Poor")
     hard: tuple[GradeRule, ...] = (
         GradeRule("Poor", strict=("water damage", "deep scratch"), cosignal=("skips", "surface noise"), forbidden=("no water damage",), exceptions=("water damage free",)),
-        GradeRule("Generic", strict=("generic sleeve", "generic white sleeve"), forbidden=("original cover",)),
+        GradeRule("Generic", strict=("generic sleeve", "generic white sleeve"), forbidden=("original cover",), targets=("sleeve",)),
     )
     soft: tuple[GradeRule, ...] = (
         GradeRule("Near Mint", supporting=("hairlines", "plays perfectly", "never opened"), forbidden=("scratch",), least=1, most=2),
@@ -141,34 +164,102 @@ class Rules:
     )
     most_upgrade: int = 1
     pairs: tuple[tuple[str, str], ...] = (("sealed", "plays"), ("mint", "water damage"), ("unplayed", "hairlines"))
+    #: What keeps a sleeve from Near Mint, what is only a small split, and what else is then a defect.
+    splits: tuple[str, ...] = ("seam split", "spine split")
+    small_splits: tuple[str, ...] = ("small seam split", "small top seam split", "small seam split along", "small seam split on top", "small spine split", "small top spine split")
+    split_defects: tuple[str, ...] = (
+        "scratch", "scratches", "scuff", "scuffs", "wear", "wrinkle", "wrinkles", "ring wear", "ringwear", "stain", "stains", "foxing", "mold", "water damage",
+        "corner", "bump", "cutout", "cut out", "tear", "tears", "fade", "writing", "sticker", "gouge", "gouges",
+    )
+    #: A grade that is not given out, and the one that stands for it.
+    collapse: tuple[str, str] | None = ("Excellent", "Near Mint")
+
+    def signals(self) -> tuple[str, ...]:
+        """Every phrase that some rule looks for."""
+        own = (w for r in (*self.hard, *self.soft) for words in (r.strict, r.cosignal, r.supporting, r.forbidden) for w in words)
+        return tuple(dict.fromkeys((*own, *(w for p in self.pairs for w in p), *self.splits, *self.small_splits, *self.split_defects)))
 
 
 RULES = Rules()
+_LISTS = ("strict", "cosignal", "supporting", "forbidden", "exceptions")
+
+
+def rules_from_table(table: DataFrame, base: Rules = RULES) -> Rules:
+    """Rules from a guideline table: grade, list, value (strings) and place (int); it is configuration and read on the driver.
+
+    list is one of strict, cosignal, supporting, forbidden, exceptions, targets (a value each row), least, most, confidence,
+    only_downgrade (one row), pair (two signals with a bar between), small_split, split_defect, split, order, hard or soft (the grades
+    in the order in which they are tried). What the table does not have is taken from base. Nulls are left out.
+    """
+    rows = sorted(((r["place"] or 0, r["grade"], r["list"], r["value"]) for r in table.select("place", "grade", "list", "value").collect() if r["list"] and r["value"]), key=lambda r: r[0])
+    of = lambda name, grade=None: tuple(v for _, g, n, v in rows if n == name and (grade is None or g == grade))
+    kinds = {"least": int, "most": int, "confidence": float, "only_downgrade": lambda v: v.strip().lower() == "true"}
+
+    def rule(grade: str) -> GradeRule:
+        one = {k: make(of(k, grade)[0]) for k, make in kinds.items() if of(k, grade)}
+        return GradeRule(grade, **{k: of(k, grade) for k in _LISTS}, **one, targets=of("targets", grade) or ("sleeve", "media"))
+
+    given = {"hard": tuple(map(rule, of("hard"))), "soft": tuple(map(rule, of("soft"))), "pairs": tuple((a, b) for a, _, b in (v.partition("|") for v in of("pair")))}
+    given |= {"order": of("order"), "splits": of("split"), "small_splits": of("small_split"), "split_defects": of("split_defect")}
+    return replace(base, **{k: v for k, v in given.items() if v})
 
 
 def signal(t: Column, s: str) -> Column:
-    """The signal as whole words."""
-    return F.rlike(t, F.lit(rf"(^|[^a-z0-9]){re.escape(s)}([^a-z0-9]|$)"))
+    """The signal as whole words of lower-case text; the cheap search decides in nearly all cases."""
+    return F.contains(t, F.lit(s)) & F.rlike(t, F.lit(rf"(^|[^a-z0-9]){re.escape(s)}([^a-z0-9]|$)"))
 
 
-def matches(t: Column, words: tuple[str, ...]) -> Column:
-    return sum((signal(t, w).cast("int") for w in words), F.lit(0))
+def signals_in(t: Column, words: tuple[str, ...]) -> Column:
+    """The words that stand in lower-case text t, in the order of the list. Select it as a column of its own."""
+    return F.array_compact(F.array(*(F.when(signal(t, w), F.lit(w)) for w in words))) if words else F.array().cast("array<string>")
 
 
-def _unforbidden(t: Column, r: GradeRule) -> Column:
+def _list(words: tuple[str, ...]) -> Column:
+    return F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>")
+
+
+def count_of(found: Column, words: tuple[str, ...]) -> Column:
+    """How many distinct ones of the words were found."""
+    return F.size(F.array_intersect(found, _list(words)))
+
+
+def any_of(found: Column, words: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(found, _list(words)) if words else F.lit(False)
+
+
+def _blocked(t: Column, found: Column, r: GradeRule) -> Column:
+    """A forbidden signal stands in the text once the rule's exceptions are taken out."""
+    if not r.exceptions:
+        return any_of(found, r.forbidden)
+    excepted = t
     for e in r.exceptions:
-        t = F.replace(t, F.lit(e), F.lit(" "))
-    return matches(t, r.forbidden) == 0
+        excepted = F.replace(excepted, F.lit(e), F.lit(" "))
+    # taking phrases out can only bring forbidden ones together where an exception stands
+    return F.when(has_any(t, r.exceptions), F.size(signals_in(excepted, r.forbidden)) > 0).otherwise(any_of(found, r.forbidden))
+
+
+def hard_by(t: Column, found: Column, target: str, rules: Rules = RULES, forbid: bool = True) -> Column:
+    """struct(grade, tier, signal) of the first hard-owned grade that fires, or null."""
+    out = []
+    for r in rules.hard:
+        if target not in r.targets:
+            continue
+        strict, co = any_of(found, r.strict), any_of(found, r.cosignal) & (count_of(found, tuple({*r.strict, *r.cosignal})) >= 2)
+        first = lambda words: F.get(F.filter(_list(words), lambda w: F.array_contains(found, w)), F.lit(0))
+        hit = F.struct(F.lit(r.grade).alias("grade"), F.when(strict, "strict").otherwise("cosignal").alias("tier"), F.when(strict, first(r.strict)).otherwise(first(r.cosignal)).alias("signal"))
+        out.append(F.when((strict | co) & ~_blocked(t, found, r) if forbid else strict | co, hit))
+    return F.coalesce(*out) if out else F.lit(None).cast("struct<grade:string,tier:string,signal:string>")
 
 
 def hard_match(t: Column, r: GradeRule) -> Column:
-    return (matches(t, r.strict) >= 1) | ((matches(t, r.cosignal) >= 1) & (matches(t, tuple({*r.strict, *r.cosignal})) >= 2))
+    """Whether the grade's hard signals are there, whatever forbids it."""
+    found = signals_in(t, (*r.strict, *r.cosignal))
+    return any_of(found, r.strict) | (any_of(found, r.cosignal) & (count_of(found, tuple({*r.strict, *r.cosignal})) >= 2))
 
 
 def hard_grade(t: Column, target: str, rules: Rules = RULES) -> Column:
     """The first hard-owned grade that fires; Generic is for sleeves only."""
-    t = low(t)
-    return F.coalesce(*(F.when(hard_match(t, r) & _unforbidden(t, r), r.grade) for r in rules.hard if target == "sleeve" or r.grade != "Generic"), F.lit(None).cast("string"))
+    return hard_by(low(t), signals_in(low(t), rules.signals()), target, rules)["grade"]
 
 
 def ordinal(grade: Column, rules: Rules = RULES) -> Column:
@@ -178,27 +269,71 @@ def ordinal(grade: Column, rules: Rules = RULES) -> Column:
     return out.otherwise(99)
 
 
-def soft_grade(t: Column, predicted: Column, confidence: Column, rules: Rules = RULES) -> Column:
-    """The best grade whose conditions all hold: signals within bounds, none forbidden, an unsure model, no large upgrade."""
-    t, at = low(t), ordinal(predicted, rules)
-    tries = []
+def soft_by(t: Column, found: Column, target: str | None, predicted: Column, confidence: Column, rules: Rules = RULES, differ: bool = False) -> Column:
+    at, tries = ordinal(predicted, rules), []
     for r in rules.soft:
-        n, here = matches(t, r.supporting), rules.order.index(r.grade)
-        ok = (n >= r.least) & (n <= r.most) & _unforbidden(t, r) & (confidence < r.confidence) & ~((at > here) & (at - here > rules.most_upgrade))
+        if target is not None and target not in r.targets:
+            continue
+        n, here = count_of(found, r.supporting), rules.order.index(r.grade)
+        ok = (n >= r.least) & (n <= r.most) & ~_blocked(t, found, r) & (confidence < r.confidence) & ~((at > here) & (at - here > rules.most_upgrade))
+        ok = ok & F.coalesce(predicted != r.grade, F.lit(True)) if differ else ok
         tries.append(F.when(ok & (at < here) if r.only_downgrade else ok, r.grade))
-    return F.coalesce(*tries)
+    return F.coalesce(*tries, F.lit(None).cast("string"))
 
 
-def contradiction(t: Column, rules: Rules = RULES) -> Column:
-    t = low(t)
+def soft_grade(t: Column, predicted: Column, confidence: Column, rules: Rules = RULES) -> Column:
+    """The best grade whose conditions all hold: signals within bounds, none forbidden, an unsure model, no large upgrade."""
+    return soft_by(low(t), signals_in(low(t), rules.signals()), None, predicted, confidence, rules)
+
+
+def contradicts(found: Column, rules: Rules = RULES) -> Column:
     out = F.lit(False)
     for a, b in rules.pairs:
-        out = out | (signal(t, a) & signal(t, b))
+        out = out | (F.array_contains(found, F.lit(a)) & F.array_contains(found, F.lit(b)))
     return out
 
 
-def final_grade(t: Column, target: str, predicted: Column, confidence: Column, rules: Rules = RULES) -> Column:
-    return F.coalesce(hard_grade(t, target, rules), soft_grade(t, predicted, confidence, rules), predicted)
+def contradiction(t: Column, rules: Rules = RULES) -> Column:
+    """Both signals of some pair are there."""
+    return contradicts(signals_in(low(t), rules.signals()), rules)
+
+
+def with_signals(df: DataFrame, text: str, rules: Rules = RULES) -> DataFrame:
+    """df with the lower-case text (__low) and the signals found in it (__found): every text is searched once."""
+    return df.withColumn("__low", low(F.col(text))).withColumn("__found", signals_in(F.col("__low"), rules.signals()))
+
+
+def split_grade(found: Column, rules: Rules = RULES) -> Column:
+    """What a split seam leaves of Near Mint: Very Good Plus if it is small and nothing else is wrong, else Very Good; null without one."""
+    small = any_of(found, rules.small_splits) & ~any_of(found, rules.split_defects)
+    return F.when(any_of(found, rules.splits), F.when(small, "Very Good Plus").otherwise("Very Good"))
+
+
+def apply_rules(df: DataFrame, text: str, predicted: dict[str, str], confidence: dict[str, str], rules: Rules = RULES) -> DataFrame:
+    """df with, for each target of predicted: {target}_final, {target}_tier, {target}_signal; and contradiction, overridden, collapsed.
+
+    A contradiction suspends all rules. Else a target's grade is that of the seam-split guardrail (a sleeve predicted Near Mint), of
+    a hard rule, or of a soft one; a small split alone does not take Very Good Plus to Very Good. tier and signal tell which hard
+    rule fired. overridden and collapsed list the targets whose grade was changed by a rule, or by the grade that is not
+    given out. predicted and confidence name columns; a null prediction stays null unless a rule fires.
+    """
+    out = with_signals(df, text, rules)
+    t, found = F.col("__low"), F.col("__found")
+    out = out.withColumn("contradiction", contradicts(found, rules)).withColumn("__split", split_grade(found, rules))
+    for target, name in predicted.items():
+        was, split = F.col(name), F.col("__split")
+        guard = F.when(F.lit(target == "sleeve") & (was == "Near Mint"), split)
+        out = out.withColumn("__hard", F.when(guard.isNull() & ~F.col("contradiction"), hard_by(t, found, target, rules)))
+        # a soft rule that arrives at the grade there was is no override, and worse grades are tried
+        grade = F.coalesce(guard, F.col("__hard.grade"), soft_by(t, found, target, was, F.col(confidence[target]), rules, differ=True))
+        grade = F.when(~F.coalesce((grade == "Very Good") & (was == "Very Good Plus") & (split == "Very Good Plus"), F.lit(False)), grade)
+        out = out.withColumns({f"__{target}": F.when(~F.col("contradiction"), grade), f"{target}_tier": F.col("__hard.tier"), f"{target}_signal": F.col("__hard.signal")}).drop("__hard")
+    finals = {k: F.coalesce(F.col(f"__{k}"), F.col(v)) for k, v in predicted.items()}
+    some = lambda marks: F.array_compact(F.array(*(F.when(m, F.lit(k)) for k, m in marks.items())))
+    gone, stands = rules.collapse or (None, None)
+    collapsed = {k: v == gone if gone else F.lit(False) for k, v in finals.items()}
+    out = out.withColumns({f"{k}_final": F.when(collapsed[k], F.lit(stands)).otherwise(v) for k, v in finals.items()} | {"overridden": some({k: F.col(f"__{k}").isNotNull() for k in predicted}), "collapsed": some(collapsed)})
+    return out.drop("__low", "__found", "__split", *(f"__{k}" for k in predicted))
 
 
 def drop_reason(t: Column, sleeve: Column, media: Column, least: int) -> Column:

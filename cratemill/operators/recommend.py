@@ -30,7 +30,7 @@ def rating_strength(rating: Column, w: Strengths = Strengths()) -> Column:
 
 def only_low_rated(ratings: DataFrame, below: float = 3.0) -> DataFrame:
     """album_id of albums that never got a rating of `below` or more; ratings that are no numbers do not count."""
-    return ratings.groupBy("album_id").agg(F.max(F.col("rating").cast("double")).alias("best")).where(F.col("best") < below).select("album_id")
+    return ratings.groupBy("album_id").agg(F.max(F.col("rating").try_cast("double")).alias("best")).where(F.col("best") < below).select("album_id")
 
 
 def interactions(collection: DataFrame, wantlist: DataFrame, ratings: DataFrame, w: Strengths = Strengths()) -> DataFrame:
@@ -95,31 +95,43 @@ def candidates(albums: DataFrame, masters: DataFrame, window: int = 1) -> DataFr
     return spread.join(m.withColumn("year", F.greatest("year", F.lit(0))), ["artist", "year"]).select("album_id", "album_no", "title", "master_id", "master_no", "m_title")
 
 
-def match(albums: DataFrame, masters: DataFrame, least: float = 0.88, window: int = 1, similarity=sequence_ratio, rounds: int = 200) -> DataFrame:
+def match(albums: DataFrame, masters: DataFrame, least: float = 0.88, window: int = 1, similarity=sequence_ratio) -> DataFrame:
     """(master_id, album_id): greedy one-to-one matches in album order.
 
     An album takes an equal title (the smallest number), else the most similar one above the threshold. All albums propose at
     once to their best master that has not refused them; a master keeps the earliest album. That gives the matches of the
     one-by-one walk, because albums' preferences do not depend on what is taken and all masters prefer earlier albums.
+
+    Albums with the very same list of masters take them in album order, so the k-th starts at the k-th master and stays behind the one before
+    it: many equal titles are settled in a few rounds. Rounds go on until no album is refused.
     """
     pairs = candidates(albums, masters, window)
     exact = F.col("title") == F.col("m_title")
+    if similarity is sequence_ratio:
+        # common characters in order are at most the longer title less the edits, so few pairs reach the threshold and Python
+        total = F.length("title") + F.length("m_title")
+        pairs = pairs.where(exact | (1 - F.levenshtein("title", "m_title") / total >= least))
     scored = pairs.withColumn("sim", F.when(exact, 1.0).otherwise(similarity(F.col("title"), F.col("m_title"))))
     scored = scored.withColumn("exact", exact).where(exact | (F.col("sim") >= least))
     # an album with an equal title among its free candidates takes it, so those come first
     order = [F.desc("exact"), F.when(F.col("exact"), F.col("master_no")).asc_nulls_last(), F.desc("sim"), F.asc("master_id")]
     w = Window.partitionBy("album_id").orderBy(*order)
     ranked = scored.withColumn("choice", F.row_number().over(w)).select("album_id", "album_no", "master_id", "choice").checkpoint()
-    at = ranked.select("album_id").distinct().withColumn("choice", F.lit(1)).checkpoint()
-    for _ in range(rounds):
-        asked = ranked.join(at, ["album_id", "choice"])
-        best = asked.groupBy("master_id").agg(F.min_by("album_id", "album_no").alias("kept"))
-        judged = asked.join(best, "master_id").withColumn("lost", F.col("album_id") != F.col("kept"))
-        nxt = at.join(judged.select("album_id", "lost"), "album_id").select("album_id", (F.col("choice") + F.col("lost").cast("int")).alias("choice"), "lost").checkpoint()
-        if nxt.where("lost").isEmpty():
-            return ranked.join(nxt.select("album_id", "choice"), ["album_id", "choice"]).select("master_id", "album_id")
-        at = nxt.select("album_id", "choice")
-    raise RuntimeError("matching did not settle")
+    # albums with the same list are one class; a list is told by two hashes of its entries
+    sign = [F.expr(f"bit_xor(xxhash64({seed}, choice, master_id))").alias(f"h{seed}") for seed in (1, 2)]
+    lists = ranked.groupBy("album_id", "album_no").agg(*sign)
+    line = Window.partitionBy("h1", "h2").orderBy("album_no", "album_id")
+    at = lists.withColumn("k", F.row_number().over(line)).select("album_id", "h1", "h2", "k", F.col("k").alias("choice")).checkpoint()
+    so_far = Window.partitionBy("h1", "h2").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        asked = ranked.join(at.select("album_id", "choice"), ["album_id", "choice"])
+        best = asked.groupBy("master_id").agg(F.min_by("album_id", F.struct("album_no", "album_id")).alias("kept"))
+        refused = asked.join(best, "master_id").where(F.col("album_id") != F.col("kept")).select("album_id", F.lit(1).alias("lost"))
+        moved = at.join(refused, "album_id", "left").withColumn("next", F.col("choice") + F.coalesce("lost", F.lit(0)))
+        moved = moved.withColumn("next", F.max(F.col("next") - F.col("k")).over(so_far) + F.col("k")).checkpoint()
+        if moved.where(F.col("next") > F.col("choice")).isEmpty():
+            return asked.select("master_id", "album_id")
+        at = moved.select("album_id", "h1", "h2", "k", F.col("next").alias("choice"))
 
 
 def best_result(results: DataFrame, bonus: float = 0.08) -> DataFrame:

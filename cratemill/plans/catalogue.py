@@ -82,12 +82,12 @@ def _(s, d):
     return O.with_counts(_rel(s, d)).select("release_id", "mc", "ac")
 
 
-@query("JOIN02", "SELECT release_id, coalesce(community_have, 0) AS have, coalesce(community_want, 0) AS want, row_number() OVER (ORDER BY coalesce(community_have, 0) + coalesce(community_want, 0) DESC, CAST(release_id AS BIGINT)) AS pos FROM releases LEFT JOIN marketplace USING (release_id) QUALIFY pos <= 500")
+@query("JOIN02", "SELECT release_id, coalesce(community_have, 0) AS have, coalesce(community_want, 0) AS want, row_number() OVER (ORDER BY coalesce(community_have, 0) + coalesce(community_want, 0) DESC, CAST(release_id AS BIGINT)) AS pos FROM releases LEFT JOIN marketplace USING (release_id)")
 def _(s, d):
     have, want = F.coalesce("community_have", F.lit(0)), F.coalesce("community_want", F.lit(0))
     rows = _rel(s, d).select("release_id").join(view(s, d, "marketplace").select("release_id", "community_have", "community_want"), "release_id", "left")
-    top = rows.select("release_id", have.alias("have"), want.alias("want")).orderBy(F.desc(c("have") + c("want")), c("release_id").cast("long")).limit(500)
-    return O.global_rank(top, [F.desc(c("have") + c("want")), c("release_id").cast("long")], name="pos")
+    known = rows.select("release_id", have.alias("have"), want.alias("want"))
+    return O.global_rank(known, [F.desc(c("have") + c("want")), c("release_id").cast("long")], name="pos")
 
 
 @query("SORT03", f"{_COUNTS} SELECT release_id, score FROM px")
@@ -157,10 +157,13 @@ def _(s, d):
 
 
 def _ordered(kind: str, key: str) -> None:
-    @query(f"SORT02_{kind}", f"SELECT release_id FROM releases LEFT JOIN marketplace USING (release_id) ORDER BY {key.format('coalesce(community_have, 0)', 'coalesce(community_want, 0)')} DESC, CAST(release_id AS BIGINT) LIMIT 200")
+    """Every release with its place in the order."""
+
+    @query(f"SORT02_{kind}", f"SELECT release_id, row_number() OVER (ORDER BY {key.format('coalesce(community_have, 0)', 'coalesce(community_want, 0)')} DESC, CAST(release_id AS BIGINT)) AS pos FROM releases LEFT JOIN marketplace USING (release_id)")
     def _(s, d):
         rows = _rel(s, d).select("release_id").join(view(s, d, "marketplace").select("release_id", "community_have", "community_want"), "release_id", "left")
-        return rows.orderBy(F.expr(key.format("coalesce(community_have, 0)", "coalesce(community_want, 0)")).desc(), c("release_id").cast("long")).limit(200).select("release_id")
+        keyed = rows.select("release_id", F.expr(key.format("coalesce(community_have, 0)", "coalesce(community_want, 0)")).alias("k"))
+        return O.global_rank(keyed, [F.desc("k"), c("release_id").cast("long")], name="pos").select("release_id", "pos")
 
 
 _ordered("have", "{0}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cratemill.operators.recommend import remap
 from cratemill.plans.registry import query
 from cratemill.sources import connectors as X
+from cratemill.sources import html as H
 from cratemill.sources.views import sql, table, view
 from cratemill.streaming.incremental import shared_path
 
@@ -70,16 +71,19 @@ def _(s, d):
     return X.document_albums(s.read.schema(X.DOCUMENT).json(path))
 
 
-@query("SRC09", "SELECT kind, count(*) AS n FROM (SELECT 'collection' AS kind FROM collection JOIN releases ON album_id = release_id WHERE master_id IS NOT NULL UNION ALL SELECT 'wantlist' FROM wantlist JOIN releases ON album_id = release_id WHERE master_id IS NOT NULL UNION ALL SELECT 'ratings' FROM ratings) q GROUP BY 1")
+@query("SRC09", """SELECT 'collection' AS kind, 'export' AS origin, count(*) AS n, (SELECT count(*) FROM collection) - count(*) AS dropped FROM collection JOIN releases ON album_id = release_id WHERE master_id IS NOT NULL
+UNION ALL SELECT 'wantlist', 'service', count(*), (SELECT count(*) FROM wantlist) - count(*) FROM wantlist JOIN releases ON album_id = release_id WHERE master_id IS NOT NULL UNION ALL SELECT 'ratings', 'file', count(*), 0 FROM ratings""")
 def _(s, d):
     mapping = view(s, d, "releases").where("master_id is not null").select("release_id", c("master_id").alias("mapped"))
     path = _csv(s, view(s, d, "collection"), ["user_id", "release_id"])
-    parts = {"collection": remap(X.load_usage(s, path), mapping), "wantlist": remap(view(s, d, "wantlist"), mapping), "ratings": view(s, d, "ratings")}
-    out = None
-    for kind, df in parts.items():
-        n = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    none = view(s, d, "wantlist").limit(0)
+    sources = {
+        "collection": [("service", None), ("export", lambda: X.load_usage(s, path)), ("file", lambda: none)],
+        "wantlist": [("service", lambda: view(s, d, "wantlist")), ("file", lambda: none)],
+        "ratings": [("service", lambda: none), ("file", lambda: view(s, d, "ratings"))],
+    }
+    chosen = X.ingest(sources)
+    return X.ingest_report(chosen, {k: remap(df, mapping) for k, (_, df) in chosen.items() if k != "ratings"})
 
 
 _XML = """SELECT CASE WHEN CAST(release_id AS BIGINT) % 19 = 0 THEN 'x' || release_id ELSE release_id END AS _id, CASE WHEN CAST(release_id AS BIGINT) % 23 = 0 THEN 'Deleted' ELSE 'Accepted' END AS _status, title, country, CAST(year AS STRING) || '-05-01' AS released, master_id,
@@ -120,21 +124,45 @@ def _(s, d):
     return df.withColumns({"year": c("year").cast("int"), "decade": c("decade").cast("int")})
 
 
-_PAGE = """SELECT l_orderkey AS page_id, '<table><tr><th>Date</th></tr>' || concat_ws('', sort_array(collect_list('<tr><td>' || date_format(l_shipdate, 'yyyy-MM-dd') || '</td><td>' || l_returnflag || '</td><td>' || l_linestatus || '</td><td>$' || cast(cast(l_quantity as int) as string) || '</td></tr>' || CASE WHEN l_linenumber % 2 = 0 THEN '<tr><td>note ' || cast(l_partkey as string) || '</td></tr>' ELSE '' END))) || '</table>' AS html FROM lineitem GROUP BY l_orderkey"""
+#: Cells and headers of the four kinds of page, in their order: date, media, sleeve, price, price in the user's currency.
+_HEADS = ("Order Date|Condition|Sleeve Condition|Price|Price in Your Currency", "order  date|Sleeve Condition|Media Condition|Your Currency|Price", "Order Date|Media Condition|Jacket Condition|Original Price|Price in Your Currency", "Order Date|Vinyl Condition|Cover Condition|Your Currency|Price")
+_CELLS = ("D M S P U", "D S M U P", "D M S P U", "D M S U P")
+_PIECE = {"D": "date_format(l_shipdate, 'yyyy-MM-dd')", "M": "l_returnflag", "S": "l_linestatus", "P": "'&euro;' || cast(cast(l_quantity as int) as string) || ',00'", "U": "'US$' || cast(cast(l_quantity as int) + 1 as string) || '.50'"}
 
 
-@query("SRC14", "SELECT l_orderkey AS page_id, strftime(l_shipdate, '%Y-%m-%d') AS order_date, l_returnflag AS media_condition, l_linestatus AS sleeve_condition, '$' || CAST(CAST(l_quantity AS INT) AS STRING) AS price_text, CASE WHEN l_linenumber % 2 = 0 THEN 'note ' || CAST(l_partkey AS STRING) ELSE '' END AS comments FROM lineitem")
+def _sale_page() -> str:
+    """Pages of four kinds: names and order of columns, attributes, a table of something else before, closing tags left out."""
+    td = lambda x, k: f"'<TD align=left>' || {x}" if k == 3 else f"'<td class=\"c\" data-n=\"1\"><span>' || {x} || '</span></td>'"
+    row = "CASE l_orderkey % 4 " + " ".join(f"WHEN {k} THEN " + " || ".join(td(_PIECE[x], k) for x in cells.split()) for k, cells in enumerate(_CELLS)) + " END"
+    end = "CASE WHEN l_orderkey % 4 = 3 THEN '' ELSE '</tr>' END"
+    note = "CASE WHEN l_linenumber % 2 = 0 THEN '<tr class=\"sub\"><td colspan=\"5\">note <b>' || cast(l_partkey as string) || '</b> &amp; more</td></tr>' ELSE '' END"
+    head = "CASE l_orderkey % 4 " + " ".join(f"WHEN {k} THEN '" + "".join(f"<th scope=\"col\">{h}</th>" for h in heads.split("|")) + "'" for k, heads in enumerate(_HEADS)) + " END"
+    other = "CASE WHEN l_orderkey % 4 = 1 THEN '<table><tr><th>Format</th></tr><tr><td>2001-01-01</td></tr></table>' ELSE '' END"
+    name = "CASE WHEN l_orderkey % 4 = 1 THEN ' class=\"x sales-history-table\"' ELSE '' END"
+    sums = "'<div>Last Sold On: ' || date_format(max(l_shipdate), 'dd MMM yyyy') || '</div><ul><li>Average: $' || cast(count(*) as string) || '.25</li><li>Median: $' || cast(count(*) as string) || '</li><li>High: $1,' || cast(100 + count(*) as string) || '.50</li></ul>'"
+    lines = f"concat_ws('', transform(array_sort(collect_list(struct(l_linenumber, '<tr>' || {row} || {end} || {note} AS tr))), x -> x.tr))"
+    return f"SELECT l_orderkey AS page_id, '<body>' || {sums} || {other} || '<table' || {name} || '><thead><tr>' || {head} || '</tr></thead>' || {lines} || '</table></body>' AS html FROM lineitem GROUP BY l_orderkey"
+
+
+@query("SRC14", "SELECT l_orderkey AS page_id, strftime(l_shipdate, '%Y-%m-%d') AS order_date, l_returnflag AS media_condition, l_linestatus AS sleeve_condition, '€' || CAST(CAST(l_quantity AS INT) AS STRING) || ',00' AS price_text, 'US$' || CAST(CAST(l_quantity AS INT) + 1 AS STRING) || '.50' AS user_price_text, CASE WHEN l_linenumber % 2 = 0 THEN 'note ' || CAST(l_partkey AS STRING) || ' & more' ELSE '' END AS comments FROM lineitem")
 def _(s, d):
-    return X.sale_rows(sql(s, d, _PAGE)).drop("sale")
+    return H.sale_rows(sql(s, d, _sale_page())).drop("sale")
 
 
-_LIST = """SELECT l_suppkey AS page_id, concat_ws('', collect_list('<div class="listing"><a href="/sell/item/' || cast(l_orderkey as string) || '">x</a><h4>' || CASE WHEN l_orderkey % 4 = 0 THEN 'Untitled' ELSE l_returnflag || ' - Song - ' || l_linestatus END || '</h4>Media: NM<br>Sleeve: VG</div>')) AS html FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_returnflag, l_linestatus FROM lineitem) q GROUP BY l_suppkey"""
+@query("SRC14_summary", "SELECT l_orderkey AS page_id, strftime(max(l_shipdate), '%d %b %Y') AS last_sold_on, count(*) + 0.25::DOUBLE AS average, count(*)::DOUBLE AS median, 1100.5::DOUBLE + count(*) AS high, NULL::DOUBLE AS low FROM lineitem GROUP BY 1")
+def _(s, d):
+    return H.sale_summary(sql(s, d, _sale_page()))
+
 
+#: Items of an order and supplier; an item that a page lists again at its end counts once.
+_LIST = """SELECT l_suppkey AS page_id, '<div id="pjax_container"><table><thead><tr><th>Item</th></tr></thead><tbody>' || concat_ws('', transform(array_sort(collect_list(struct(again, l_orderkey, '<tr class="shortcut"><td class="image"><a href="/sell/item/1">img</a></td><td class="item_description x"><strong><a class="t" href="https://market.example/sell/item/' || cast(l_orderkey as string) || '?ev=1">'
+|| CASE WHEN again = 1 THEN 'Later - Copy' WHEN l_orderkey % 4 = 0 THEN 'Untitled' ELSE flag || ' &amp; Co - Song - ' || status END || '</a></strong><p class="item_condition"><span>Media:</span> NM or M-<br>' || CASE l_orderkey % 3 WHEN 0 THEN 'Jacket' WHEN 1 THEN 'Cover' ELSE 'Sleeve' END || ': VG+</p><p>ships  from <i>' || status || '</i></p></td></tr>' AS tr))), x -> x.tr)) || '</tbody></table></div>' AS html
+FROM (SELECT l_suppkey, l_orderkey, min(l_returnflag) AS flag, max(l_linestatus) AS status, explode(array(0, 1)) AS again FROM lineitem GROUP BY l_suppkey, l_orderkey) q GROUP BY l_suppkey"""
 
-@query("SRC15", "SELECT l_suppkey AS page_id, CAST(l_orderkey AS STRING) AS listing_id, count(DISTINCT 1) AS n, 'NM' AS media, 'VG' AS sleeve FROM lineitem GROUP BY 1, 2")
+
+@query("SRC15", "SELECT l_suppkey AS page_id, CAST(l_orderkey AS STRING) AS listing_id, CASE WHEN l_orderkey % 4 = 0 THEN '' ELSE min(l_returnflag) || ' & Co' END AS artist, CASE WHEN l_orderkey % 4 = 0 THEN 'Untitled' ELSE 'Song - ' || max(l_linestatus) END AS title, 'NM or M-' AS media, 'VG+' AS sleeve, 'ships from ' || max(l_linestatus) AS comments FROM lineitem GROUP BY 1, l_orderkey")
 def _(s, d):
-    rows = X.listing_rows(sql(s, d, _LIST))
-    return rows.groupBy("page_id", "listing_id", "media", "sleeve").agg(F.count(F.lit(1)).alias("n"))
+    return H.listing_rows(sql(s, d, _LIST))
 
 
 @query("SRC16", "SELECT DISTINCT page_id, word FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]+)\"', 1)) AS word FROM pages) q")
@@ -142,6 +170,17 @@ def _(s, d):
     return X.linked_ids(table(s, d, "pages"), r'href="/([^"]+)"').select("page_id", c("release_id").alias("word"))
 
 
+#: Search pages: a results block among other links, links without a block, a shell that has paths in its markup only.
+_SEARCH = """SELECT o_custkey AS page_id, CASE o_custkey % 3 WHEN 2 THEN '<script>{"a":"' ELSE '<nav><a href="/release/999999999-menu">m</a></nav>' END || CASE o_custkey % 3 WHEN 0 THEN '<div class="w" id="search_results"><div>' ELSE '' END
+|| concat_ws('', transform(array_sort(collect_list(o_orderkey)), k -> CASE o_custkey % 3 WHEN 2 THEN '/release/' || cast(k as string) || '-x' WHEN 1 THEN '<a class="c" href="https://www.example.com/release/' || cast(k as string) || '?a=/release/5">t</a>' ELSE '<div><a href="/release/' || cast(k as string) || '-t#p">t</a></div><a href="/release/' || cast(k as string) || '">again</a>' END))
+|| CASE o_custkey % 3 WHEN 0 THEN '</div></div><a href="/release/888888888">aside</a>' WHEN 2 THEN '"}</script>' ELSE '' END AS html FROM orders GROUP BY o_custkey"""
+
+
+@query("SRC16_search", "SELECT o_custkey AS page_id, CAST(o_orderkey AS STRING) AS release_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - CASE WHEN o_custkey % 3 = 1 THEN 0 ELSE 1 END AS pos FROM orders UNION ALL SELECT DISTINCT o_custkey, '999999999', 0 FROM orders WHERE o_custkey % 3 = 1")
+def _(s, d):
+    return H.linked_ids(sql(s, d, _SEARCH))
+
+
 @query("SRC17", "SELECT count(*) FILTER (WHERE event_id % 9 <> 0) AS good, count(*) FILTER (WHERE event_id % 9 = 0) AS malformed FROM events")
 def _(s, d):
     path = shared_path(s, "jsonl")
@@ -152,10 +191,14 @@ def _(s, d):
     return rows.agg(F.count_if(~bad & c("event_id").isNotNull()).alias("good"), F.count_if(bad).alias("malformed"))
 
 
-@query("SRC18", "SELECT s.release_id, l_orderkey, l_linenumber FROM sales s JOIN fetches f ON s.release_id = f.release_id WHERE f.status = 'ok' ORDER BY CAST(s.release_id AS BIGINT), l_orderkey, l_linenumber LIMIT 2000")
+@query("SRC18", "SELECT s.release_id, l_orderkey, l_linenumber FROM sales s JOIN fetches f ON s.release_id = f.release_id WHERE f.status = 'ok'")
+def _(s, d):
+    return X.sale_source(view(s, d, "sales"), view(s, d, "fetches"), ["l_orderkey", "l_linenumber"]).select("release_id", "l_orderkey", "l_linenumber")
+
+
+@query("SRC18_random", "SELECT release_id, l_orderkey, l_linenumber FROM sales ORDER BY md5('11/' || release_id || '/' || CAST(l_orderkey AS STRING) || '/' || CAST(l_linenumber AS STRING)), release_id, l_orderkey, l_linenumber LIMIT 500")
 def _(s, d):
-    ok = view(s, d, "fetches").where("status = 'ok'").select("release_id")
-    return view(s, d, "sales").join(ok, "release_id").select("release_id", "l_orderkey", "l_linenumber").orderBy(c("release_id").cast("long"), "l_orderkey", "l_linenumber").limit(2000)
+    return X.sale_source(view(s, d, "sales"), None, ["l_orderkey", "l_linenumber"], limit=500, seed=11).select("release_id", "l_orderkey", "l_linenumber")
 
 
 @query("SRC19", "SELECT release_id || '-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS id, media_condition AS condition, sleeve_condition, coalesce(seller_comments, '') AS comments FROM sales")
@@ -166,19 +209,26 @@ def _(s, d):
 _G = "CASE lower(trim({})) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.CONDITION_GRADES.items()) + " END"
 
 
-@query("SRC20", f"SELECT l_orderkey, l_linenumber, {_G.format('media_condition')} AS media_label, {_G.format('sleeve_condition')} AS sleeve_label, 'inventory' AS source FROM sales")
+@query("SRC20", f"SELECT release_id || '-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS item_id, 'inventory' AS source, coalesce(trim(regexp_replace(seller_comments, '\\s+', ' ', 'g')), '') AS text, {_G.format('media_condition')} AS media_label, {_G.format('sleeve_condition')} AS sleeve_label, 1.0::DOUBLE AS label_confidence, artist, title, year, CASE WHEN trim(coalesce(country, '')) <> '' THEN country ELSE '' END AS country, coalesce(format_desc, '') AS format, media_condition AS raw_media, sleeve_condition AS raw_sleeve FROM sales JOIN (SELECT release_id, coalesce(substr(master_id, 1, instr(master_id, '/') - 1), '') AS artist, title, year, country, format_desc FROM releases) r USING (release_id)")
 def _(s, d):
-    return view(s, d, "sales").select("l_orderkey", "l_linenumber", X.grade_of(c("media_condition")).alias("media_label"), X.grade_of(c("sleeve_condition")).alias("sleeve_label"), F.lit("inventory").alias("source"))
+    r = sql(s, d, "SELECT release_id, coalesce(substr(master_id, 1, instr(master_id, '/') - 1), '') AS artist, title, year, country, format_desc AS format FROM releases")
+    listings = X.sale_as_listing(view(s, d, "sales"), "release_id").join(r, "release_id")
+    return X.unified_listings(listings).select("item_id", "source", "text", "media_label", "sleeve_label", "label_confidence", "artist", "title", "year", "country", "format", "raw_media", "raw_sleeve")
 
 
-_TOK = "CASE event_id % 7 WHEN 0 THEN 'S' WHEN 1 THEN 'M-' WHEN 2 THEN 'E+' WHEN 3 THEN 'e' WHEN 4 THEN 'E- to VG' WHEN 5 THEN 'VG+' ELSE 'unknown' END"
+_TOK = "CASE event_id % 7 WHEN 0 THEN 'S' WHEN 1 THEN 'M-' WHEN 2 THEN 'E+ (edge wear)' WHEN 3 THEN 'e' WHEN 4 THEN 'E- to VG' WHEN 5 THEN 'VG+' ELSE 'unknown' END"
+_TOK2 = "CASE event_id % 5 WHEN 0 THEN 'E-: small tear' WHEN 1 THEN 'M-' WHEN 2 THEN NULL ELSE 'VG' END"
 
 
-@query("SRC21", f"SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Mint' WHEN 1 THEN 'Near Mint' WHEN 2 THEN 'Near Mint' WHEN 3 THEN 'Excellent' WHEN 4 THEN 'Excellent' WHEN 5 THEN 'Very Good Plus' END AS grade, CASE event_id % 7 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 4 THEN 0.85 WHEN 6 THEN NULL ELSE 0.95 END::DOUBLE AS confidence FROM events")
+@query("SRC21", """WITH g AS (SELECT event_id, event_id % 7 AS m, event_id % 5 AS k FROM events)
+SELECT event_id, CASE m WHEN 0 THEN 'Mint' WHEN 1 THEN 'Near Mint' WHEN 2 THEN 'Near Mint' WHEN 3 THEN 'Excellent' WHEN 4 THEN 'Excellent' WHEN 5 THEN 'Very Good Plus' END AS media_label,
+CASE k WHEN 0 THEN 'Excellent' WHEN 1 THEN 'Near Mint' WHEN 2 THEN NULL ELSE 'Very Good' END AS sleeve_label,
+CASE m WHEN 2 THEN '(edge wear)' WHEN 4 THEN 'to VG' ELSE '' END AS media_suffix, CASE k WHEN 0 THEN ': small tear' ELSE '' END AS sleeve_suffix,
+least(CASE m WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 4 THEN 0.85 WHEN 6 THEN NULL ELSE 0.95 END, CASE k WHEN 0 THEN 0.85 WHEN 1 THEN 1.0 WHEN 2 THEN NULL ELSE 0.95 END)::DOUBLE AS label_confidence FROM g""")
 def _(s, d):
-    aspects = F.transform_keys(F.map_from_entries(F.array(F.struct(F.lit("Record Grading").alias("n"), F.expr(_TOK).alias("v")))), lambda k, v: F.lower(k))
-    g, t = X.auction_grade(F.try_element_at(aspects, F.lit("record grading")))
-    return table(s, d, "events").select("event_id", g.alias("grade"), t.alias("confidence"))
+    named = F.array(F.struct(F.lit("Record Grading").alias("name"), F.expr(_TOK).alias("value")), F.struct(F.lit("SLEEVE grading").alias("name"), F.expr(_TOK2).alias("value")))
+    items = table(s, d, "events").select("event_id", named.alias("aspects"))
+    return X.auction_items(items, "record grading", "Sleeve Grading").select("event_id", "media_label", "sleeve_label", "media_suffix", "sleeve_suffix", "label_confidence")
 
 
 @query("SRC22", "SELECT event_id, event_type FROM events")

@@ -46,27 +46,31 @@ _EVID = f"CASE WHEN {_any(_L, V.unverified)} THEN 'none' WHEN {_hits(_L, V.playb
 @query("FN21", f"SELECT item_id, NOT {_any(_L, V.unverified)} AND ({_any(_L, V.sealed)} OR {_any(_L, V.playback)} OR {_BOTH}) AS verifiable, {_EVID} AS evidence, {_any(_L, V.generic)} AS generic FROM notes")
 def _(s, d):
     t = c("text")
-    return _notes(s, d).select("item_id", N.media_verifiable(t).alias("verifiable"), N.evidence(t).alias("evidence"), N.generic_sleeve(t).alias("generic"))
+    return _notes(s, d).withColumn("cues", N.cues(t)).select("item_id", N.verifiable_by(c("cues")).alias("verifiable"), N.evidence_by(c("cues")).alias("evidence"), N.generic_sleeve(t).alias("generic"))
 
 
-_SL = f"({_any(_L, V.sleeve)} OR length(trim(text)) >= {V.fallback_chars})"
+_SL = f"({_any("lower(trim(coalesce(text, '')))", V.sleeve)} OR length(trim(coalesce(text, ''))) >= {V.fallback_chars})"
 _MD = f"({_EVID}) <> 'none'"
 
 
-@query("FN20", f"SELECT item_id, {_SL} AS sleeve_note_adequate, {_MD} AS media_note_adequate, {_SL} AND {_MD} AS adequate_for_training, array_to_string(list_filter([CASE WHEN NOT {_SL} THEN 'sleeve' END, CASE WHEN NOT ({_MD}) THEN 'media' END], lambda x: x IS NOT NULL), ',') AS gaps, NOT ({_SL} AND {_MD}) AS needs_richer_note FROM notes")
+_PROMPT = {k: v.replace("'", "''") for k, v in N.PROMPTS.items()}
+_ADEQUATE = f"WITH q AS (SELECT *, {_SL} AS sl, {_MD} AS md FROM notes)"
+
+
+@query("FN20", f"{_ADEQUATE} SELECT item_id, sl AS sleeve_note_adequate, md AS media_note_adequate, sl AND md AS adequate_for_training, array_to_string(list_filter([CASE WHEN NOT sl THEN 'sleeve' END, CASE WHEN NOT md THEN 'media' END], lambda x: x IS NOT NULL), ',') AS gaps, array_to_string(list_filter([CASE WHEN NOT sl THEN '{_PROMPT['sleeve']}' END, CASE WHEN NOT md THEN '{_PROMPT['media']}' END], lambda x: x IS NOT NULL), ' ') AS prompts, NOT (sl AND md) AS needs_richer_note FROM q")
 def _(s, d):
-    q = N.quality(c("text"), c("text"))
-    return _notes(s, d).select("item_id", *(F.array_join(v, ",").alias(k) if k == "gaps" else v.alias(k) for k, v in q.items()))
+    q = N.with_quality(_notes(s, d), "text", "text")
+    return q.select("item_id", "sleeve_note_adequate", "media_note_adequate", "adequate_for_training", F.array_join("gaps", ",").alias("gaps"), F.array_join("prompts", " ").alias("prompts"), "needs_richer_note")
 
 
 @query("FLT14", f"SELECT item_id FROM notes WHERE {_SL} AND {_MD}")
 def _(s, d):
-    return _notes(s, d).where(N.quality(c("text"), c("text"))["adequate_for_training"]).select("item_id")
+    return N.with_quality(_notes(s, d), "text", "text").where("adequate_for_training").select("item_id")
 
 
 @query("AGG58", f"SELECT source, round(avg(CAST({_SL} AND {_MD} AS INT)), 6) AS share FROM notes GROUP BY 1")
 def _(s, d):
-    return _notes(s, d).groupBy("source").agg(F.round(F.avg(N.quality(c("text"), c("text"))["adequate_for_training"].cast("int")), 6).alias("share"))
+    return N.with_quality(_notes(s, d), "text", "text").groupBy("source").agg(F.round(F.avg(c("adequate_for_training").cast("int")), 6).alias("share"))
 
 
 @query("FN22")
@@ -77,91 +81,134 @@ def _(s, d):
 @query("FN23")
 def _(s, d):
     cleaned = _notes(s, d).withColumn("text_clean", N.clean(c("text")))
-    q = N.quality(c("text"), c("text_clean"))
-    return cleaned.select("item_id", "source", "sleeve_label", "media_label", "text_clean", N.evidence(c("text")).alias("media_evidence_strength"), N.media_verifiable(c("text")).alias("media_verifiable"), *(F.array_join(v, ",").alias(k) if k == "gaps" else v.alias(k) for k, v in q.items()))
-
+    q = N.with_quality(cleaned, "text", "text_clean")
+    return q.select(
+        "item_id", "source", "sleeve_label", "media_label", "text_clean", N.evidence_by(c("cues")).alias("media_evidence_strength"), N.verifiable_by(c("cues")).alias("media_verifiable"),
+        "sleeve_note_adequate", "media_note_adequate", "adequate_for_training", F.array_join("gaps", ",").alias("gaps"), F.array_join("prompts", " ").alias("prompts"), "needs_richer_note",
+    )
 
-_sig = lambda w: f"regexp_matches({_L}, '(^|[^a-z0-9]){re.escape(w)}([^a-z0-9]|$)')"
-_n = lambda ws: "(" + (" + ".join(f"{_sig(w)}::INT" for w in ws) or "0") + ")"
 
-
-@query("FN24", f"SELECT item_id, {' OR '.join(f'({_sig(a)} AND {_sig(b)})' for a, b in N.RULES.pairs)} AS contradiction FROM notes")
-def _(s, d):
-    return _notes(s, d).select("item_id", N.contradiction(c("text")).alias("contradiction"))
+#: In SQL as in Spark, every note is searched once for all signals; rules are then about the list of those found.
+_lit = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]::VARCHAR[]"
+_in = lambda t, ws: f"list_filter({_lit(ws)}, lambda w: regexp_matches({t}, '(^|[^a-z0-9])' || regexp_escape(w) || '([^a-z0-9]|$)'))"
+_FOUND = f"low AS (SELECT *, lower(coalesce(text, '')) AS t FROM notes), found AS (SELECT *, {_in('t', N.RULES.signals())} AS f FROM low)"
+_n = lambda ws: f"len(list_intersect(f, {_lit(ws)}))"
+_has = lambda ws: f"list_has_any(f, {_lit(ws)})"
+_CONTRA = " OR ".join(f"list_has_all(f, {_lit(p)})" for p in N.RULES.pairs)
 
 
 def _forb(r: N.GradeRule) -> str:
-    t = _L
+    t = "t"
     for e in r.exceptions:
         t = f"replace({t}, '{e}', ' ')"
-    return "(" + (" AND ".join(f"NOT regexp_matches({t}, '(^|[^a-z0-9]){re.escape(w)}([^a-z0-9]|$)')" for w in r.forbidden) or "true") + ")"
+    return f"(len({_in(t, r.forbidden)}) = 0)" if r.forbidden else "true"
+
 
+_strict = lambda r: _has(r.strict) if r.strict else "false"
+_co = lambda r: f"({_has(r.cosignal)} AND {_n(tuple({*r.strict, *r.cosignal}))} >= 2)" if r.cosignal else "false"
+_hm = lambda r: f"({_strict(r)} OR {_co(r)})"
 
-_hm = lambda r: f"({_n(r.strict)} >= 1 OR ({_n(r.cosignal)} >= 1 AND {_n(tuple({*r.strict, *r.cosignal}))} >= 2))"
-_HARD = {t: "coalesce(" + ", ".join(f"CASE WHEN {_hm(r)} AND {_forb(r)} THEN '{r.grade}' END" for r in N.RULES.hard if t == "sleeve" or r.grade != "Generic") + ", NULL)" for t in ("sleeve", "media")}
+
+def _hard(target: str, value, forbid: bool = True) -> str:
+    """value of the first hard rule that fires."""
+    return "coalesce(" + ", ".join(f"CASE WHEN {_hm(r)}{f' AND {_forb(r)}' if forbid else ''} THEN {value(r)} END" for r in N.RULES.hard if target in r.targets) + ", NULL)"
+
+
+_grade = lambda r: f"'{r.grade}'"
+_tier = lambda r: f"CASE WHEN {_strict(r)} THEN 'strict' ELSE 'cosignal' END"
+_first = lambda r: f"CASE WHEN {_strict(r)} THEN list_filter({_lit(r.strict)}, lambda w: list_contains(f, w))[1] ELSE list_filter({_lit(r.cosignal)}, lambda w: list_contains(f, w))[1] END"
+
+
+@query("FN24", f"WITH {_FOUND} SELECT item_id, {_CONTRA} AS contradiction FROM found")
+def _(s, d):
+    return N.with_signals(_notes(s, d), "text").select("item_id", N.contradicts(c("__found")).alias("contradiction"))
 
 
-@query("FN25", f"SELECT item_id, {_HARD['sleeve']} AS sleeve_hard, {_HARD['media']} AS media_hard FROM notes")
+@query("FN25", f"WITH {_FOUND} SELECT item_id, {_hard('sleeve', _grade)} AS sleeve_hard, {_hard('media', _grade)} AS media_hard FROM found")
 def _(s, d):
-    return _notes(s, d).select("item_id", N.hard_grade(c("text"), "sleeve").alias("sleeve_hard"), N.hard_grade(c("text"), "media").alias("media_hard"))
+    return N.with_signals(_notes(s, d), "text").select("item_id", *(N.hard_by(c("__low"), c("__found"), t)["grade"].alias(f"{t}_hard") for t in ("sleeve", "media")))
 
 
 _ORD = lambda g: "CASE " + " ".join(f"WHEN {g} = '{x}' THEN {i}" for i, x in enumerate(N.RULES.order)) + " ELSE 99 END"
 
 
-def _soft(pred: str) -> str:
+def _soft(pred: str, differ: bool = False) -> str:
     out = []
     for r in N.RULES.soft:
         here = N.RULES.order.index(r.grade)
         ok = f"{_n(r.supporting)} BETWEEN {r.least} AND {r.most} AND {_forb(r)} AND label_confidence < {r.confidence} AND NOT ({_ORD(pred)} > {here} AND {_ORD(pred)} - {here} > {N.RULES.most_upgrade})"
-        out.append(f"CASE WHEN {ok}{f' AND {_ORD(pred)} < {here}' if r.only_downgrade else ''} THEN '{r.grade}' END")
+        ok += f" AND {_ORD(pred)} < {here}" if r.only_downgrade else ""
+        ok += f" AND {pred} IS DISTINCT FROM '{r.grade}'" if differ else ""
+        out.append(f"CASE WHEN {ok} THEN '{r.grade}' END")
     return "coalesce(" + ", ".join(out) + ")"
 
 
-@query("FN26", f"SELECT item_id, {_soft('media_label')} AS media_soft FROM notes")
+@query("FN26", f"WITH {_FOUND} SELECT item_id, {_soft('media_label')} AS media_soft FROM found")
 def _(s, d):
-    return _notes(s, d).select("item_id", N.soft_grade(c("text"), c("media_label"), c("label_confidence")).alias("media_soft"))
+    return N.with_signals(_notes(s, d), "text").select("item_id", N.soft_by(c("__low"), c("__found"), None, c("media_label"), c("label_confidence")).alias("media_soft"))
 
 
-_FINAL = {t: f"coalesce({_HARD[t]}, {_soft(t + '_label')}, {t}_label)" for t in ("sleeve", "media")}
+_SPLIT = f"CASE WHEN {_has(N.RULES.splits)} THEN CASE WHEN {_has(N.RULES.small_splits)} AND NOT {_has(N.RULES.split_defects)} THEN 'Very Good Plus' ELSE 'Very Good' END END"
 
 
-@query("FN27", f"SELECT item_id, {_FINAL['sleeve']} AS sleeve, {_FINAL['media']} AS media FROM notes")
-def _(s, d):
-    return _ruled(s, d).select("item_id", "sleeve", "media")
+def _overrides(target: str) -> str:
+    """Columns of one target: whether the guardrail is on, grade, tier and signal of a hard rule, the rule's grade."""
+    label = f"{target}_label"
+    guard = f"CASE WHEN {label} = 'Near Mint' THEN split END" if target == "sleeve" else "NULL::VARCHAR"
+    free = f"NOT contradiction AND ({guard}) IS NULL"
+    rule = f"coalesce({guard}, {_hard(target, _grade)}, {_soft(label, differ=True)})"
+    kept = f"CASE WHEN NOT contradiction AND NOT coalesce(({rule}) = 'Very Good' AND {label} = 'Very Good Plus' AND split = 'Very Good Plus', false) THEN {rule} END"
+    return f"CASE WHEN {free} THEN {_hard(target, _tier)} END AS {target}_tier, CASE WHEN {free} THEN {_hard(target, _first)} END AS {target}_signal, {kept} AS {target}_rule"
+
+
+_gone, _stands = N.RULES.collapse
+_final = lambda t: f"CASE WHEN coalesce({t}_rule, {t}_label) = '{_gone}' THEN '{_stands}' ELSE coalesce({t}_rule, {t}_label) END"
+_which = lambda cond: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {cond(t)} THEN '{t}' END" for t in ("sleeve", "media")) + "], lambda x: x IS NOT NULL), ',')"
+_RULED = f"""WITH {_FOUND}, marked AS (SELECT *, {_CONTRA} AS contradiction, {_SPLIT} AS split FROM found), ruled AS (SELECT *, {_overrides('sleeve')}, {_overrides('media')} FROM marked),
+final AS (SELECT *, {_final('sleeve')} AS sleeve, {_final('media')} AS media, {_which(lambda t: f"{t}_rule IS NOT NULL")} AS overridden, {_which(lambda t: f"coalesce({t}_rule, {t}_label) = '{_gone}'")} AS collapsed FROM ruled)"""
 
 
 def _ruled(s, d):
-    f = lambda t: N.final_grade(c("text"), t, c(f"{t}_label"), c("label_confidence")).alias(t)
-    return _notes(s, d).select("*", f("sleeve"), f("media"))
+    out = N.apply_rules(_notes(s, d), "text", {"sleeve": "sleeve_label", "media": "media_label"}, {"sleeve": "label_confidence", "media": "label_confidence"})
+    return out.withColumnsRenamed({"sleeve_final": "sleeve", "media_final": "media"})
 
 
-@query("AGG48", f"SELECT count(*) AS n, sum((sleeve IS DISTINCT FROM sleeve_label)::INT) AS sleeve_overrides, sum((media IS DISTINCT FROM media_label)::INT) AS media_overrides, sum(ct::INT) AS contradictions FROM (SELECT *, {_FINAL['sleeve']} AS sleeve, {_FINAL['media']} AS media, {' OR '.join(f'({_sig(a)} AND {_sig(b)})' for a, b in N.RULES.pairs)} AS ct FROM notes) q")
+@query("FN27", f"{_RULED} SELECT item_id, sleeve, media, contradiction, sleeve_tier, sleeve_signal, media_tier, media_signal, overridden, collapsed FROM final")
+def _(s, d):
+    return _ruled(s, d).select("item_id", "sleeve", "media", "contradiction", "sleeve_tier", "sleeve_signal", "media_tier", "media_signal", F.array_join("overridden", ",").alias("overridden"), F.array_join("collapsed", ",").alias("collapsed"))
+
+
+_BY = "sum((sleeve IS DISTINCT FROM sleeve_label)::INT) AS sleeve_overrides, sum((media IS DISTINCT FROM media_label)::INT) AS media_overrides, sum(contradiction::INT) AS contradictions"
+
+
+@query("AGG48", f"{_RULED} SELECT count(*) AS n, {_BY} FROM final")
 def _(s, d):
     differ = lambda a, b: F.sum((~c(a).eqNullSafe(c(b))).cast("int"))
-    return _ruled(s, d).agg(F.count(F.lit(1)).alias("n"), differ("sleeve", "sleeve_label").alias("sleeve_overrides"), differ("media", "media_label").alias("media_overrides"), F.sum(N.contradiction(c("text")).cast("int")).alias("contradictions"))
+    return _ruled(s, d).agg(F.count(F.lit(1)).alias("n"), differ("sleeve", "sleeve_label").alias("sleeve_overrides"), differ("media", "media_label").alias("media_overrides"), F.sum(c("contradiction").cast("int")).alias("contradictions"))
 
 
-@query("FN28", f"SELECT item_id, {_hm(N.RULES.hard[0])} AS would_match, coalesce({_HARD['media']} = 'Poor', false) AS would_fire FROM notes")
+@query("FN28", f"WITH {_FOUND} SELECT item_id, {_hm(N.RULES.hard[0])} AS would_match, coalesce({_hard('media', _grade)} = 'Poor', false) AS would_fire FROM found")
 def _(s, d):
-    t = c("text")
-    return _notes(s, d).select("item_id", N.hard_match(N.low(t), N.RULES.hard[0]).alias("would_match"), F.coalesce(N.hard_grade(t, "media") == "Poor", F.lit(False)).alias("would_fire"))
+    hard = lambda forbid: F.coalesce(N.hard_by(c("__low"), c("__found"), "media", N.RULES, forbid)["grade"] == "Poor", F.lit(False))
+    return N.with_signals(_notes(s, d), "text").select("item_id", hard(False).alias("would_match"), hard(True).alias("would_fire"))
 
 
 _ALLS = [(r.grade, w) for r in N.RULES.soft for w in r.supporting]
 
 
-@query("FN49", " UNION ALL ".join(f"SELECT item_id, '{g}' AS grade, '{w}' AS signal FROM notes WHERE {_sig(w)}" for g, w in _ALLS))
+@query("FN49", f"WITH {_FOUND} " + " UNION ALL ".join(f"SELECT item_id, '{g}' AS grade, '{w}' AS signal FROM found WHERE list_contains(f, '{w}')" for g, w in _ALLS))
 def _(s, d):
-    t = N.low(c("text"))
-    found = F.array_compact(F.array(*(F.when(N.signal(t, w), F.struct(F.lit(g).alias("grade"), F.lit(w).alias("signal"))) for g, w in _ALLS)))
-    return _notes(s, d).select("item_id", F.explode(found).alias("f")).select("item_id", "f.*")
+    hits = F.array_compact(F.array(*(F.when(F.array_contains(c("__found"), F.lit(w)), F.struct(F.lit(g).alias("grade"), F.lit(w).alias("signal"))) for g, w in _ALLS)))
+    return N.with_signals(_notes(s, d), "text").select("item_id", F.explode(hits).alias("f")).select("item_id", "f.*")
+
+
+_SELF = f"regexp_matches({_L}, '(vg\\+|nm )')"
 
 
-@query("FN47", f"SELECT item_id, {_hits(_L, V.playback)} AS playback, {_hits(_L, V.sleeve)} AS sleeve, (({_EVID}) = 'strong')::INT AS strong, ({_any(_L, ('vg\\+', 'nm '))})::INT AS self_grade, length({_L}) AS chars FROM notes".replace(_any(_L, ("vg\\+", "nm ")), f"regexp_matches({_L}, '(vg\\+|nm )')"))
+@query("FN47", f"SELECT item_id, {_hits(_L, V.playback)} AS playback, {_hits(_L, V.sleeve)} AS sleeve, (({_EVID}) = 'strong')::INT AS strong, ({_SELF})::INT AS self_grade, length({_L}) AS chars FROM notes")
 def _(s, d):
-    t = N.low(c("text"))
-    return _notes(s, d).select("item_id", N.hits(t, V.playback).alias("playback"), N.hits(t, V.sleeve).alias("sleeve"), (N.evidence(c("text")) == "strong").cast("int").alias("strong"), F.rlike(t, F.lit(r"(vg\+|nm )")).cast("int").alias("self_grade"), F.length(t).alias("chars"))
+    q = _notes(s, d).withColumn("__low", N.low(c("text"))).withColumn("cues", N.cues(c("__low")))
+    return q.select("item_id", c("cues.playback").alias("playback"), N.hits(c("__low"), V.sleeve).alias("sleeve"), (N.evidence_by(c("cues")) == "strong").cast("int").alias("strong"), F.rlike(c("__low"), F.lit(r"(vg\+|nm )")).cast("int").alias("self_grade"), F.length("__low").alias("chars"))
 
 
 _DROP = f"CASE WHEN trim(coalesce(text, '')) = '' THEN 'missing_notes' WHEN length(trim(text)) < 80 THEN 'short_notes' WHEN sleeve_label IS NULL THEN 'missing_sleeve' WHEN media_label IS NULL THEN 'missing_media' WHEN {_any('lower(trim(text))', V.generic)} THEN 'generic_note' END"

@@ -211,5 +211,5 @@ def _(s, d):
     feats = F.array(*(x.cast("double") for x in (N.hits(c("clean"), N.VOCABULARY.playback), N.hits(c("clean"), N.VOCABULARY.sleeve), N.hits(c("clean"), N.VOCABULARY.sealed), F.length("clean") / 1000)))
     rows = notes.where(c("media_label").isin(*GRADES)).withColumn("x", feats)
     out = L.apply_head(L.fit_head(rows.where("doc_id % 5 < 4"), "x", "media_label", 0.1, 10), rows, "x")
-    final = N.final_grade(c("clean"), "media", c("predicted"), F.array_max("probabilities"))
-    return out.select("doc_id", c("predicted").alias("model"), final.alias("final"), N.contradiction(c("clean")).alias("contradiction"))
+    ruled = N.apply_rules(out.withColumn("confidence", F.array_max("probabilities")), "clean", {"media": "predicted"}, {"media": "confidence"})
+    return ruled.select("doc_id", c("predicted").alias("model"), c("media_final").alias("final"), "contradiction")

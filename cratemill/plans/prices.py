@@ -201,10 +201,10 @@ def _stats(s, d):
     return sql(s, d, _STATS)
 
 
-@query("FN29", f"WITH t AS ({_STATS}) SELECT release_id, round({_weight('median', 'listing', 'tier')}, 6) AS w, round({_blend('median', 'listing', 'tier')}, 4) AS y FROM t")
+@query("FN29", f"WITH t AS ({_STATS}) SELECT release_id, round({_weight('median', 'listing', 'tier')}, 6) AS w, round({_blend('median', 'listing', 'tier')}, 8) AS y FROM t")
 def _(s, d):
     m, lo, t = c("median"), c("listing"), c("tier")
-    return _stats(s, d).select("release_id", F.round(L.blend_weight(m, lo, t), 6).alias("w"), F.round(L.blend(m, lo, t), 4).alias("y"))
+    return _stats(s, d).select("release_id", F.round(L.blend_weight(m, lo, t), 6).alias("w"), F.round(L.blend(m, lo, t), 8).alias("y"))
 
 
 _CAPL = "least(listing, CASE WHEN median > 0 THEN greatest(median, coalesce(high, 0)) WHEN high > 0 THEN high END * 3.0)"

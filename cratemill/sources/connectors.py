@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cratemill.functions import catalogue as C
+from cratemill.functions import notes
 from cratemill.streaming.incremental import shared_path
 
 
@@ -141,42 +144,29 @@ def read_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("key string, value string").json(path)
 
 
-def sale_rows(pages: DataFrame) -> DataFrame:
-    """Sales of HTML tables (page_id, html): a row that starts with a date opens a sale; other rows are comments to the one before."""
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<tr>(.*?)</tr>"), 1)).alias("pos", "tr"))
-    cells = rows.select("page_id", "pos", F.transform(F.regexp_extract_all("tr", F.lit(r"(?s)<td>(.*?)</td>"), 1), lambda c: F.trim(F.regexp_replace(c, "<[^>]*>", ""))).alias("td"))
-    dated = F.rlike(F.get("td", F.lit(0)), F.lit(r"^\d{4}-\d{2}-\d{2}$"))
-    w = Window.partitionBy("page_id").orderBy("pos")
-    numbered = cells.where(F.size("td") > 0).withColumn("dated", dated).withColumn("sale", F.count_if(dated).over(w)).where("sale > 0")
-    cell = lambda i: F.max(F.when(F.col("dated"), F.get("td", F.lit(i))))
-    notes = F.array_sort(F.collect_list(F.when(~F.col("dated"), F.struct("pos", F.get("td", F.lit(0)).alias("t")))))
-    per = numbered.groupBy("page_id", "sale").agg(cell(0).alias("order_date"), cell(1).alias("media_condition"), cell(2).alias("sleeve_condition"), cell(3).alias("price_text"), notes.alias("notes"))
-    return per.select("page_id", "sale", "order_date", "media_condition", "sleeve_condition", "price_text", F.array_join(F.transform("notes", lambda n: n["t"]), " ").alias("comments"))
-
-
-def listing_rows(pages: DataFrame) -> DataFrame:
-    """Listings of marketplace pages: id from the link, artist and title around the first ' - ', conditions; an id once a page."""
-    items = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?s)<div class="listing">(.*?)</div>'), 1)).alias("pos", "item"))
-    part = lambda p: F.trim(F.regexp_extract("item", p, 1))
-    name = part(r"<h4>(.*?)</h4>")
-    at = F.instr(name, " - ")
-    rows = items.select(
-        "page_id", "pos", part(r"/sell/item/(\d+)").alias("listing_id"), F.when(at > 0, F.substr(name, F.lit(1), at - 1)).otherwise("").alias("artist"), F.when(at > 0, F.substr(name, at + 3)).otherwise(name).alias("title"),
-        part(r"Media:\s*([^<\n]*)").alias("media"), part(r"Sleeve:\s*([^<\n]*)").alias("sleeve"),
-    ).where("listing_id <> ''")
-    first = rows.groupBy("page_id", "listing_id").agg(F.min_by(F.struct("artist", "title", "media", "sleeve"), "pos").alias("r"))
-    return first.select("page_id", "listing_id", "r.*")
-
-
 def linked_ids(pages: DataFrame, pattern: str = r'href="/release/(\d+)') -> DataFrame:
     """(page_id, release_id, pos): distinct ids linked from every page, in the order seen."""
     ids = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), 1)).alias("pos", "release_id"))
     return ids.groupBy("page_id", "release_id").agg(F.min("pos").alias("pos"))
 
 
-def sale_as_listing(df: DataFrame) -> DataFrame:
+def sale_source(sales: DataFrame, fetches: DataFrame | None, keys: list[str], limit: int | None = None, seed: int | None = None) -> DataFrame:
+    """Sales as a source of listings: only of releases whose fetch is ok, if fetches are given; all of them unless limit is.
+
+    A limit takes the first by release and keys, or with a seed a random sample that reruns repeat.
+    """
+    rows = sales if fetches is None else sales.join(fetches.where("status = 'ok'").select("release_id").distinct(), "release_id", "left_semi")
+    if limit is None:
+        return rows
+    text = F.concat_ws("/", F.lit(str(seed)), "release_id", *(F.col(k).cast("string") for k in keys))
+    order = [F.col("release_id").cast("long"), *keys] if seed is None else [F.md5(text), "release_id", *keys]
+    return rows.orderBy(*order).limit(limit)
+
+
+def sale_as_listing(df: DataFrame, *keep: str) -> DataFrame:
     """A sale row in the shape of an inventory listing; the prefix Comments: goes."""
     return df.select(
+        *keep,
         F.concat_ws("-", "release_id", "l_orderkey", "l_linenumber").alias("id"), F.col("media_condition").alias("condition"), "sleeve_condition", F.trim(F.regexp_replace(F.coalesce("seller_comments", F.lit("")), r"(?i)^\s*comments:\s*", "")).alias("comments")
     )
 
@@ -195,9 +185,59 @@ def grade_of(condition: Column) -> Column:
     return F.try_element_at(table, F.lower(F.trim(condition)))
 
 
+def unified_listings(df: DataFrame) -> DataFrame:
+    """Records of inventory listings: item_id, source, text, labels and raw grades, confidence and metadata.
+
+    df: id, condition, sleeve_condition, comments and, where known, artist, title, year, country, format. Seller comments are cleaned
+    of links, pictures and boilerplate. Grades that the condition map lacks are null; blank metadata is an empty text.
+    """
+    filled = lambda c: (F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("")) if c in df.columns else F.lit("")).alias(c)
+    text = notes.without_boilerplate(notes.seller_text(F.coalesce("comments", F.lit(""))))
+    return df.select(
+        F.col("id").alias("item_id"), F.lit("inventory").alias("source"), text.alias("text"), grade_of(F.col("condition")).alias("media_label"), grade_of(F.col("sleeve_condition")).alias("sleeve_label"),
+        F.lit(1.0).alias("label_confidence"), filled("artist"), filled("title"), (F.col("year") if "year" in df.columns else F.lit(None)).cast("int").alias("year"), filled("country"), filled("format"),
+        F.col("condition").alias("raw_media"), F.col("sleeve_condition").alias("raw_sleeve"),
+    )
+
+
+_GRADE = r"^(?i)(VG\+|VG|E\+|E-|E|M-|S)(?![a-z])"
+
+
 def auction_grade(token: Column) -> tuple[Column, Column]:
     """Grade and confidence of an auction's grade token (the longest token that the text starts with)."""
-    t = F.upper(F.regexp_extract(F.trim(token), r"^(?i)(VG\+|VG|E\+|E-|E|M-|S)", 1))
+    t = F.upper(F.regexp_extract(F.trim(token), _GRADE, 1))
     grade = F.create_map(*(F.lit(x) for k, (g, _) in AUCTION_GRADES.items() for x in (k, g)))
     trust = F.create_map(*(F.lit(x) for k, (_, c) in AUCTION_GRADES.items() for x in (k, c)))
     return F.try_element_at(grade, t), F.try_element_at(trust, t)
+
+
+def auction_items(df: DataFrame, media_field: str, sleeve_field: str) -> DataFrame:
+    """df (aspects: array of name and value) with raw and graded media and sleeve, what follows their tokens, and label_confidence.
+
+    Names are compared without letter case; of equal ones the last counts. The confidence of a record is the lower of both.
+    """
+    of = lambda name: F.get(F.filter(F.reverse("aspects"), lambda a: F.lower(F.trim(a["name"])) == name.lower()), F.lit(0))["value"]
+    raw = {"media": of(media_field), "sleeve": of(sleeve_field)}
+    out = df.withColumns({f"raw_{k}": v for k, v in raw.items()})
+    graded = {k: auction_grade(F.col(f"raw_{k}")) for k in raw}
+    suffix = lambda k: F.when(graded[k][0].isNotNull(), F.trim(F.regexp_replace(F.trim(f"raw_{k}"), _GRADE, ""))).otherwise("")
+    return out.withColumns({f"{k}_label": graded[k][0] for k in raw} | {f"{k}_suffix": suffix(k) for k in raw} | {"label_confidence": F.least(graded["media"][1], graded["sleeve"][1])})
+
+
+def ingest(sources: dict[str, list[tuple[str, Callable[[], DataFrame] | None]]]) -> dict[str, tuple[str, DataFrame]]:
+    """Of every kind of input the first source that is there and has rows, else the last one that is there: its name and its rows."""
+    chosen = {}
+    for kind, options in sources.items():
+        there = [(name, load()) for name, load in options if load is not None]
+        chosen[kind] = next(((name, df) for name, df in there if not df.isEmpty()), there[-1])
+    return chosen
+
+
+def ingest_report(chosen: dict[str, tuple[str, DataFrame]], mapped: dict[str, DataFrame]) -> DataFrame:
+    """(kind, origin, n, dropped): where each input came from, its rows after the mapping of ids, and how many that lost."""
+    out = None
+    for kind, (origin, df) in chosen.items():
+        count = lambda x, name: x.agg(F.count(F.lit(1)).alias(name))
+        row = count(mapped.get(kind, df), "n").join(F.broadcast(count(df, "raw"))).select(F.lit(kind).alias("kind"), F.lit(origin).alias("origin"), "n", (F.col("raw") - F.col("n")).alias("dropped"))
+        out = row if out is None else out.unionByName(row)
+    return out
