@@ -45,7 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's result is written before what the stage made on its way, and what it read, is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with common.scratch(spark) as made:
+            docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.discard(spark, before + made[:-1])  # the last path is the stage's result
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
