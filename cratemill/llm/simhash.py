@@ -145,7 +145,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours and then the label of that label, so chains are followed at
     doubling distance, until nothing changes. Labels are written out each round; only whether any changed comes to the driver.
     """
-    both = common.materialize(edges.select("a", "b").union(edges.select("b", "a")), "edges")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = common.materialize(edges.select(ways).select("e.*"), "edges")
     labels = common.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
