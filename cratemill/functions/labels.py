@@ -114,3 +114,20 @@ def trimmed_ladder(values: Column, nm: Column, g: BlendConfig = BlendConfig()) -
         return F.least(v, F.when(mint, nm * g.mint_outlier), nm * g.winsor)
 
     return F.transform_values(values, cap)
+
+
+def interval(point: Column, lo: Column, hi: Column) -> Column:
+    """struct(lo, hi) in cents around a price: bounds in order, the price between them; where rounding parts them, a cent is added."""
+    low, high = F.least(lo, hi, point), F.greatest(lo, hi, point)
+    l, h, p = (F.round(x, 2) for x in (low, high, point))
+    return F.struct(F.when(p < l, F.greatest(F.lit(0.0), F.round(p - 0.01, 2))).otherwise(l).alias("lo"), F.when(p > h, F.round(p + 0.01, 2)).otherwise(h).alias("hi"))
+
+
+def symmetric_interval(point: Column, half: Column) -> Column:
+    """The price with half a width to either side, not below zero."""
+    return interval(point, F.greatest(F.lit(0.0), point - half), point + half)
+
+
+def heuristic_interval(point: Column, share: float = 0.12, least: float = 1.0) -> Column:
+    """Without a model's residuals: a share of the price, a dollar at least, to either side."""
+    return symmetric_interval(point, F.greatest(point * share, F.lit(least)))

@@ -82,3 +82,40 @@ def softmax(logits: Column, temperature: float = 1.0) -> Column:
     """Probabilities of an array of logits."""
     e = F.transform(logits, lambda x: F.exp((x - F.array_max(logits)) / temperature))
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+
+
+def _normal(p: Column) -> Column:
+    total = F.aggregate(p, F.lit(0.0), lambda a, b: a + b)
+    return F.transform(p, lambda x: F.when(total == 0, x).otherwise(x / total))
+
+
+def evidence_prior(p: Column, strength: Column, classes: list[str], careful: tuple[str, ...], none: float, weak: float) -> Column:
+    """Probabilities mixed with an even prior over the careful classes, the more the less a note says (none, weak, strong)."""
+    share = sum(k in careful for k in classes)
+    if not share:
+        return p
+    a = F.when(F.lower(strength) == "none", none).when(F.lower(strength) == "weak", weak).otherwise(0.0)
+    prior = F.array(*(F.lit(1 / share if k in careful else 0.0) for k in classes))
+    return _normal(F.zip_with(p, prior, lambda x, y: (1 - a) * x + a * y))
+
+
+def band_blend(p: Column, band_p: Column, band_of: list[int], alpha: float) -> Column:
+    """Probabilities of classes mixed with those of the bands that they lie in (band_of: place of each class's band in band_p)."""
+    mapped = F.array(*(F.get(band_p, F.lit(b)) for b in band_of))
+    return _normal(F.zip_with(p, mapped, lambda x, y: (1 - alpha) * x + alpha * y))
+
+
+def best_class(p: Column, classes: list[str]) -> Column:
+    return F.get(F.array(*(F.lit(k) for k in classes)), (F.array_position(p, F.array_max(p)) - 1).cast("int"))
+
+
+def confidence_band(p: Column, classes: list[str], order: list[str], most: float) -> Column:
+    """"better/worse" if the two likeliest classes follow each other in the order and differ by `most` or less, else null."""
+    first = (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    rest = F.transform(p, lambda x, i: F.when(i == first, -1.0).otherwise(x))
+    second = (F.array_position(rest, F.array_max(rest)) - 1).cast("int")
+    rank = F.array(*(F.lit(order.index(k) if k in order else None).cast("int") for k in classes))
+    a, b = F.get(rank, first), F.get(rank, second)
+    names = F.array(*(F.lit(k) for k in order))
+    close = (F.array_max(p) - F.array_max(rest) <= most) & (F.abs(a - b) == 1)
+    return F.when(close, F.concat(F.get(names, F.least(a, b)), F.lit("/"), F.get(names, F.greatest(a, b))))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cratemill.operators.ranking import global_rank
+from cratemill.operators.ranking import global_rank, quantiles
 
 EPS = 1e-6
 
@@ -26,13 +26,26 @@ def psi(counts: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total)).agg(F.sum((q - p) * F.ln(q / p)).alias("psi"))
 
 
+def psi_by(counts: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """(key, psi, n): the index of every window of counts (key, bin, n) against the fixed reference (bin, n); bins of either side count."""
+    ref = reference.select("bin", F.col("n").alias("r"))
+    windows = counts.groupBy(key).agg(F.sum("n").alias("nc"))
+    bins = counts.select("bin").union(ref.select("bin")).distinct()
+    grid = windows.join(F.broadcast(bins))  # the few bins of every window
+    total = ref.agg(F.sum("r").alias("nr"))
+    rows = grid.join(counts.select(key, "bin", F.col("n").alias("c")), [key, "bin"], "left").join(ref, "bin", "left").join(F.broadcast(total))
+    p, q = (F.greatest(F.coalesce(F.col(x), F.lit(0)) / F.col(n), F.lit(EPS)) for x, n in (("r", "nr"), ("c", "nc")))
+    return rows.groupBy(key).agg(F.sum((q - p) * F.ln(q / p)).alias("psi"), F.max("nc").alias("n"))
+
+
 def edges_bin(x: Column, edges: list[float]) -> Column:
     return sum(((x > e).cast("int") for e in edges), F.lit(0))
 
 
 def decile_counts(ref: DataFrame, cur: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """side_counts by the reference's deciles (equal edges fall together)."""
-    cuts = ref.agg(F.percentile(column, [i / bins for i in range(1, bins)]).alias("cuts"))
+    cuts = quantiles(ref, F.col(column), {f"q{i}": i / bins for i in range(1, bins)})
+    cuts = cuts.select(F.array(*(F.col(f"q{i}") for i in range(1, bins))).alias("cuts"))
     place = F.size(F.filter(F.array_distinct("cuts"), lambda e: F.col(column) > e))
     binned = lambda d: d.select(column).join(F.broadcast(cuts)).select(place.alias("b"))
     return side_counts(binned(ref), binned(cur), F.col("b"))
@@ -60,14 +73,14 @@ def ks(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
     Equal values are counted first; running counts go over range-partitioned values, part by part, never through one task.
     """
     counts = side_counts(ref, cur, F.col(column)).where("bin is not null")
-    ranked = global_rank(counts, [F.asc("bin")], name="rn").checkpoint()
-    size = F.lit(1 << 14)
-    parts = ranked.withColumn("part", F.floor((F.col("rn") - 1) / size))
+    n = int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = counts.repartitionByRange(n, "bin").sortWithinPartitions("bin").withColumn("part", F.spark_partition_id()).checkpoint()
+    # one row for each partition: how many rows of either side lie in earlier ones
     sums = parts.groupBy("part").agg(F.sum("r").alias("sr"), F.sum("c").alias("sc"))
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("part", F.coalesce(F.sum("sr").over(w), F.lit(0)).alias("br"), F.coalesce(F.sum("sc").over(w), F.lit(0)).alias("bc"))  # a row for each 16384 values
-    inner = Window.partitionBy("part").orderBy("rn")
-    run = parts.join(F.broadcast(before), "part").select((F.col("br") + F.sum("r").over(inner)).alias("cr"), (F.col("bc") + F.sum("c").over(inner)).alias("cc"))
+    over = "over (partition by null order by part rows between unbounded preceding and 1 preceding)"
+    earlier = sums.select("part", F.expr(f"coalesce(sum(sr) {over}, 0)").alias("br"), F.expr(f"coalesce(sum(sc) {over}, 0)").alias("bc"))
+    inner = Window.partitionBy("part").orderBy("bin")
+    run = parts.join(earlier, "part").select((F.col("br") + F.sum("r").over(inner)).alias("cr"), (F.col("bc") + F.sum("c").over(inner)).alias("cc"))
     total = counts.agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
     return run.join(F.broadcast(total)).groupBy("nr", "nc").agg(F.max(F.abs(F.col("cr") / F.col("nr") - F.col("cc") / F.col("nc"))).alias("statistic"))
 

@@ -45,7 +45,7 @@ def als_top_n(model, users: DataFrame, n: int, owned: DataFrame, margin: int) ->
 
 
 def album_features(albums: DataFrame, top_k: int) -> DataFrame:
-    """(album_id, features array): scaled year and rating, flags of the commonest genres, the artist's share of albums."""
+    """(album_id, features array): scaled year and rating, flags of the commonest genres. dense_ids gives the artist's index."""
     genres = F.filter(F.transform(F.split("genre", ","), lambda g: F.lower(F.trim(g))), lambda g: g != "")
     g = albums.withColumn("genres", genres)
     top = g.select(F.explode("genres").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "g").limit(top_k)
@@ -92,16 +92,49 @@ def tfidf(docs: DataFrame, train: Column, min_df: int, max_features: int) -> Dat
     """
     t = F.col("tokens")
     two = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    terms = docs.withColumn("is_train", train).select("doc_id", "is_train", F.explode(F.concat(t, F.when(F.size(t) > 1, two).otherwise(F.array().cast("array<string>")))).alias("term"))
-    tf = terms.groupBy("doc_id", "is_train", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.where("is_train").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
-    vocabulary = df.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df")
+    grams = F.array_sort(F.concat(t, F.when(F.size(t) > 1, two).otherwise(F.array().cast("array<string>"))))
+    listed = docs.where(train).select(grams.alias("g"))
+    # equal terms of a document stand together; the first of them counts the document
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("g", 1, F.greatest(F.size("g") - 1, F.lit(0))))
+    marked = F.zip_with("g", before, lambda x, y: F.struct(x.alias("term"), (~x.eqNullSafe(y)).cast("int").alias("first")))
+    counted = listed.select(F.explode(marked).alias("g")).where("g.term is not null").groupBy("g.term").agg(F.sum("g.first").alias("df"), F.count(F.lit(1)).alias("total")).where(F.col("df") >= min_df)
+    # max_features rows; what is not in the vocabulary never reaches the grouping by document
+    vocabulary = counted.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df").checkpoint()
     n = docs.where(train).agg(F.count(F.lit(1)).alias("n"))
-    w = tf.join(F.broadcast(vocabulary), "term").join(F.broadcast(n)).withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    tf = docs.select("doc_id", F.explode(grams).alias("term")).join(F.broadcast(vocabulary), "term").groupBy("doc_id", "term", "df").agg(F.count(F.lit(1)).alias("tf"))
+    w = tf.join(F.broadcast(n)).withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return w.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
 
 
+def top_terms(weights: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(cls, term, weight): the k terms with the largest mean weight of each class. weights: doc_id, term, weight; docs: doc_id, cls.
+
+    The mean is over all documents of the class, with zero where a term is missing.
+    """
+    size = docs.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    sums = weights.join(docs.select("doc_id", "cls"), "doc_id").groupBy("cls", "term").agg(F.sum("weight").alias("w")).join(size, "cls")
+    mean = sums.select("cls", "term", F.round(F.col("w") / F.col("n"), 6).alias("weight"))
+    return mean.withColumn("rn", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("weight"), "term"))).where(F.col("rn") <= k).drop("rn")
+
+
+def out_of_fold(df: DataFrame, features: str, label: str, fold: Column, k: int, reg: float, iterations: int = 30) -> DataFrame:
+    """df with predicted and probabilities of a head that was fitted on the other folds, and the labels in the order of probabilities.
+
+    fold: 0 to k - 1. k distributed fits; no row is scored by a head that saw it. A label that a fit did not see has probability zero.
+    """
+    labels = [r[label] for r in df.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]  # the classes
+    out = None
+    for i in range(k):
+        model = fit_head(df.where(fold != i), features, label, reg, iterations)
+        scored = apply_head(model, df.where(fold == i), features)
+        known = model.stages[0].labels
+        by_name = F.map_from_arrays(F.array(*(F.lit(x) for x in known)), F.slice("probabilities", 1, len(known)))
+        scored = scored.withColumn("probabilities", F.array(*(F.coalesce(F.try_element_at(by_name, F.lit(x)), F.lit(0.0)) for x in labels)))
+        out = scored if out is None else out.unionByName(scored)
+    return out.withColumn("labels", F.array(*(F.lit(x) for x in labels)))
+
+
 def fit_head(train: DataFrame, features: str, label: str, reg: float = 0.1, iterations: int = 30, weight: str | None = None):
     """A multinomial logistic head over an array column."""
     lr = LogisticRegression(featuresCol="__v", labelCol="__y", regParam=reg, maxIter=iterations, family="multinomial", probabilityCol="__p")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cratemill.operators.ranking import quantiles
+
 
 def as_of(sales: DataFrame, fetched: DataFrame) -> DataFrame:
     """sales up to their release's reference time (fetched: release_id, t_ref)."""
@@ -29,6 +31,15 @@ def cascade(sales: DataFrame, steps: tuple[tuple[str, float, int], ...] = CASCAD
     return sales.join(chosen, "release_id").where(eff >= F.col("floor")).drop("floor")
 
 
+def uplifted(sales: DataFrame, per_grade: float = 0.08, near_mint: float = 7.0) -> DataFrame:
+    """sales with uplift_usd: the price that the record would have fetched near mint, `per_grade` in the log for each grade below.
+
+    Prices that are not positive stay as they are.
+    """
+    below = F.greatest(F.lit(near_mint) - F.least("media_ord", "sleeve_ord"), F.lit(0.0))
+    return sales.withColumn("uplift_usd", F.when(F.col("usd") > 0, F.col("usd") * F.exp(per_grade * below)).otherwise(F.col("usd")))
+
+
 def cascade_tags(sales: DataFrame, steps=CASCADE) -> DataFrame:
     eff = F.least("media_ord", "sleeve_ord")
     per = sales.groupBy("release_id").agg(*(F.count_if(eff >= floor).alias(tag) for tag, floor, _ in steps))
@@ -42,13 +53,16 @@ def days(a: Column, b: Column) -> Column:
     return (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 86400e6
 
 
-def theil_sen(sales: DataFrame) -> DataFrame:
-    """Per release the trend of monthly median log prices: slope, intercept, bins. sales: release_id, order_date, usd.
+#: The first day of the bin of a date.
+BINS = {"day": F.to_date, "week": lambda d: F.trunc(d, "week"), "month": lambda d: F.trunc(d, "month")}
 
-    Only months are paired, so a release of many sales gives few pairs.
+
+def theil_sen(sales: DataFrame, bin_: str = "month") -> DataFrame:
+    """Per release the trend of median log prices by day, week or month: slope, intercept, bins. sales: release_id, order_date, usd.
+
+    Only bins are paired, so a release of many sales gives few pairs.
     """
-    month = F.trunc("order_date", "month")
-    bins = sales.where("usd > 0").groupBy("release_id", month.alias("m")).agg(F.ln(F.median("usd")).alias("y"))
+    bins = sales.where("usd > 0").groupBy("release_id", BINS[bin_]("order_date").alias("m")).agg(F.ln(F.median("usd")).alias("y"))
     origin = bins.groupBy("release_id").agg(F.min("m").alias("m0"))
     at = bins.join(origin, "release_id").select("release_id", F.datediff("m", "m0").cast("double").alias("x"), "y")
     a, b = at.alias("a"), at.alias("b")
@@ -77,11 +91,11 @@ def sale_stats(sales: DataFrame) -> DataFrame:
     return sales.groupBy("release_id").agg(F.min("usd").alias("low"), F.median("usd").alias("median"), F.max("usd").alias("high"), F.avg("usd").alias("average"), F.count(F.lit(1)).alias("n"))
 
 
-def nowcast(sales: DataFrame, min_bins: int = 4, shrink: float = 0.7, half_life: float = 90.0) -> DataFrame:
+def nowcast(sales: DataFrame, min_bins: int = 4, shrink: float = 0.7, half_life: float = 90.0, bin_: str = "month") -> DataFrame:
     """(release_id, sold, tier, n): A a trend, shrunk to the weighted median; B the weighted median; C the last sale."""
-    trend = theil_sen(sales)
+    trend = theil_sen(sales, bin_)
     center = weighted_center(sales, half_life)
-    first = sales.groupBy("release_id").agg(F.min(F.trunc("order_date", "month")).alias("m0"), F.max(F.trunc("t_ref", "month")).alias("mr"))
+    first = sales.groupBy("release_id").agg(F.min(BINS[bin_]("order_date")).alias("m0"), F.max(BINS[bin_]("t_ref")).alias("mr"))
     j = center.join(first, "release_id").join(trend, "release_id", "left")
     raw = F.col("intercept") + F.col("slope") * F.datediff("mr", "m0")
     is_a = F.coalesce(F.col("bins") >= min_bins, F.lit(False)) & F.abs(raw).between(0, 25)
@@ -99,14 +113,28 @@ def errors(df: DataFrame) -> DataFrame:
     return df.withColumns({"t": t, "p": p, "ae": F.abs(p - t), "ape": F.abs(p - t) / F.greatest(t, F.lit(0.01))})
 
 
+def with_quantiles(g: DataFrame, rows: DataFrame, value: Column, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """g (a row for each group) with quantiles of the groups' rows."""
+    q = quantiles(rows, value, shares, by)
+    if not by:
+        return g.join(F.broadcast(q))  # one row each
+    q = q.withColumnsRenamed({c: f"__q_{c}" for c in by})
+    match = F.lit(True)
+    for c in by:
+        match = match & g[c].eqNullSafe(q[f"__q_{c}"])
+    return g.join(q, match, "left").drop(*(f"__q_{c}" for c in by))
+
+
 def metrics(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """mae, wape, mdape and n."""
-    g = errors(df).groupBy(*(by or []))
-    return g.agg(F.avg("ae").alias("mae"), (F.sum("ae") / F.sum("t")).alias("wape"), F.median("ape").alias("mdape"), F.count(F.lit(1)).alias("n"))
+    rows, by = errors(df), by or []
+    g = rows.groupBy(*by).agg(F.avg("ae").alias("mae"), (F.sum("ae") / F.sum("t")).alias("wape"), F.count(F.lit(1)).alias("n"))
+    return with_quantiles(g, rows, F.col("ape"), {"mdape": 0.5}, by)
 
 
 def quantile_bins(df: DataFrame, column: str, shares: list[float], name: str) -> DataFrame:
     """df with the bin of column between its exact quantiles (right-closed, the first bin takes the minimum)."""
-    cuts = df.agg(F.percentile(column, shares).alias("__cuts"))
+    cuts = quantiles(df, F.col(column), {f"q{i}": x for i, x in enumerate(shares)})
+    cuts = cuts.select(F.array(*(F.col(f"q{i}") for i in range(len(shares)))).alias("__cuts"))
     place = F.size(F.filter(F.array_distinct("__cuts"), lambda e: F.col(column) > e))
     return df.join(F.broadcast(cuts)).withColumn(name, place).drop("__cuts")

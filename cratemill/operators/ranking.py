@@ -35,3 +35,30 @@ def global_rank(df: DataFrame, order: list[Column], within: list[str] | None = N
         match = match & sorted_df[c].eqNullSafe(before[f"{lead}_{i}"])
     out = sorted_df.join(before, match).withColumn(name, F.col(place) - F.col("least") + F.coalesce("before", F.lit(0)) + 1)
     return out.select(*df.columns, name)
+
+
+def quantiles(df: DataFrame, value: Column, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """(by..., one column for each name of shares): exact quantiles of value, interpolated between neighbours; nulls are left out.
+
+    For few groups of many rows: rows are ranked by a range partition and the one or two rows at each place are picked, so
+    no group's values have to meet in one task or one hash map. Without rows and groups the quantiles are null.
+    """
+    by = by or []
+    flat = df.select(*by, value.cast("double").alias("__v")).where("__v is not null")
+    keys = [F.col(c) for c in by]
+    ranked = global_rank(flat, [*keys, F.col("__v")], within=by, name="__rn")
+    sizes = flat.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).select(*(F.col(c).alias(f"__by_{c}") for c in by), "__n")
+    match = F.lit(True)
+    for c in by:
+        match = match & ranked[c].eqNullSafe(sizes[f"__by_{c}"])
+    at = {name: (F.col("__n") - 1) * F.lit(float(share)) for name, share in shares.items()}
+    low, high = {k: F.floor(h) for k, h in at.items()}, {k: F.ceil(h) for k, h in at.items()}
+    place = F.col("__rn") - 1
+    wanted = F.lit(False)
+    for k in shares:
+        wanted = wanted | (place == low[k]) | (place == high[k])
+    # sizes has a row for each group; groups are few by contract
+    picked = ranked.join(sizes, match).where(wanted)
+    one = lambda k, side: F.max(F.when(place == side[k], F.col("__v")))
+    rest = {k: F.max(F.when(place == low[k], h - low[k])) for k, h in at.items()}
+    return picked.groupBy(*by).agg(*((one(k, low) + (one(k, high) - one(k, low)) * rest[k]).alias(k) for k in shares))

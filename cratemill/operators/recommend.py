@@ -228,3 +228,26 @@ def similar_examples(bank: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     shared = left.join(right, ["target", "token"]).where(F.col("item_id") != F.col("other_id")).groupBy("target", "item_id", "other_id", "n", "m").agg(F.count(F.lit(1)).alias("common"))
     sim = shared.withColumn("sim", F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
     return sim.withColumn("rank", F.row_number().over(Window.partitionBy("target", "item_id").orderBy(F.desc("sim"), "other_id"))).where(F.col("rank") <= k).select("target", "item_id", "other_id", "sim", "rank")
+
+
+def catalogue_features(releases: DataFrame, community: DataFrame) -> DataFrame:
+    """Per master what a reranker reads of the catalogue: log counts of releases, vinyl releases and labels, countries, the span of
+    years (0 to 80), log community counts, the wants for each copy owned (0 to 10), log offers and lowest price, and whether there are any.
+
+    releases: release_id, master_id, is_vinyl, country, label_id, year; community: release_id, want, have, num_for_sale, lowest_price. Nulls
+    count as zero, blank countries as none.
+    """
+    known = F.when((F.trim("country") != "") & F.col("country").isNotNull(), F.col("country"))
+    j = releases.where(F.col("master_id").isNotNull()).join(community, "release_id", "left")
+    year = F.when(F.col("year") > 0, F.col("year"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    g = j.groupBy("master_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_vinyl").alias("vinyl"), F.count_distinct(known).alias("countries"), F.count_distinct("label_id").alias("labels"), (F.max(year) - F.min(year)).alias("span"),
+        F.sum("want").alias("want"), F.sum("have").alias("have"), F.sum("num_for_sale").alias("offers"), F.min(F.when(F.col("lowest_price") > 0, F.col("lowest_price"))).alias("lowest"), F.max(F.col("have").isNotNull().cast("int")).alias("known"),
+    )
+    ratio = F.least(F.greatest(z("want") / F.greatest(z("have"), F.lit(1)), F.lit(0.0)), F.lit(10.0))
+    return g.select(
+        "master_id", F.log1p("n").alias("release_count_log"), F.log1p("vinyl").alias("vinyl_release_count_log"), F.col("countries").cast("double").alias("unique_country_count"), F.log1p("labels").alias("unique_label_count_log"),
+        F.least(F.greatest(z("span"), F.lit(0)), F.lit(80)).cast("double").alias("era_span"), F.log1p(z("want")).alias("community_want_log"), F.log1p(z("have")).alias("community_have_log"), ratio.alias("want_have_ratio"),
+        F.log1p(z("offers")).alias("num_for_sale_log"), F.log1p(F.coalesce("lowest", F.lit(0.0))).alias("lowest_price_log"), z("known").cast("double").alias("has_community_stats"),
+    )

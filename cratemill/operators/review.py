@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratemill.operators.classify import hash_draw
-from cratemill.operators.ranking import global_rank
+from cratemill.operators.ranking import global_rank, quantiles
 
 
 def gate(least: float = 0.2, no_disagreement: tuple[str, ...] = ("sale",)) -> Column:
@@ -103,3 +103,12 @@ def group_split(ids: DataFrame, key: str, train: float, folds: int, seed: int) -
     ranked = global_rank(ids.withColumn("__h", hash_draw(F.col(key).cast("long"), seed)), [F.asc("__h"), F.asc(key)], name="rn")
     n = ids.agg(F.count(F.lit(1)).alias("n"))
     return ranked.join(F.broadcast(n)).select(key, F.when(F.col("rn") <= F.round(F.col("n") * train), "train").otherwise("test").alias("split"), ((F.col("rn") - 1) % folds).alias("fold"))
+
+
+def anchor_folds(releases: DataFrame, key: str, anchor: str, folds: int, seed: int) -> DataFrame:
+    """(key, quartile, fold) of distinct releases: folds are even inside each quartile of the anchor. A null anchor counts as 0."""
+    rows = releases.select(key, F.coalesce(F.col(anchor), F.lit(0.0)).cast("double").alias("__a"))
+    cuts = quantiles(rows, F.col("__a"), {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    placed = rows.join(F.broadcast(cuts)).select(key, sum(((F.col("__a") >= F.col(q)).cast("int") for q in ("q1", "q2", "q3")), F.lit(0)).alias("quartile"), hash_draw(F.col(key).cast("long"), seed).alias("__h"))
+    ranked = global_rank(placed, [F.asc("quartile"), F.asc("__h"), F.asc(key)], within=["quartile"], name="rn")
+    return ranked.select(key, "quartile", ((F.col("rn") - 1) % folds).alias("fold"))

@@ -81,6 +81,20 @@ def _(s, d):
     return stream_drift(s, d, [10.0, 30.0, 60.0])
 
 
+_EVENT_BIN = "(value >= 10)::INT + (value >= 30)::INT + (value >= 60)::INT"
+
+
+@query("STR03_psi", f"""WITH e AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, {_EVENT_BIN} AS bin, event_type FROM events), r AS (SELECT bin, count(*) AS r FROM e WHERE event_type = 'view' GROUP BY 1), t AS (SELECT sum(r) AS nr FROM r), c AS (SELECT day, bin, count(*) AS c FROM e GROUP BY 1, 2), w AS (SELECT day, sum(c) AS nc FROM c GROUP BY 1),
+x AS (SELECT day, nc, greatest(coalesce(r, 0)::DOUBLE / nr, 1e-6) AS p, greatest(coalesce(c, 0)::DOUBLE / nc, 1e-6) AS q FROM w CROSS JOIN (SELECT DISTINCT bin FROM e) b CROSS JOIN t LEFT JOIN c USING (day, bin) LEFT JOIN r USING (bin)) SELECT day, round(sum((q - p) * ln(q / p)), 6) AS psi, max(nc)::BIGINT AS n FROM x GROUP BY 1""")
+def _(s, d):
+    """Every day of the stream against what views have."""
+    from cratemill.streaming.incremental import stream_drift
+
+    bin_ = sum((c("value") >= e).cast("int") for e in (10.0, 30.0, 60.0))
+    reference = table(s, d, "events").where("event_type = 'view'").groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return _r6(D.psi_by(stream_drift(s, d, [10.0, 30.0, 60.0]), reference, "day"), "psi")
+
+
 @query("SNK02", "SELECT release_id, master_id, genre, style, decade, year, country, label_tier, format_desc FROM releases")
 def _(s, d):
     from cratemill.sources.connectors import canonical

@@ -404,26 +404,44 @@ def _(s, d):
     return K.stratified_sample(_graded(s, d).where("y_true <> y_model"), "y_true", "item_no", 10, 100, 5)
 
 
-@query("AGG40", "WITH t AS (SELECT item_id, coalesce(sleeve_label, 'none') AS cls, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')) AS term FROM notes), m AS (SELECT cls, term, count(*) AS n FROM t WHERE term <> '' GROUP BY 1, 2) SELECT cls, term, n FROM m QUALIFY row_number() OVER (PARTITION BY cls ORDER BY n DESC, term) <= 5")
-def _(s, d):
-    t = _notes(s, d).select(F.coalesce("sleeve_label", F.lit("none")).alias("cls"), F.explode(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ")).alias("term")).where("term <> ''")
-    n = t.groupBy("cls", "term").agg(F.count(F.lit(1)).alias("n"))
-    return K.top_per_group(n, ["cls"], [F.desc("n"), c("term")], 5).select("cls", "term", "n")
+#: Whole vectors stand for eight grades: the logit of a grade is the mean of its eighth of the components.
+_LOGIT = "list_transform(range(0, 8), lambda g: list_avg(list_transform(embedding[g * (len(embedding) // 8) + 1 : (g + 1) * (len(embedding) // 8)], lambda x: x::DOUBLE)))"
+_STRENGTH = "CASE vec_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'weak' ELSE 'strong' END"
+_EXP = f"e AS (SELECT vec_id, {_STRENGTH} AS strength, list_transform({_LOGIT}, lambda x: exp(8 * x)) AS e FROM embeddings), p AS (SELECT vec_id, strength, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)"
+_names = "[" + ", ".join(f"'{g}'" for g in GRADES) + "]"
+
+
+def _grade_logits():
+    size = F.floor(F.size("embedding") / 8).cast("int")
+    mean = lambda g: F.aggregate(F.slice("embedding", g * size + 1, size), F.lit(0.0), lambda a, x: a + x.cast("double")) / size
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), mean)
+
+
+def _grade_probs(s, d):
+    return table(s, d, "embeddings").select("vec_id", F.when(c("vec_id") % 3 == 0, "none").when(c("vec_id") % 3 == 1, "weak").otherwise("strong").alias("strength"), K.softmax(_grade_logits(), 1 / 8).alias("p"))
 
 
-@query("FN41", "SELECT vec_id, round(greatest(p1, p2, p3), 5) AS top, round((p1 + 0.2 / 3 * 0 + 0) * 0.8 + 0.2 / 3, 5) AS mixed FROM (SELECT vec_id, exp(embedding[1]) / (exp(embedding[1]) + exp(embedding[2]) + exp(embedding[3])) AS p1, exp(embedding[2]) / (exp(embedding[1]) + exp(embedding[2]) + exp(embedding[3])) AS p2, exp(embedding[3]) / (exp(embedding[1]) + exp(embedding[2]) + exp(embedding[3])) AS p3 FROM embeddings) q")
+@query("FN41", f"""WITH {_EXP}, b AS (SELECT vec_id, strength, [p[1] + p[2], p[3] + p[4], p[5] + p[6], p[7] + p[8]] AS band, p FROM p),
+m AS (SELECT vec_id, strength, list_transform(range(1, 9), lambda i: 0.8 * p[i] + 0.2 * band[(i + 1) // 2]) AS m FROM b), nn AS (SELECT vec_id, strength, list_transform(m, lambda x: x / list_sum(m)) AS q FROM m),
+a AS (SELECT vec_id, q, CASE strength WHEN 'none' THEN 0.4 WHEN 'weak' THEN 0.2 ELSE 0 END AS a FROM nn), g AS (SELECT vec_id, list_transform(range(1, 9), lambda i: round((1 - a) * q[i] + a * CASE WHEN i IN (2, 4, 5) THEN 1 / 3::DOUBLE ELSE 0 END, 12)) AS g FROM a),
+o AS (SELECT vec_id, g, list_position(g, list_max(g)) AS i1, list_sort(g, 'DESC') AS s FROM g), t AS (SELECT vec_id, i1, s, list_position(list_transform(range(1, 9), lambda i: CASE WHEN i = i1 THEN -1 ELSE g[i] END), s[2]) AS i2 FROM o)
+SELECT vec_id, {_names}[i1] AS grade, round(s[1], 5) AS top, CASE WHEN s[1] - s[2] <= 0.1 AND abs(i1 - i2) = 1 AND greatest(i1, i2) <= 7 THEN {_names}[least(i1, i2)] || '/' || {_names}[greatest(i1, i2)] END AS band FROM t""")
 def _(s, d):
-    p = K.softmax(F.slice("embedding", 1, 3))
-    return table(s, d, "embeddings").withColumn("p", p).select("vec_id", F.round(F.array_max("p"), 5).alias("top"), F.round(F.get("p", F.lit(0)) * 0.8 + 0.2 / 3, 5).alias("mixed"))
+    names = list(GRADES)
+    bands = F.array(*(F.get("p", F.lit(i)) + F.get("p", F.lit(i + 1)) for i in (0, 2, 4, 6)))
+    mixed = _grade_probs(s, d).withColumn("q", K.band_blend(c("p"), bands, [0, 0, 1, 1, 2, 2, 3, 3], 0.2))
+    gated = mixed.withColumn("g", K.evidence_prior(c("q"), c("strength"), names, ("Near Mint", "Very Good Plus", "Very Good"), 0.4, 0.2))
+    gated = gated.withColumn("g", F.transform("g", lambda x: F.round(x, 12)))
+    return gated.select("vec_id", K.best_class(c("g"), names).alias("grade"), F.round(F.array_max("g"), 5).alias("top"), K.confidence_band(c("g"), names, list(N.RULES.order), 0.1).alias("band"))
 
 
-@query("UDF03", "SELECT vec_id, 'c' || (list_position(list_transform(embedding[1:8], lambda x: round(x, 7)), round(list_max(embedding[1:8]), 7)) - 1) AS grade FROM embeddings")
+@query("UDF03", f"WITH {_EXP} SELECT vec_id, 'c' || (list_position(list_transform(p, lambda x: round(x, 9)), round(list_max(p), 9)) - 1) AS grade FROM p")
 def _(s, d):
-    p = K.softmax(F.slice("embedding", 1, 8), 0.7)
-    return table(s, d, "embeddings").select("vec_id", F.concat(F.lit("c"), (F.array_position(p, F.array_max(p)) - 1).cast("string")).alias("grade"))
+    p = F.transform("p", lambda x: F.round(x, 9))
+    return _grade_probs(s, d).select("vec_id", F.concat(F.lit("c"), (F.array_position(p, F.array_max(p)) - 1).cast("string")).alias("grade"))
 
 
-@query("WIN20", "SELECT vec_id, round(s[1], 5) AS top, round(s[1] - s[2], 5) AS gap FROM (SELECT vec_id, list_sort(embedding[1:8], 'DESC') AS s FROM embeddings) q")
+@query("WIN20", f"WITH {_EXP} SELECT vec_id, round(s[1], 5) AS top, round(s[1] - s[2], 5) AS gap FROM (SELECT vec_id, list_sort(p, 'DESC') AS s FROM p) q")
 def _(s, d):
-    top = F.sort_array(F.slice("embedding", 1, 8), asc=False)
-    return table(s, d, "embeddings").withColumn("s", top).select("vec_id", F.round(c("s")[0], 5).alias("top"), F.round(c("s")[0] - c("s")[1], 5).alias("gap"))
+    top = F.sort_array("p", asc=False)
+    return _grade_probs(s, d).withColumn("s", top).select("vec_id", F.round(c("s")[0], 5).alias("top"), F.round(c("s")[0] - c("s")[1], 5).alias("gap"))

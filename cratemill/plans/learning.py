@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cratemill.functions import notes as N
 from cratemill.operators import learning as L
 from cratemill.operators import recommend as R
+from cratemill.operators.ranking import quantiles
 from cratemill.plans.registry import query
 from cratemill.sources.views import GRADES, sql, table, view
 
@@ -36,10 +37,12 @@ def _(s, d):
     return _als(s, d)[2].select("user", "item", "rank")
 
 
-@query("ML02", "WITH g AS (SELECT album_id, year, avg_rating, list_transform(string_split(genre, ','), lambda g: lower(trim(g))) AS gs FROM albums), top AS (SELECT list_sort(list(g)) AS top FROM (SELECT g FROM (SELECT unnest(gs) AS g FROM g) q GROUP BY 1 ORDER BY count(*) DESC, g LIMIT 6) r), m AS (SELECT min(year) FILTER (WHERE year > 0) AS y0, max(year) FILTER (WHERE year > 0) AS y1, min(avg_rating) AS r0, max(avg_rating) AS r1 FROM g) SELECT album_id, round(CASE WHEN year > 0 THEN (year - y0)::DOUBLE / (y1 - y0) ELSE 0 END, 6) AS year_scaled, round((avg_rating - r0) / (r1 - r0), 6) AS rating_scaled, list_sum(list_transform(top, lambda t: list_contains(gs, t)::INT))::DOUBLE AS n_top FROM g, top, m")
+@query("ML02", "WITH g AS (SELECT album_id, artist, year, avg_rating, list_transform(string_split(genre, ','), lambda g: lower(trim(g))) AS gs FROM albums), top AS (SELECT list_sort(list(g)) AS top FROM (SELECT g FROM (SELECT unnest(gs) AS g FROM g) q GROUP BY 1 ORDER BY count(*) DESC, g LIMIT 6) r), m AS (SELECT min(year) FILTER (WHERE year > 0) AS y0, max(year) FILTER (WHERE year > 0) AS y1, min(avg_rating) AS r0, max(avg_rating) AS r1 FROM g) SELECT album_id, (SELECT count(DISTINCT artist) FROM albums x WHERE x.artist < g.artist) AS artist_index, round(CASE WHEN year > 0 THEN (year - y0)::DOUBLE / (y1 - y0) ELSE 0 END, 6) AS year_scaled, round((avg_rating - r0) / (r1 - r0), 6) AS rating_scaled, list_sum(list_transform(top, lambda t: list_contains(gs, t)::INT))::DOUBLE AS n_top FROM g, top, m")
 def _(s, d):
-    f = L.album_features(view(s, d, "albums"), 6)
-    return f.select("album_id", F.round(c("features")[0], 6).alias("year_scaled"), F.round(c("features")[1], 6).alias("rating_scaled"), F.aggregate(F.slice("features", 3, 100), F.lit(0.0), lambda a, x: a + x).alias("n_top"))
+    albums = view(s, d, "albums")
+    artists = L.dense_ids(albums, "artist").withColumnRenamed("index", "artist_index")
+    f = L.album_features(albums, 6).join(albums.select("album_id", "artist"), "album_id").join(artists, "artist")
+    return f.select("album_id", c("artist_index").cast("long").alias("artist_index"), F.round(c("features")[0], 6).alias("year_scaled"), F.round(c("features")[1], 6).alias("rating_scaled"), F.aggregate(F.slice("features", 3, 100), F.lit(0.0), lambda a, x: a + x).alias("n_top"))
 
 
 _V = "SELECT vec_id, CAST(label AS STRING) AS user_id, CAST(vec_id AS STRING) AS album_id, embedding AS features FROM embeddings"
@@ -96,17 +99,30 @@ def _(s, d):
     return out
 
 
-_TOKENS = "SELECT doc_id, {} AS tokens, doc_id % 5 < 4 AS is_train FROM notes"
+_TOKENS = "SELECT doc_id, coalesce(sleeve_label, 'none') AS cls, {} AS tokens, doc_id % 5 < 4 AS is_train FROM notes"
 _SPLIT = "split(trim(regexp_replace(lower(text), '[^a-z]+', ' ')), ' ')"
+#: The vocabulary: terms of two documents or more, the 10,000 commonest.
+_VOCABULARY = (2, 10_000)
+_TFIDF = f"""t AS ({_TOKENS.format("string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')")}),
+g AS (SELECT doc_id, is_train, unnest(list_concat(tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]))) AS term FROM t), tf AS (SELECT doc_id, is_train, term, count(*) AS tf FROM g GROUP BY ALL),
+df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf WHERE is_train GROUP BY 1 HAVING count(*) >= {_VOCABULARY[0]} ORDER BY total DESC, term LIMIT {_VOCABULARY[1]}), n AS (SELECT count(*) AS n FROM t WHERE is_train),
+w AS (SELECT doc_id, tf.term, (1 + ln(tf)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN df ON tf.term = df.term, n), wt AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)"""
 
 
-@query("ML07", f"""WITH t AS ({_TOKENS.format("string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')")}),
-g AS (SELECT doc_id, is_train, unnest(list_concat(tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]))) AS term FROM t), tf AS (SELECT doc_id, is_train, term, count(*) AS tf FROM g GROUP BY ALL),
-df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf WHERE is_train GROUP BY 1 HAVING count(*) >= 3 ORDER BY total DESC, term LIMIT 500), n AS (SELECT count(*) AS n FROM t WHERE is_train),
-w AS (SELECT doc_id, tf.term, (1 + ln(tf)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN df ON tf.term = df.term, n) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 5) AS weight FROM w""")
-def _(s, d):
+def _tfidf(s, d):
     docs = sql(s, d, _TOKENS.format(_SPLIT))
-    return L.tfidf(docs, c("is_train"), 3, 500).withColumn("weight", F.round("weight", 5))
+    return docs, L.tfidf(docs, c("is_train"), *_VOCABULARY)
+
+
+@query("ML07", f"WITH {_TFIDF} SELECT doc_id, term, round(weight, 5) AS weight FROM wt")
+def _(s, d):
+    return _tfidf(s, d)[1].withColumn("weight", F.round("weight", 5))
+
+
+@query("AGG40", f"WITH {_TFIDF}, z AS (SELECT cls, count(*) AS n FROM t GROUP BY 1), m AS (SELECT cls, term, round(sum(weight) / max(n), 6) AS weight FROM wt JOIN t USING (doc_id) JOIN z USING (cls) GROUP BY 1, 2) SELECT cls, term, weight FROM m QUALIFY row_number() OVER (PARTITION BY cls ORDER BY weight DESC, term) <= 5")
+def _(s, d):
+    docs, weights = _tfidf(s, d)
+    return L.top_terms(weights, docs, 5)
 
 
 def _vectors(s, d):
@@ -138,8 +154,12 @@ def _(s, d):
 
 @query("ML16")
 def _(s, d):
-    out, labels = _scored(s, d)
-    rows = out.select("vec_id", "y", F.slice("probabilities", 1, len(labels)).alias("p"))
+    """Every row is scored by a head that did not see it; four folds."""
+    v = _vectors(s, d)
+    reg = L.choose_reg(v.where("split = 'train'"), v.where("split = 'val'"), "x", "y", [0.01, 0.1])
+    out = L.out_of_fold(v, "x", "y", F.pmod(F.xxhash64("vec_id"), F.lit(4)), 4, reg).checkpoint()
+    labels = out.select("labels").first()["labels"]
+    rows = out.select("vec_id", "y", c("probabilities").alias("p"))
     return L.label_audit(rows, labels, "y", "p").select("vec_id", "y", "self_confidence", "meant", "is_issue").orderBy("self_confidence", "vec_id")
 
 
@@ -172,7 +192,7 @@ def _(s, d):
 @query("UDF02")
 def _(s, d):
     p = _predicted(s, d)
-    half = p.agg(F.percentile(F.abs(c("y_true") - c("y_hat")), 0.8).alias("half"))
+    half = quantiles(p, F.abs(c("y_true") - c("y_hat")), {"half": 0.8})
     return p.join(F.broadcast(half)).select("l_orderkey", "l_linenumber", F.expm1("y_hat").alias("price"), F.greatest(F.lit(0.0), F.expm1(c("y_hat") - c("half"))).alias("lo"), F.expm1(c("y_hat") + c("half")).alias("hi"))
 
 

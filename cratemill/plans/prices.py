@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cratemill.functions import labels as L
 from cratemill.functions import money as M
 from cratemill.operators import prices as P
+from cratemill.operators.ranking import quantiles
 from cratemill.plans.registry import query
 from cratemill.sources.views import sql, view
 
@@ -140,6 +141,11 @@ def _(s, d):
     return P.cascade_tags(view(s, d, "sales"))
 
 
+@query("FLT16_uplift", f"SELECT s.release_id, l_orderkey, l_linenumber, relax_tag, round(CASE WHEN usd > 0 THEN usd * exp(0.08 * greatest(7 - least(media_ord, sleeve_ord), 0)) ELSE usd END, 8) AS uplift_usd FROM sales s JOIN ({_TAGS}) t ON s.release_id = t.release_id WHERE least(media_ord, sleeve_ord) >= CASE relax_tag WHEN 'strict' THEN 7 WHEN 'relax_1' THEN 6 WHEN 'relax_2' THEN 5 END")
+def _(s, d):
+    return P.uplifted(P.cascade(view(s, d, "sales"))).select("release_id", "l_orderkey", "l_linenumber", "relax_tag", F.round("uplift_usd", 8).alias("uplift_usd"))
+
+
 _ELIG = f"(SELECT s.*, CAST('2001-12-31' AS TIMESTAMP) AS t_ref, l_orderkey * 10 + l_linenumber AS line FROM sales s JOIN ({_TAGS}) t ON s.release_id = t.release_id WHERE least(media_ord, sleeve_ord) >= CASE relax_tag WHEN 'strict' THEN 7 WHEN 'relax_1' THEN 6 WHEN 'relax_2' THEN 5 END)"
 
 
@@ -168,6 +174,16 @@ def _(s, d):
     return P.theil_sen(_eligible(s, d)).withColumns({"slope": F.round("slope", 8), "intercept": F.round("intercept", 6)})
 
 
+def _theil(name: str, bin_: str) -> None:
+    @query(name, f"WITH {_THEIL.replace("date_trunc('month', order_date)", f"date_trunc('{bin_}', order_date)")} SELECT release_id, round(slope, 8) AS slope, round(intercept, 6) AS intercept, bins FROM th")
+    def _(s, d):
+        return P.theil_sen(_eligible(s, d), bin_).withColumns({"slope": F.round("slope", 8), "intercept": F.round("intercept", 6)})
+
+
+_theil("WIN17_week", "week")
+_theil("WIN17_day", "day")
+
+
 @query("WIN18", f"WITH {_CENTER} SELECT release_id, round(w_mean, 5) AS w_mean, w_median, last_usd, n FROM ce")
 def _(s, d):
     return P.weighted_center(_eligible(s, d)).withColumn("w_mean", F.round("w_mean", 5))
@@ -269,16 +285,26 @@ def _(s, d):
 _ANCHOR = f"CASE WHEN strength > 0 AND ref > 0 AND rung > 0 THEN exp({_weight('rung', 'ref', "'A'")} * strength * ln(ref) + (1 - {_weight('rung', 'ref', "'A'")} * strength) * ln(rung)) ELSE rung END"
 
 
-@query("FN35", f"{_GUARD} SELECT release_id, round({_ANCHOR}, 4) AS anchor FROM gg")
+_TOP = f"greatest({_POS(_MINT)}, {_POS(_NM)}, {_POS(_VGP)}, {_POS(_GOOD)})"
+
+
+@query("FN35", f"{_GUARD} SELECT release_id, round({_ANCHOR}, 4) AS anchor, coalesce(ref > 0, false) AS guardrails_active, round(CASE WHEN ref > 0 AND {_TOP} > 0 THEN {_TOP} / ref END, 6) AS top_to_reference, coalesce({_TOP} > ref * 2.5, false) AS inflated, strength > 0 AS blended, round(strength, 6) AS strength, cred AS listing_credible, coalesce(low IS NULL OR listing >= low, false) AS listing_over_low FROM gg")
 def _(s, d):
-    return _guarded(s, d).select("release_id", F.round(L.anchor_toward_reference(c("rung"), c("reference"), c("strength")), 4).alias("anchor"))
+    top, ref = M.top_rung(M.ladder(c("price_suggestions_json"))), c("reference")
+    false = F.lit(False)
+    return _guarded(s, d).select(
+        "release_id", F.round(L.anchor_toward_reference(c("rung"), ref, c("strength")), 4).alias("anchor"), F.coalesce(ref > 0, false).alias("guardrails_active"), F.round(F.when((ref > 0) & (top > 0), top / ref), 6).alias("top_to_reference"),
+        F.coalesce(top > ref * 2.5, false).alias("inflated"), (c("strength") > 0).alias("blended"), F.round("strength", 6).alias("strength"), L.credible_listing(c("listing"), c("low"), c("high")).alias("listing_credible"),
+        F.coalesce(c("low").isNull() | (c("listing") >= c("low")), false).alias("listing_over_low"),
+    )
 
 
 @query("AGG49", f"{_GUARD} SELECT direction, CASE WHEN strength = 0 THEN 'none' WHEN strength < 1 THEN 'some' ELSE 'full' END AS bucket, count(*) AS n, round(quantile_cont(r_ladder, 0.5), 6) AS p50, round(quantile_cont(r_ladder, 0.9), 6) AS p90, min(release_id) AS example FROM gg GROUP BY 1, 2")
 def _(s, d):
     bucket = F.when(c("strength") == 0, "none").when(c("strength") < 1, "some").otherwise("full")
-    p = lambda q: F.round(F.percentile("r_ladder", q), 6)
-    return _guarded(s, d).groupBy("direction", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.min("release_id").alias("example"))
+    rows, by = _guarded(s, d).withColumn("bucket", bucket), ["direction", "bucket"]
+    out = P.with_quantiles(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("release_id").alias("example")), rows, c("r_ladder"), {"p50": 0.5, "p90": 0.9}, by)
+    return out.withColumns({x: F.round(x, 6) for x in ("p50", "p90")})
 
 
 _LBL = f"""WITH {_NOW}, mm AS (SELECT release_id, release_lowest_price AS listing0 FROM marketplace), pk AS (SELECT release_id, max(usd) AS high FROM sales GROUP BY 1),
@@ -345,18 +371,22 @@ def _quartiles(s, d):
 
 @query("AGG15", f"WITH {_ERR}, {_Q} SELECT quartile, round(median(ape), 6) AS mdape, count(*) AS n FROM b GROUP BY 1")
 def _(s, d):
-    return _quartiles(s, d).groupBy("quartile").agg(F.round(F.median("ape"), 6).alias("mdape"), F.count(F.lit(1)).alias("n"))
+    rows = _quartiles(s, d)
+    g = rows.groupBy("quartile").agg(F.count(F.lit(1)).alias("n"))
+    return P.with_quantiles(g, rows, c("ape"), {"mdape": 0.5}, ["quartile"]).withColumn("mdape", F.round("mdape", 6))
 
 
 @query("AGG16", f"WITH {_ERR}, {_Q} SELECT quartile, bucket, round(median(ape), 6) AS mdape, round(avg(ape), 6) AS mean_ape, round(quantile_cont(ape, 0.9), 6) AS p90, round(max(ape), 6) AS max_ape, count(*) AS n FROM b GROUP BY 1, 2")
 def _(s, d):
-    r = lambda x, n: F.round(x, 6).alias(n)
-    return _quartiles(s, d).groupBy("quartile", "bucket").agg(r(F.median("ape"), "mdape"), r(F.avg("ape"), "mean_ape"), r(F.percentile("ape", 0.9), "p90"), r(F.max("ape"), "max_ape"), F.count(F.lit(1)).alias("n"))
+    rows, by = _quartiles(s, d), ["quartile", "bucket"]
+    g = rows.groupBy(*by).agg(F.avg("ape").alias("mean_ape"), F.max("ape").alias("max_ape"), F.count(F.lit(1)).alias("n"))
+    out = P.with_quantiles(g, rows, c("ape"), {"mdape": 0.5, "p90": 0.9}, by)
+    return out.withColumns({x: F.round(x, 6) for x in ("mean_ape", "max_ape", "mdape", "p90")})
 
 
 @query("AGG17", f"WITH {_ERR}, m AS (SELECT bucket, median(ape) AS md, count(*) * CASE bucket WHEN 'lp' THEN 2.0 WHEN 'cd' THEN 0.5 ELSE 1.0 END AS w FROM e GROUP BY 1) SELECT round(sum(md * w) / sum(w), 6) AS weighted_mdape FROM m")
 def _(s, d):
-    m = P.errors(view(s, d, "priced")).groupBy("bucket").agg(F.median("ape").alias("md"), F.count(F.lit(1)).alias("n"))
+    m = P.metrics(view(s, d, "priced"), ["bucket"]).select("bucket", c("mdape").alias("md"), "n")
     w = c("n") * F.when(c("bucket") == "lp", 2.0).when(c("bucket") == "cd", 0.5).otherwise(1.0)
     return m.agg(F.round(F.sum(c("md") * w) / F.sum(w), 6).alias("weighted_mdape"))
 
@@ -364,8 +394,9 @@ def _(s, d):
 @query("AGG18", f"WITH {_ERR}, m AS (SELECT median(t) AS md FROM e WHERE year < 1980) SELECT round(median(abs(t - md) / greatest(t, 0.01)), 6) AS baseline_mdape FROM e, m WHERE year >= 1980")
 def _(s, d):
     e = P.errors(view(s, d, "priced"))
-    m = e.where("year < 1980").agg(F.median("t").alias("md"))
-    return e.where("year >= 1980").join(F.broadcast(m)).agg(F.round(F.median(F.abs(c("t") - c("md")) / F.greatest("t", F.lit(0.01))), 6).alias("baseline_mdape"))
+    m = quantiles(e.where("year < 1980"), c("t"), {"md": 0.5})  # one row
+    rows = e.where("year >= 1980").join(F.broadcast(m))
+    return quantiles(rows, F.abs(c("t") - c("md")) / F.greatest("t", F.lit(0.01)), {"baseline_mdape": 0.5}).withColumn("baseline_mdape", F.round("baseline_mdape", 6))
 
 
 @query("SORT04", f"WITH {_ERR} SELECT l_orderkey, l_linenumber, round(ae, 4) AS ae FROM e ORDER BY round(ae, 4) DESC, l_orderkey, l_linenumber LIMIT 100")
@@ -411,7 +442,8 @@ _HALF = "SELECT CASE WHEN count(*) >= 30 THEN quantile_cont(abs(y_true - y_pred)
 
 def _half(s, d):
     r = view(s, d, "priced").where("year >= 1980").select(F.abs(c("y_true") - c("y_pred")).alias("r"))
-    return r.agg(F.when(F.count(F.lit(1)) >= 30, F.percentile("r", 0.8)).otherwise(F.median("r")).alias("half"), F.count(F.lit(1)).alias("n"))
+    both = P.with_quantiles(r.agg(F.count(F.lit(1)).alias("n")), r, c("r"), {"p80": 0.8, "p50": 0.5}, [])
+    return both.select(F.when(c("n") >= 30, c("p80")).otherwise(c("p50")).alias("half"), "n")
 
 
 @query("AGG42", f"SELECT round(half, 6) AS half, n FROM ({_HALF}) q")
@@ -425,6 +457,23 @@ def _(s, d):
     return j.select("l_orderkey", "l_linenumber", F.round(F.greatest(F.lit(0.0), F.exp(c("y_pred") - c("half")) - 1), 2).alias("lo"), F.round(F.exp(c("y_pred") + c("half")) - 1, 2).alias("hi"))
 
 
+def _hull(point: str, lo: str, hi: str) -> str:
+    l, h, p = f"round(least({lo}, {hi}, {point}), 2)", f"round(greatest({lo}, {hi}, {point}), 2)", f"round({point}, 2)"
+    return f"CASE WHEN {p} < {l} THEN greatest(0, round({p} - 0.01, 2)) ELSE {l} END AS lo, CASE WHEN {p} > {h} THEN round({p} + 0.01, 2) ELSE {h} END AS hi"
+
+
+@query("FN40_hull", f"SELECT l_orderkey, l_linenumber, {_hull('p', 'q1', 'q2')} FROM (SELECT l_orderkey, l_linenumber, exp(y_pred) AS p, exp(y_true + 0.05) AS q1, exp(y_true - 0.05) AS q2 FROM priced) q")
+def _(s, d):
+    """Quantile bounds may cross each other and the price; the hull of all three is the interval."""
+    i = L.interval(F.exp("y_pred"), F.exp(c("y_true") + 0.05), F.exp(c("y_true") - 0.05))
+    return view(s, d, "priced").withColumn("i", i).select("l_orderkey", "l_linenumber", "i.lo", "i.hi")
+
+
+@query("FN40_heuristic", f"SELECT l_orderkey, l_linenumber, {_hull('p', 'greatest(0, p - greatest(p * 0.12, 1.0))', 'p + greatest(p * 0.12, 1.0)')} FROM (SELECT l_orderkey, l_linenumber, exp(y_pred) AS p FROM priced) q")
+def _(s, d):
+    return view(s, d, "priced").withColumn("i", L.heuristic_interval(F.exp("y_pred"))).select("l_orderkey", "l_linenumber", "i.lo", "i.hi")
+
+
 @query("FN48", f"SELECT release_id, {_POS(_NM)} AS suggestion, CASE WHEN {_POS(_NM)} IS NOT NULL AND release_lowest_price > 0 THEN least({_POS(_NM)}, release_lowest_price) END AS strict, coalesce(release_lowest_price, {_POS(_NM)}) AS lowest FROM marketplace")
 def _(s, d):
     nm, lo = M.rung(M.ladder(c("price_suggestions_json")), F.lit("Near Mint (NM or M-)")), c("release_lowest_price")
@@ -476,21 +525,29 @@ _BINS = "b AS (SELECT year - year % 10 AS decade, media_ord, y_true FROM priced)
 
 @query("AGG11", f"WITH {_BINS} SELECT decade, round(median(y_true) FILTER (WHERE media_ord >= 6) - median(y_true) FILTER (WHERE media_ord <= 4), 6) AS delta, count(*) FILTER (WHERE media_ord >= 6) AS hi, count(*) FILTER (WHERE media_ord <= 4) AS lo FROM b GROUP BY 1 HAVING count(*) FILTER (WHERE media_ord >= 6) >= 20 AND count(*) FILTER (WHERE media_ord <= 4) >= 20")
 def _(s, d):
-    hi, lo = c("media_ord") >= 6, c("media_ord") <= 4
-    g = view(s, d, "priced").groupBy((c("year") - c("year") % 10).alias("decade"))
-    out = g.agg(F.round(F.median(F.when(hi, c("y_true"))) - F.median(F.when(lo, c("y_true"))), 6).alias("delta"), F.count_if(hi).alias("hi"), F.count_if(lo).alias("lo"))
+    side = F.when(c("media_ord") >= 6, "hi").when(c("media_ord") <= 4, "lo")
+    rows = view(s, d, "priced").select((c("year") - c("year") % 10).alias("decade"), side.alias("side"), "y_true").where("side is not null")
+    g = P.with_quantiles(rows.groupBy("decade", "side").agg(F.count(F.lit(1)).alias("n")), rows, c("y_true"), {"md": 0.5}, ["decade", "side"])
+    pick = lambda side, x: F.max(F.when(c("side") == side, c(x)))
+    out = g.groupBy("decade").agg(F.round(pick("hi", "md") - pick("lo", "md"), 6).alias("delta"), pick("hi", "n").alias("hi"), pick("lo", "n").alias("lo"))
     return out.where("hi >= 20 and lo >= 20")
 
 
 @query("AGG12", "SELECT CAST(l_linenumber AS INT) AS bin, round(median(ln(1 + usd)) FILTER (WHERE media_ord >= 6 AND sleeve_ord >= 6) - median(ln(1 + usd)) FILTER (WHERE media_ord <= 4 AND sleeve_ord <= 4), 6) AS both, round(median(ln(1 + usd)) FILTER (WHERE media_ord >= 6) - median(ln(1 + usd)) FILTER (WHERE media_ord <= 4), 6) AS media, round(median(ln(1 + usd)) FILTER (WHERE sleeve_ord >= 6) - median(ln(1 + usd)) FILTER (WHERE sleeve_ord <= 4), 6) AS sleeve FROM sales GROUP BY 1")
 def _(s, d):
-    y, m, sl = F.log1p("usd"), c("media_ord"), c("sleeve_ord")
-    gap = lambda hi, lo: F.round(F.median(F.when(hi, y)) - F.median(F.when(lo, y)), 6)
-    return view(s, d, "sales").groupBy(c("l_linenumber").cast("int").alias("bin")).agg(gap((m >= 6) & (sl >= 6), (m <= 4) & (sl <= 4)).alias("both"), gap(m >= 6, m <= 4).alias("media"), gap(sl >= 6, sl <= 4).alias("sleeve"))
+    m, sl = c("media_ord"), c("sleeve_ord")
+    kinds = {"both": ((m >= 6) & (sl >= 6), (m <= 4) & (sl <= 4)), "media": (m >= 6, m <= 4), "sleeve": (sl >= 6, sl <= 4)}
+    sides = F.array_compact(F.array(*(F.when(cond, F.struct(F.lit(k).alias("kind"), F.lit(side).alias("side"))) for k, pair in kinds.items() for side, cond in zip(("hi", "lo"), pair))))
+    rows = view(s, d, "sales").select(c("l_linenumber").cast("int").alias("bin"), F.log1p("usd").alias("y"), F.explode(sides).alias("k")).select("bin", "y", "k.*")
+    q = quantiles(rows, c("y"), {"md": 0.5}, ["bin", "kind", "side"])
+    of = lambda k, side: F.max(F.when((c("kind") == k) & (c("side") == side), c("md")))
+    gaps = q.groupBy("bin").agg(*(F.round(of(k, "hi") - of(k, "lo"), 6).alias(k) for k in kinds))
+    return view(s, d, "sales").select(c("l_linenumber").cast("int").alias("bin")).distinct().join(gaps, "bin", "left")
 
 
 @query("AGG50", "WITH z AS (SELECT y_true - ln(1 + anchor) AS z FROM priced) SELECT round(avg(z), 6) AS mean, round(stddev_pop(z), 6) AS sd, round(quantile_cont(z, 0.05), 6) AS p05, round(quantile_cont(z, 0.95), 6) AS p95, (SELECT round(median(abs(exp(ln(1 + anchor)) - exp(y_true)) / greatest(exp(y_true) - 1, 0.01)), 6) FROM priced) AS mdape_zero FROM z")
 def _(s, d):
     e = view(s, d, "priced").select((c("y_true") - F.log1p("anchor")).alias("z"), (F.abs(c("anchor") + 1 - F.exp("y_true")) / F.greatest(F.exp("y_true") - 1, F.lit(0.01))).alias("ape"))
-    r = lambda x, n: F.round(x, 6).alias(n)
-    return e.agg(r(F.avg("z"), "mean"), r(F.stddev_pop("z"), "sd"), r(F.percentile("z", 0.05), "p05"), r(F.percentile("z", 0.95), "p95"), r(F.median("ape"), "mdape_zero"))
+    out = P.with_quantiles(e.agg(F.avg("z").alias("mean"), F.stddev_pop("z").alias("sd")), e, c("z"), {"p05": 0.05, "p95": 0.95}, [])
+    out = P.with_quantiles(out, e, c("ape"), {"mdape_zero": 0.5}, [])
+    return out.select(*(F.round(x, 6).alias(x) for x in ("mean", "sd", "p05", "p95", "mdape_zero")))

@@ -233,6 +233,19 @@ def _(s, d):
     return view(s, d, "albums").select("album_id", F.array_join(F.array_sort(R.split_genres(c("genre"))), "|").alias("genres"))
 
 
+_CAT = "SELECT release_id, master_id, p_v AS is_vinyl, country, label_tier AS label_id, year FROM (SELECT *, coalesce(contains(lower(format_desc), 'vinyl'), false) AS p_v FROM releases) q"
+_COM = "SELECT release_id, community_want AS want, community_have AS have, num_for_sale, release_lowest_price AS lowest_price FROM marketplace"
+
+
+@query("FN43_features", f"""WITH a AS ({_CAT}), b AS ({_COM}), g AS (SELECT master_id, count(*) AS n, count(*) FILTER (WHERE is_vinyl) AS vinyl, count(DISTINCT nullif(trim(country), '')) AS countries, count(DISTINCT label_id) AS labels, coalesce(max(year) FILTER (WHERE year > 0) - min(year) FILTER (WHERE year > 0), 0) AS span,
+coalesce(sum(want), 0) AS want, coalesce(sum(have), 0) AS have, coalesce(sum(num_for_sale), 0) AS offers, coalesce(min(lowest_price) FILTER (WHERE lowest_price > 0), 0) AS lowest, max((have IS NOT NULL)::INT) AS known FROM a LEFT JOIN b USING (release_id) WHERE master_id IS NOT NULL GROUP BY 1)
+SELECT master_id, round(ln(1 + n), 6) AS release_count_log, round(ln(1 + vinyl), 6) AS vinyl_release_count_log, countries::DOUBLE AS unique_country_count, round(ln(1 + labels), 6) AS unique_label_count_log, least(greatest(span, 0), 80)::DOUBLE AS era_span, round(ln(1 + want), 6) AS community_want_log, round(ln(1 + have), 6) AS community_have_log,
+round(least(greatest(want::DOUBLE / greatest(have, 1), 0), 10), 6) AS want_have_ratio, round(ln(1 + offers), 6) AS num_for_sale_log, round(ln(1 + lowest), 6) AS lowest_price_log, known::DOUBLE AS has_community_stats FROM g""")
+def _(s, d):
+    out = R.catalogue_features(sql(s, d, _CAT), sql(s, d, _COM))
+    return out.select("master_id", *(F.round(x, 6).alias(x) for x in out.columns[1:]))
+
+
 _G = "list_distinct(list_transform(string_split({}, ','), lambda g: lower(trim(g))))"
 
 

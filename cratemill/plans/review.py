@@ -147,3 +147,8 @@ def _(s, d):
 def _(s, d):
     ids = view(s, d, "sales").select("release_id").distinct()
     return V.group_split(ids, "release_id", 0.8, 5, 3)
+
+
+@query("ML11_quartiles", "WITH i AS (SELECT release_id, avg(usd) AS a FROM sales GROUP BY 1), q AS (SELECT quantile_cont(a, [0.25, 0.5, 0.75]) AS qs FROM i), p AS (SELECT release_id, len(list_filter(qs, lambda e: a >= e))::INT AS quartile, abs((CAST(release_id AS BIGINT) * 7919 + 3) % 2147483647) AS h FROM i, q) SELECT release_id, quartile, (row_number() OVER (PARTITION BY quartile ORDER BY h, release_id) - 1) % 5 AS fold FROM p")
+def _(s, d):
+    return V.anchor_folds(view(s, d, "sales").groupBy("release_id").agg(F.avg("usd").alias("a")), "release_id", "a", 5, 3)

@@ -12,18 +12,20 @@ from cratemill.operators import merges
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where Spark is one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cratemill-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table as a stream (one file is taken by a pattern)."""
+    """A Parquet table as a stream (one file is taken by a pattern; a path that is one already is read as it is)."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    return spark.readStream.schema(schema).parquet(path if set(path) & set("[]{}*?") else f"{path[:-1]}[{path[-1]}]")
 
 
 def _snapshot_rows(events: DataFrame) -> DataFrame:
@@ -68,8 +70,7 @@ def stream_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cratemill.sources import views
 
     root = shared_path(spark, "sales")
-    stream_table(spark, f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    rows = spark.sql(f"SELECT * FROM ({views.VIEWS['sales']}) q")
+    rows = spark.sql(views.VIEWS["sales"].replace("FROM lineitem", "FROM {arrived}"), arrived=stream_table(spark, f"{sf_dir}/lineitem.parquet"))
     parts = (F.col("release_id"), F.date_format("order_date", "yyyy-MM-dd"), F.col("media_condition"), F.col("sleeve_condition"), F.col("price_original_text"), F.col("seller_comments"))
     keyed = rows.select("release_id", merges.row_hash(*parts).alias("row_hash"), F.col("order_date").cast("timestamp").alias("order_date"))
     once = keyed.withWatermark("order_date", "10000 days").dropDuplicatesWithinWatermark(["release_id", "row_hash"]).select("release_id", "row_hash")

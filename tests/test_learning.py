@@ -43,7 +43,7 @@ def test_label_audit_follows_its_rule(points):
     assert len(flipped & flagged) >= 4 and len(flagged - flipped) <= 10
 
 
-@pytest.mark.parametrize("name", ["ML01", "ML04", "ML06", "ML08", "ML12", "ML16", "ML18"])
+@pytest.mark.parametrize("name", ["ML01", "ML04", "ML05", "ML06", "ML08", "ML09", "ML12", "ML16", "ML18", "UDF02"])
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
@@ -67,3 +67,28 @@ def test_every_user_gets_n_recommendations(spark):
     assert not {(r["user"], r["item"]) for r in top} & pairs
     for u in range(25):
         assert sorted(r["rank"] for r in top if r["user"] == u) == list(range(1, 1 + min(5, items - sum(x == u for x, _ in pairs))))
+
+
+def test_out_of_fold_never_scores_what_it_saw(points):
+    """A row whose label is unlike all others of its kind cannot be learned by heart: its own label gets little probability."""
+    odd = points.withColumn("given", F.when(F.col("id") == 7, "a").otherwise(F.col("y")))
+    out = L.out_of_fold(odd, "x", "given", F.col("id") % 4, 4, 1e-6).collect()
+    assert sorted(r["id"] for r in out) == list(range(200))
+    assert all(r["labels"] == ["a", "b"] and sum(r["probabilities"]) == pytest.approx(1) for r in out)
+    assert sum(r["predicted"] == r["given"] for r in out) > 170
+    rare = points.withColumn("given", F.when(F.col("id") == 7, "c").otherwise(F.col("y")))
+    row = next(r for r in L.out_of_fold(rare, "x", "given", F.col("id") % 4, 4, 0.1).collect() if r["id"] == 7)
+    assert row["labels"] == ["a", "b", "c"] and row["probabilities"][2] == 0.0
+
+
+def test_probability_steps(spark):
+    from cratemill.operators import classify as K
+
+    df = spark.createDataFrame([([0.5, 0.3, 0.2], "none"), ([0.5, 0.3, 0.2], "strong")], "p array<double>, s string")
+    names = ["Mint", "Near Mint", "Poor"]
+    prior = [r[0] for r in df.select(K.evidence_prior(F.col("p"), F.col("s"), names, ("Near Mint",), 0.4, 0.2)).collect()]
+    assert prior[0] == pytest.approx([0.3, 0.58, 0.12]) and prior[1] == pytest.approx([0.5, 0.3, 0.2])
+    blended = df.select(K.band_blend(F.col("p"), F.array(F.lit(0.9), F.lit(0.1)), [0, 0, 1], 0.5)).first()[0]
+    assert blended == pytest.approx([0.7 / 1.45, 0.6 / 1.45, 0.15 / 1.45])
+    band = lambda most: df.select(K.confidence_band(F.col("p"), names, names, most)).first()[0]
+    assert band(0.25) == "Mint/Near Mint" and band(0.1) is None

@@ -159,3 +159,79 @@ def test_gzip_xml(spark, tmp_path):
     path.write_bytes(gzip.compress(b"<releases><release id='1' status='Accepted'><title>T</title><released>1999-01</released><genres><genre>Rock</genre></genres></release><release id='x'/><release id='2' status='Deleted'/></releases>"))
     rows = connectors.release_rows(connectors.read_xml(spark, str(path), "release", connectors.RELEASE_XML)).collect()
     assert [(r["release_id"], r["genre"], r["year"], r["decade"]) for r in rows] == [("1", "Rock", 1999, 1990)]
+
+
+def test_match_of_many_equal_titles(spark):
+    """Three hundred albums and masters of one title: the k-th album gets the k-th master, and rounds are few."""
+    albums = spark.createDataFrame([(f"a{i}", i, "ann", "untitled", 0) for i in range(300)], "album_id string, album_no int, artist string, title string, year int")
+    masters = spark.createDataFrame([(f"m{i}", i, "Ann", "Untitled", 0) for i in range(280)], "master_id string, master_no int, artist string, title string, year int")
+    got = {r["album_id"]: r["master_id"] for r in recommend.match(albums, masters).collect()}
+    assert got == {f"a{i}": f"m{i}" for i in range(280)}
+
+
+def test_low_rated_takes_any_text(spark):
+    df = spark.createDataFrame([("a", "1"), ("a", "n/a"), ("b", "2"), ("b", "4"), ("c", "none")], "album_id string, rating string")
+    assert [r["album_id"] for r in recommend.only_low_rated(df).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_quantiles_are_exact(spark, seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    rows = [(rng.choice("abc") if i % 5 else None, None if i % 11 == 0 else rng.choice([1.0, 2.5, 7.0, rng.random()])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = {"lo": 0.0, "p10": 0.1, "mid": 0.5, "p95": 0.95, "hi": 1.0}
+    got = {r["k"]: r for r in ranking.quantiles(df, F.col("v"), shares, ["k"]).collect()}
+    for k in ("a", "b", "c", None):
+        own = [v for q, v in rows if q == k and v is not None]
+        assert [got[k][n] for n in shares] == pytest.approx(list(np.quantile(own, list(shares.values()))))
+    whole = ranking.quantiles(df, F.col("v"), {"m": 0.5}).collect()
+    assert len(whole) == 1 and whole[0]["m"] == pytest.approx(np.median([v for _, v in rows if v is not None]))
+    assert [r["m"] for r in ranking.quantiles(df.limit(0), F.col("v"), {"m": 0.5}).collect()] == [None]
+
+
+def test_rules_apply(spark):
+    rows = [
+        (0, "small seam split on top", "Near Mint", "Near Mint", 0.9), (1, "seam split and ring wear", "Near Mint", "Near Mint", 0.9), (2, "sealed, plays well, water damage", "Mint", "Mint", 0.1),
+        (3, "deep scratch", "Good", "Good", 0.9), (4, "skips; surface noise", None, "Excellent", 0.9), (5, "nothing to say", "Excellent", "Very Good", 0.9), (6, "small seam split, seam split", "Very Good Plus", "Good", 0.5), (7, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "i int, t string, s string, m string, c double")
+    out = {r["i"]: r for r in notes.apply_rules(df, "t", {"sleeve": "s", "media": "m"}, {"sleeve": "c", "media": "c"}).collect()}
+    finals = {i: (r["sleeve_final"], r["media_final"]) for i, r in out.items()}
+    assert finals == {0: ("Very Good Plus", "Near Mint"), 1: ("Very Good", "Near Mint"), 2: ("Mint", "Mint"), 3: ("Poor", "Poor"), 4: ("Poor", "Poor"), 5: ("Near Mint", "Very Good"), 6: ("Very Good Plus", "Good"), 7: (None, None)}
+    assert out[2]["contradiction"] and out[2]["overridden"] == [] and out[5]["collapsed"] == ["sleeve"]
+    assert (out[3]["sleeve_tier"], out[3]["media_signal"], out[4]["media_tier"], out[4]["media_signal"]) == ("strict", "deep scratch", "cosignal", "skips")
+    assert out[0]["sleeve_tier"] is None and out[0]["overridden"] == ["sleeve"]
+
+
+def test_rules_from_a_table(spark):
+    rows = [("Poor", "hard", "Poor", 0), ("Poor", "strict", "mouldy", 1), ("Poor", "strict", "broken", 0), ("Poor", "forbidden", "not broken", 0), ("Poor", "targets", "media", 0), ("Good", "soft", "Good", 0), ("Good", "supporting", "worn", 0), ("Good", "confidence", "0.7", 0), ("Good", "only_downgrade", "true", 0), (None, "pair", "new|worn", 0), (None, None, None, None)]
+    rules = notes.rules_from_table(spark.createDataFrame(rows, "grade string, list string, value string, place int"))
+    assert rules.hard == (notes.GradeRule("Poor", strict=("broken", "mouldy"), forbidden=("not broken",), targets=("media",)),)
+    assert rules.soft == (notes.GradeRule("Good", supporting=("worn",), confidence=0.7, only_downgrade=True),)
+    assert rules.pairs == (("new", "worn"),) and rules.order == notes.RULES.order
+    df = spark.createDataFrame([("broken",), ("not broken",), ("New, but worn",)], "t string")
+    assert [tuple(r) for r in df.select(notes.hard_grade(F.col("t"), "media", rules), notes.hard_grade(F.col("t"), "sleeve", rules), notes.contradiction(F.col("t"), rules)).collect()] == [("Poor", None, False), (None, None, False), (None, None, True)]
+
+
+def test_pages_that_lack_something(spark):
+    from cratemill.sources import html
+
+    pages = spark.createDataFrame([(1, None), (2, ""), (3, "<table><tr><th>Price</th></tr><tr><td>2001-01-01</td></tr></table>"), (4, "<TABLE><TR><TH>Order Date<TH>Condition<TH>Price<TR><TD>2001-01-01<TD>NM<TD>&pound;5<tr><td>thanks<!-- x --><tr><td>2001-02-30<td><b>VG</b>")], "page_id int, html string")
+    got = [(r["page_id"], r["sale"], r["order_date"], r["media_condition"], r["sleeve_condition"], r["price_text"], r["comments"]) for r in html.sale_rows(pages).orderBy("sale").collect()]
+    assert got == []  # a table that never ends is no table
+    whole = pages.where("page_id = 4").withColumn("html", F.concat("html", F.lit("</TABLE>")))
+    got = [(r["page_id"], r["sale"], r["order_date"], r["media_condition"], r["sleeve_condition"], r["price_text"], r["comments"]) for r in html.sale_rows(whole).orderBy("sale").collect()]
+    assert got == [(4, 1, "2001-01-01", "NM", "", "£5", "thanks"), (4, 2, "2001-02-30", "VG", "", "", "")]
+    assert html.listing_rows(pages).count() == 0 and html.linked_ids(pages).count() == 0
+    assert [tuple(r)[1:] for r in html.sale_summary(pages).orderBy("page_id").collect()] == [(None,) * 5] * 4
+
+
+def test_session_views_are_left_alone(spark):
+    from cratemill.sources import views
+
+    spark.range(3).createOrReplaceTempView("documents")
+    assert views.view(spark, "/root/testdata/sf0.001", "notes").count() == 200
+    assert spark.table("documents").count() == 3
+    spark.catalog.dropTempView("documents")
