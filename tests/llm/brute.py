@@ -206,3 +206,52 @@ def importance(docs, good, bucket, size):
         return math.log((target[b] / m + p) / 2 / p) if m else 0.0
 
     return {i: sum(map(ratio, features(text))) for i, text in docs}
+
+
+def notice_share(text, notice, k, gap):
+    """The best share of a notice's words on neighbouring diagonals of equal word k-grams, and the bands that reach any share."""
+    w, t = ALNUM.findall(low(text)), ALNUM.findall(low(notice))
+    on = {}
+    for i in range(len(t) - k + 1):
+        for j in range(len(w) - k + 1):
+            if w[j : j + k] == t[i : i + k]:
+                on.setdefault(j - i, set()).update(range(i, i + k))
+    best, band, last = 0.0, set(), None
+    for d in sorted(on):
+        band = band | on[d] if last is not None and d - last <= gap else set(on[d])
+        last = d
+        best = max(best, len(band) / len(t))
+    return best
+
+
+def removed_words(docs, run, passage, slack):
+    """{doc_id: word places that must go, word places that may go}: from repeated runs of sentences, and from repeated passages."""
+    seen, must = set(), {}
+    words = {i: [w for s in sentences(t) for w in s] for i, t in docs}
+    for i, text in sorted(docs):
+        s = sentences(text)
+        first = [0]
+        for x in s:
+            first.append(first[-1] + len(x))
+        for n in range(len(s) - run + 1):
+            key = tuple(tuple(x) for x in s[n : n + run])
+            if key in seen:
+                must.setdefault(i, set()).update(range(first[n], first[n + run]))
+            else:
+                seen.add(key)
+    seen, inner, may = set(), {}, {}
+    for i in sorted(words):
+        for n in range(len(words[i]) - passage + 1):
+            key = tuple(words[i][n : n + passage])
+            if key in seen:  # all but the ends of such a passage go
+                inner.setdefault(i, set()).update(range(n + slack - 1, n + passage - slack + 1))
+            seen.add(key)
+    seen = set()
+    for i in sorted(words):
+        k = passage - slack + 1
+        for n in range(len(words[i]) - k + 1):
+            key = tuple(words[i][n : n + k])
+            if key in seen:
+                may.setdefault(i, set()).update(range(n, n + k))
+            seen.add(key)
+    return must, inner, may

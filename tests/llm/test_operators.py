@@ -211,6 +211,34 @@ def test_spans_of_other_scripts(spark):
     assert out == {1: docs[0][1], 2: "别的开头。第二篇的结尾。", 3: docs[2][1], 4: "आरंभ यहाँ। और कुछ"}
 
 
+@pytest.mark.parametrize("rows", [150])
+def test_spans_match_brute_at_defaults(spark, rows):
+    """The registered settings on whole texts of a given table: what must go goes, and nothing else does."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars < 4000").orderBy("doc_id").limit(rows)
+    docs = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
+    docs += [(5000 + i, f"lead {i} " + t) for i, t in docs[:20]]  # copies with other words before
+    must, inner, may = brute.removed_words(docs, 3, 50, spans.SLACK)
+    out = {r["doc_id"]: r for r in spans.dedup_spans(frame(spark, docs)).collect()}
+    assert must and inner
+    for i, text in docs:
+        words = [w for s in brute.sentences(text) for w in s]
+        gone = set()
+        for s in out[i]["spans"] or []:
+            before = sum(len(x) for x in brute.sentences(text[: s["start"]]))
+            gone |= set(range(before, before + sum(len(x) for x in brute.sentences(text[s["start"] : s["end"]]))))
+        assert must.get(i, set()) <= gone <= must.get(i, set()) | may.get(i, set())
+        # beside removed sentences, pieces of fewer than SCRAP words stay
+        left = sorted(inner.get(i, set()) - gone)
+        pieces, start = [], None
+        for n, x in enumerate(left):
+            start = x if start is None else start
+            if n + 1 == len(left) or left[n + 1] != x + 1:
+                pieces.append(x - start + 1)
+                start = None
+        assert all(p < spans.SCRAP for p in pieces)
+        assert [w for s in brute.sentences(out[i]["text"]) for w in s] == [w for n, w in enumerate(words) if n not in gone]
+
+
 # --- 3: SimHash
 
 
@@ -285,6 +313,32 @@ def test_license_notice_with_an_inserted_word(spark):
     assert by[2]["labels"] == ""
 
 
+def test_license_notices_match_brute(spark):
+    """The method's own labels: shares of notices on merged diagonals, with words missing, inserted, doubled and out of order."""
+    rng = random.Random(31)
+    docs = []
+    for i in range(60):
+        parts = []
+        for t in rng.sample(licenses.NOTICES, rng.randint(0, 2)):
+            w = t.text.split()
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = rng.choice([[], ["any"], [w[at], w[at]]])
+            parts += [*(rng.choice(["lorem", "the", "license", "of"]) for _ in range(rng.randint(0, 6))), *(w if i % 5 else w[len(w) // 2 :] + w[: len(w) // 2])]
+        docs.append((i, " ".join(parts)))
+    got = {r["doc_id"]: r for r in licenses.licenses(frame(spark, docs)).collect()}
+    found = 0
+    for i, text in docs:
+        shares = [(brute.notice_share(text, t.text, t.k, 2), t.label) for t in licenses.NOTICES]
+        own = {label for share, label in shares if share >= 0.8}
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert set(filter(None, got[i]["labels"].split(","))) == own | base
+        best = max((s for s, _ in shares if s >= 0.8), default=0.5 if base else 0.0)
+        assert got[i]["score"] == pytest.approx(best)
+        found += bool(own)
+    assert found > 20
+
+
 # --- 5: quality
 
 
@@ -433,6 +487,15 @@ def test_urls_index_uses_the_rarest_token(spark):
     assert list(by) == ["other"]
 
 
+def test_urls_awkward(spark):
+    """Extra columns with the operator's own names, a very long URL, repeated rows and null ids."""
+    long = "http://example.org/es/" + "a/" * 50000 + "?q=" + "b" * 1000
+    rows = [(1, long, "x", "y"), (1, long, "x", "y"), (None, "http://a.com/de/x", None, None), (None, None, "z", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, token string")
+    got = [(r["page_id"], r["host"], r["rule"], r["verdict"]) for r in urlfilter.judge(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, "example.org", "example.org/es/", "block")] * 2 + [(None, "a.com", "com/de/", "block"), (None, "", None, "allow")], key=str)
+
+
 # --- 8: exact duplicates
 
 
@@ -481,6 +544,17 @@ def test_revisits(spark):
     assert got[6]["status"] == got[7]["status"] == "no_response"
 
 
+def test_revisits_awkward(spark):
+    """Ties in time by id, records that repeat in full, very long headers and URLs, clashing columns."""
+    rec = "record_id long, url string, captured_at string, kind string, http_status int, headers map<string,string>, digest string, near string, url_key int"
+    url, big = "http://a.com/" + "p" * 100000, {"ETag": '"1"', "X": "v" * 100000}
+    rows = [(1, url, "2024-01-01 00:00:00", "response", 200, big, None), (2, url, "2024-01-01 00:00:00", "revisit", 304, {"ETag": '"1"'}, None), (0, url, "2024-01-01 00:00:00", "revisit", 304, {"ETag": '"1"'}, None)]
+    rows += [rows[1], (3, url, None, "revisit", 304, None, None), (4, url, "2024-01-01 00:00:01", "revisit", 304, {"ETAG": '"9"'}, None)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], rec).withColumn("captured_at", F.to_timestamp("captured_at"))
+    got = sorted((r["record_id"], r["status"], r["source_record_id"]) for r in revisits.resolve(df).collect())
+    assert got == [(0, "no_response", None), (2, "resolved", 1), (2, "resolved", 1), (3, "no_response", None), (4, "changed", None)]
+
+
 # --- 10: mixing
 
 
