@@ -31,7 +31,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Shortest token that is scored, and the characters of tokens.
 CANDIDATE = 12
 _HEX = textscan.byte_table(lambda b: b in b"0123456789abcdef")
-_TOKEN = textscan.byte_table(lambda b: b < 0x80 and (chr(b).isalnum() or b in b"+/_=-"))
+_TOKEN = textscan.byte_table(lambda b: b < 0x80 and (chr(b).isalnum() or b in b"+/_-"))
 
 
 def _runs(table: np.ndarray, data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,6 +72,10 @@ def scan(texts: pa.Array) -> list[tuple[list[tuple[int, int, str]], list[tuple[i
     for row, s, e in zip(*_runs(_HEX, data, offsets, LEAST["hex"])):
         add(row, s, e, "hex", raw[s:e])
     for row, s, e in zip(*_runs(_TOKEN, data, offsets, CANDIDATE)):
+        # one or two = at the end are padding; any other parts a name from a value
+        pad = raw[e : min(e + 3, int(offsets[row + 1]))]
+        ends = len(pad) - len(pad.lstrip(b"="))
+        e += ends if ends <= 2 and not _TOKEN[data[e + ends : e + ends + 1]].any() else 0
         base = points[offsets[row]]
         out[row][1].append((int(points[s] - base), int(points[e] - base), raw[s:e].decode()))
     return out

@@ -131,10 +131,10 @@ def test_automata_keep_markers_and_lengths_apart():
 def test_secrets_find_planted_credentials(spark, sf):
     """Credentials that no pattern catches get a span on the given tables; ordinary long tokens get none."""
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
-    planted = [(-1, "see c0047fc67d33e87ad3 and 9233A8ECF7C5B09FE5949719B6B82BC439E9329B"), (-2, "4111222233334444 Freundschaftsbezeugungen internal_get_element a-long-slug-name-2021")]
+    planted = [(-1, "see c0047fc67d33e87ad3 and 9233A8ECF7C5B09FE5949719B6B82BC439E9329B"), (-3, "pwd=c0047fc67d33e87ad3;"), (-2, "4111222233334444 Freundschaftsbezeugungen internal_get_element a-long-slug-name-2021")]
     got = {r["doc_id"]: r for r in secrets.secrets(docs.unionByName(frame(spark, planted))).where("n_grammar > 0 or doc_id < 0").collect()}
     assert got[-1]["spans"] == "grammar:4:22,grammar:27:67" and got[-1]["n_grammar"] == 2
-    assert got[-2]["spans"] == ""
+    assert got[-2]["spans"] == "" and got[-3]["spans"] == "grammar:4:22"
     known = sum(i >= 0 for i in got)
     assert known <= 5
 
@@ -148,6 +148,12 @@ def test_secrets_overlap_sweep(spark):
         assert secrets.uncovered(base, tokens) == [not any(s < e2 and s2 < e for s, e in base) for s2, e2 in tokens]
 
 
+def test_secrets_tokens_and_their_padding():
+    texts = pa.array(["aaaabbbbcccc== aaaabbbbcccc=x aaaabbbbccccc=", "ééaaaabbbbcccc===", "x=aaaabbbb/ccc+="])
+    got = [[t for _, _, t in row[1]] for row in secrets.scan(texts)]
+    assert got == [["aaaabbbbcccc==", "aaaabbbbcccc", "aaaabbbbccccc="], ["aaaabbbbcccc"], ["aaaabbbb/ccc+="]]
+
+
 def test_secrets_with_one_credential(spark):
     """No least number of credentials: one is enough for an automaton."""
     docs = [(1, "token = 8f14e45fceea167a5a36dedd4bea2543"), (2, "8f14e45fceea167a and nothing else of note here"), (3, None)]
