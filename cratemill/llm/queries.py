@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import exactdedup, licenses, mixing, quality, revisits, secrets, simhash, spans, tiling, urlfilter
+from . import divergence, exactdedup, filteraudit, licenses, mixing, quality, revisits, secrets, simhash, spans, tiling, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,16 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_substring_dedup, op3_simhash_near_dedup, op4_license_scan, op5_quality_classifier, op6_decontamination, op7_url_filter, op8_exact_dedup, op9_warc_revisits, op10_source_mixing)
+    own = (op1_secret_scan, op2_substring_dedup, op3_simhash_near_dedup, op4_license_scan, op5_quality_classifier, op6_decontamination, op7_url_filter, op8_exact_dedup, op9_warc_revisits, op10_source_mixing, op11_filter_audit, op13_source_divergence)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -76,4 +84,6 @@ def oracle_sql() -> dict[str, str]:
               doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256 FROM documents""",
         "op9_warc_revisits": revisits.ORACLE,
         "op10_source_mixing": mixing.ORACLE,
+        "op11_filter_audit": filteraudit.ORACLE,
+        "op13_source_divergence": divergence.ORACLE,
     }
