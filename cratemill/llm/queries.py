@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import divergence, exactdedup, filteraudit, licenses, mixing, quality, revisits, secrets, simhash, spans, tiling, urlfilter
+from . import divergence, exactdedup, filteraudit, licenses, mixing, ngramjoin, quality, revisits, secrets, simhash, spans, tiling, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,12 +67,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_substring_dedup, op3_simhash_near_dedup, op4_license_scan, op5_quality_classifier, op6_decontamination, op7_url_filter, op8_exact_dedup, op9_warc_revisits, op10_source_mixing, op11_filter_audit, op13_source_divergence)
+    own = (op1_secret_scan, op2_substring_dedup, op3_simhash_near_dedup, op4_license_scan, op5_quality_classifier, op6_decontamination, op7_url_filter, op8_exact_dedup, op9_warc_revisits, op10_source_mixing, op11_filter_audit, op12_ngram_join, op13_source_divergence)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
