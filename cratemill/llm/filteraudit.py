@@ -66,7 +66,7 @@ def masks(docs: DataFrame, labels: DataFrame, filters=text_filters) -> tuple[Dat
     text = F.coalesce("text", F.lit(""))
     failing = filters(text)
     letters = "".join(failing)
-    last = next(x for x in "EFGHIJKLMNOPQRSTUVWXYZ" if x > letters[-1])
+    last = chr(ord(max(letters)) + 1)
     bits = sum((F.when(cond, 1 << i).otherwise(0) for i, cond in enumerate(failing.values())), F.lit(0))
     rows = common.pick(docs, "doc_id", "text", "lang").select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("digest"), bits.cast("int").alias("bits"))
     marks = common.pick(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy(F.col("doc_id").alias("labelled"))

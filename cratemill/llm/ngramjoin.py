@@ -40,18 +40,19 @@ _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(XXH64 of every word, first word of each row with a closing entry); A-Z lower-cased, words between ASCII white space, null is empty."""
-    pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))  # no cast here: a cast slice loses its place in ascii_lower
     ends = pieces.offsets.to_numpy()
     words = pieces.flatten()
     full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
     first = np.concatenate([[0], np.cumsum(full)])[ends - ends[0]]
     coded = words.filter(pa.array(full)).dictionary_encode()
-    table = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    table = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
     return table[coded.indices.to_numpy()], first
 
 
 def sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The set of each row as sorted 64-bit hashes of its runs of `size` words (fewer words: of all of them; none: empty)."""
+    texts = texts.cast(pa.string())
     for lo, hi in textscan.row_groups(texts, 1 << 22):
         words, first = word_hashes(texts.slice(lo, hi - lo))
         runs = np.zeros(max(0, len(words) - size + 1), dtype=np.uint64)
