@@ -46,14 +46,16 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
     first = np.concatenate([[0], np.cumsum(full)])[ends - ends[0]]
     coded = words.filter(pa.array(full)).dictionary_encode()
-    table = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    data, ends = textscan.buffers(coded.dictionary)
+    raw, ends = data.tobytes(), ends.tolist()
+    table = np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(ends, ends[1:])), dtype=np.uint64, count=len(ends) - 1)
     return table[coded.indices.to_numpy()], first
 
 
 def sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The set of each row as sorted 64-bit hashes of its runs of `size` words (fewer words: of all of them; none: empty)."""
     texts = texts.cast(pa.string())
-    for lo, hi in textscan.row_groups(texts, 1 << 22):
+    for lo, hi in textscan.row_groups(texts, 1 << 23):
         words, first = word_hashes(texts.slice(lo, hi - lo))
         runs = np.zeros(max(0, len(words) - size + 1), dtype=np.uint64)
         for j in range(size):
@@ -62,7 +64,8 @@ def sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         runs = mix(runs)
         for a, b in zip(first, first[1:]):
             if b - a >= size:
-                yield np.unique(runs[a : b - size + 1])
+                found = np.sort(runs[a : b - size + 1])
+                yield found[np.append(True, found[1:] != found[:-1])]
             elif b > a:  # a short text's run has a mark of its length
                 powers = np.cumprod(np.full(b - a, _MULT[1])) + np.uint64(b - a)
                 yield mix((words[a:b] * powers).sum(dtype=np.uint64, keepdims=True))
@@ -143,8 +146,23 @@ def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+#: A set's tokens flip bits of a bitmap of so many bits, by their hashes.
+_BITS = 1024
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Which bits an odd number of tokens falls on. Two bitmaps differ in no more bits than their sets differ in tokens."""
+    return np.packbits(np.bincount((tokens & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1).tobytes()
+
+
+def _with_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        short = pa.array([_short(x) for x in batch.column("key").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([short, *batch.columns], ["k", *batch.schema.names])
+
+
 def survey(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, n, key), counters): the size and the identity of every row's set, and in how many rows tokens occur, by the first bits of their hashes.
+    """((doc_id, tag, n, key, bits), counters): the size, identity and bitmap of every row's set, and in how many rows tokens occur, by the first bits of their hashes.
 
     One pass. A task sends its counters in chunks of fixed size, once; chunks are added up as they come.
     """
@@ -153,19 +171,20 @@ def survey(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(counters, dtype=np.uint32)
-        names = ["doc_id", "n", "key", "chunk", "counts"]
+        names = ["doc_id", "tag", "n", "key", "bits", "chunk", "counts"]
         for batch in batches:
-            sizes, keys = [], []
-            for tokens in sets(batch.column(1), size):
+            sizes, keys, maps = [], [], []
+            for tokens in sets(batch.column(2), size):
                 sizes.append(len(tokens))
                 keys.append(_key(tokens))
+                maps.append(bitmap(tokens))
                 counts[(tokens >> np.uint64(64 - LOG2_COUNTERS)).astype(np.int64)] += 1  # two tokens of one text seldom meet in a counter
             rows = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(maps, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         full = [i for i in range(counters // chunk) if counts[i * chunk : (i + 1) * chunk].any()]
         for i in full:
             packed = zlib.compress(counts[i * chunk : (i + 1) * chunk].tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([packed], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([packed], pa.binary())], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -176,12 +195,13 @@ def survey(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
         for i, counts in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["chunk", "counts"])
 
-    rows = common.pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, key binary, chunk int, counts binary")
+    rows = common.pick(docs, "doc_id", "text").select("doc_id", common.text_tag(F.col("text")).alias("tag"), "text")
+    rows = rows.mapInArrow(run, f"doc_id {kind}, tag long, n int, key binary, bits binary, chunk int, counts binary")
     rows = common.materialize(rows, "sets")
     total = np.zeros(counters, dtype=np.int64)
     for r in rows.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
         total[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], dtype=np.int64)
-    return rows.where("chunk is null").select("doc_id", "n", "key"), total
+    return rows.where("chunk is null").select("doc_id", "tag", "n", "key", "bits"), total
 
 
 def postings(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
@@ -215,43 +235,62 @@ def postings(docs: DataFrame, order: Order, size: int, percent: int) -> DataFram
     return common.materialize(few.join(several, few["sig"] == several["shared"]).select("sig", "k", "n").distinct(), "postings")
 
 
-def members(docs: DataFrame, ks: DataFrame, size: int) -> DataFrame:
-    """(k, key, n, tokens): the sets whose k is in ks, each once."""
-    maybe = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(ks, "k", 26))
+def members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(key, tokens) of the sets in wanted (key, tag): each from a text with that tag, once."""
+    maybe = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted, "tag", 26))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # 16 bytes for each candidate of the task
         for batch in batches:
-            keys, found = [], []
-            for tokens in sets(batch.column(0), size):
-                key = _key(tokens)
-                if len(tokens) and key not in seen and maybe.value.maybe(np.array([_short(key)]).view(np.uint64))[0]:
-                    seen.add(key)
-                    keys.append(key)
-                    found.append(tokens)
-            if keys:
+            batch = batch.filter(pa.array(maybe.value.maybe(batch.column(0).to_numpy().view(np.uint64))))
+            found = list(sets(batch.column(1), size))
+            if found:
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), textscan.signed(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([pa.array([_short(x) for x in keys], pa.int64()), pa.array(keys, pa.binary()), pa.array(np.diff(ends).astype(np.int32)), lists], ["k", "key", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key(x) for x in found], pa.binary()), lists], ["t", "key", "tokens"])
+
+    rows = common.pick(docs, "text").select(common.text_tag(F.col("text")).alias("t"), "text").mapInArrow(run, "t long, key binary, tokens array<long>")
+    # copies have one tag; of each task's copies the first moves on
+    once = rows.groupBy("key", "t").agg(F.first("tokens").alias("tokens"))
+    mine = wanted.select(F.col("key").alias("wk"), "tag")
+    return common.materialize(once.join(mine, (once["key"] == mine["wk"]) & (once["t"] == mine["tag"]), "left_semi").select("key", "tokens"), "members")
 
-    rows = common.pick(docs, "text").mapInArrow(run, "k long, key binary, n int, tokens array<long>")
-    once = rows.groupBy("key").agg(F.first("k").alias("k"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    return common.materialize(once.join(ks, "k", "left_semi").select("k", "key", "n", "tokens"), "members")
 
+def _near(percent: int):
+    """Filters batches of pairs by the sizes of their sets and by their bitmaps: what is left out can't be similar."""
 
-def verify(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the identities of the pairs (ka, kb) of sets that are similar. A set with many partners is dealt to several tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            na, nb = at["na"].to_numpy().astype(np.int64), at["nb"].to_numpy().astype(np.int64)
+            a, b = (np.frombuffer(b"".join(at[x].to_pylist()), dtype=np.uint64).reshape(-1, _BITS // 64) for x in ("bits_a", "bits_b"))
+            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            keep = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep))
+
+    return run
+
+
+def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): the identities of the pairs (ka, kb) of sets that are similar; keys: k, key, tag, n, bits of all sets.
+
+    Bitmaps rule out nearly all that are not; the sets of the others are made from their texts and compared. A set with many
+    partners is dealt to several tasks.
+    """
     pairs = common.materialize(pairs, "pairs")
-    hot = graph.hot_or_none(pairs, "ka", least=200)
-    b = found.select(F.col("k").alias("kb_"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    a = found.select(F.col("k").alias("ka_"), F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    half = pairs.join(b, pairs["kb"] == b["kb_"]).drop("kb_")
-    both = graph.split_join(half, a, "ka", "ka_", hot, [F.col("kb")])
+    side = lambda x: keys.select(F.col("k").alias(f"k{x}_"), F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    half = graph.split_join(pairs, side("b"), "kb", "kb_", graph.hot_or_none(pairs, "kb"), [F.col("ka")]).drop("kb_")
+    both = graph.split_join(half, side("a"), "ka", "ka_", graph.hot_or_none(pairs, "ka"), [F.col("kb")])
+    close = common.materialize(both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_near(percent), "a binary, b binary, na int, nb int"), "close-pairs")
+    ends = close.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    found = members(docs, common.materialize(keys.join(ends, keys["key"] == ends["end"], "left_semi").select("key", "tag"), "wanted"), size)
+    set_of = lambda x: found.select(F.col("key").alias(f"key_{x}"), F.col("tokens").alias(f"t{x}"))
+    half = graph.split_join(close, set_of("b"), "b", "key_b", graph.hot_or_none(close, "b", least=200), [F.col("a")])
+    both = graph.split_join(half, set_of("a"), "a", "key_a", graph.hot_or_none(close, "a", least=200), [F.col("b")])
     inter = F.size(F.array_intersect("ta", "tb"))
-    return both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "na", "nb", inter.alias("i")).where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
+    return both.select("a", "b", "na", "nb", inter.alias("i")).where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
 
 
-def link_components(posts: DataFrame, found: DataFrame, percent: int, rounds: int = 6) -> DataFrame | None:
+def link_components(posts: DataFrame, docs: DataFrame, keys: DataFrame, size: int, percent: int, rounds: int = 6) -> DataFrame | None:
     """(node, root) over the identities of all sets that are similar to another.
 
     A round compares the members of every index entry with one of them, the first by a hash that changes with the round, and joins
@@ -260,7 +299,7 @@ def link_components(posts: DataFrame, found: DataFrame, percent: int, rounds: in
     """
     if posts.isEmpty():
         return None
-    short, entries = found.select("key", F.col("k").alias("short")), posts.count()
+    short, entries = keys.select("key", F.col("k").alias("short")), posts.count()
     links, left, pending = None, posts.withColumn("comp", F.col("k").cast("string")), None
     for turn in range(rounds):
         first = F.xxhash64("k", F.lit(turn))
@@ -268,7 +307,7 @@ def link_components(posts: DataFrame, found: DataFrame, percent: int, rounds: in
         lead = common.materialize(lead, "leads")
         hot = graph.hot_or_none(left, "sig", total=entries)
         star = graph.split_join(left, lead, "sig", "of", hot, [F.col("k")]).where("comp <> lead_comp").select("ka", F.col("k").alias("kb")).distinct()
-        new = common.materialize(verify(star, found, percent), "links")
+        new = common.materialize(verify(star, docs, keys, size, percent), "links")
         links = new if links is None else links.unionByName(new)
         roots = graph.components(links)
         of_k = roots.join(short, roots["node"] == short["key"]).select(F.col("short").alias("ck"), F.hex("root").alias("root"))
@@ -287,7 +326,7 @@ def link_components(posts: DataFrame, found: DataFrame, percent: int, rounds: in
     other = left.withColumnsRenamed({"sig": "sig_b", "k": "kb", "n": "nb", "comp": "comp_b"})
     close = (F.col("sig") == F.col("sig_b")) & (F.col("k") < F.col("kb")) & (F.col("comp") != F.col("comp_b")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
     rest = left.join(other, close).select(F.col("k").alias("ka"), "kb").distinct()
-    new = common.materialize(verify(rest, found, percent), "links")
+    new = common.materialize(verify(rest, docs, keys, size, percent), "links")
     return graph.components(links.unionByName(new))
 
 
@@ -307,9 +346,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90, classes:
     rows, counts = survey(docs, size)
     order = Order(counts, classes[: most_classes(percent, len(classes) + 1) - 1])
     posts = postings(docs, order, size, percent)
-    found = members(docs, posts.select("k").distinct(), size)
-    linked = link_components(posts, found, percent)
-    keys = common.materialize(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")), "keys")
+    keys = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("tag").alias("tag"), F.first("bits").alias("bits"))
+    keys = common.materialize(keys.mapInArrow(_with_short, f"k long, {', '.join(f'{c} {t}' for c, t in keys.dtypes)}"), "keys")
+    linked = link_components(posts, docs, keys, size, percent)
     if linked is None:
         of_key = keys.select(F.col("key").alias("at"), F.col("least").alias("component_id"))
     else:
