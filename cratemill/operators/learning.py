@@ -84,29 +84,6 @@ def content_scores(features: DataFrame, owned: DataFrame, pairs: DataFrame) -> D
     return pairs.join(u, "album_id").join(mean, "user_id").select("user_id", "album_id", dot(F.col("unit"), F.col("mean")).alias("score"))
 
 
-def tfidf(docs: DataFrame, train: Column, min_df: int, max_features: int) -> DataFrame:
-    """(doc_id, term, weight): unigrams and bigrams, (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), unit length.
-
-    Terms and frequencies come from the training rows only: at least min_df documents, the max_features commonest.
-    docs: doc_id, tokens.
-    """
-    t = F.col("tokens")
-    two = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = F.array_sort(F.concat(t, F.when(F.size(t) > 1, two).otherwise(F.array().cast("array<string>"))))
-    listed = docs.where(train).select(grams.alias("g"))
-    # equal terms of a document stand together; the first of them counts the document
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("g", 1, F.greatest(F.size("g") - 1, F.lit(0))))
-    marked = F.zip_with("g", before, lambda x, y: F.struct(x.alias("term"), (~x.eqNullSafe(y)).cast("int").alias("first")))
-    counted = listed.select(F.explode(marked).alias("g")).where("g.term is not null").groupBy("g.term").agg(F.sum("g.first").alias("df"), F.count(F.lit(1)).alias("total")).where(F.col("df") >= min_df)
-    # max_features rows; what is not in the vocabulary never reaches the grouping by document
-    vocabulary = counted.orderBy(F.desc("total"), "term").limit(max_features).select("term", "df").checkpoint()
-    n = docs.where(train).agg(F.count(F.lit(1)).alias("n"))
-    tf = docs.select("doc_id", F.explode(grams).alias("term")).join(F.broadcast(vocabulary), "term").groupBy("doc_id", "term", "df").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.join(F.broadcast(n)).withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return w.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
-
-
 def top_terms(weights: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(cls, term, weight): the k terms with the largest mean weight of each class. weights: doc_id, term, weight; docs: doc_id, cls.
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cratemill.functions import notes as N
+from cratemill.operators import grader as G
 from cratemill.operators import learning as L
 from cratemill.operators import recommend as R
+from cratemill.operators import vectors as V
 from cratemill.operators.ranking import quantiles
 from cratemill.plans.registry import query
-from cratemill.sources.views import GRADES, sql, table, view
+from cratemill.sources.views import sql, table, view
 
 c = F.col
 
@@ -110,8 +111,10 @@ w AS (SELECT doc_id, tf.term, (1 + ln(tf)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1
 
 
 def _tfidf(s, d):
+    """Documents with their classes, and the weights of all of them by a vocabulary of the training ones."""
     docs = sql(s, d, _TOKENS.format(_SPLIT))
-    return docs, L.tfidf(docs, c("is_train"), *_VOCABULARY)
+    counts = V.term_counts(docs)
+    return docs, V.Vectorizer.fit(counts, docs.where("is_train"), *_VOCABULARY).weights(counts).drop("index")
 
 
 @query("ML07", f"WITH {_TFIDF} SELECT doc_id, term, round(weight, 5) AS weight FROM wt")
@@ -139,10 +142,27 @@ def _scored(s, d):
     return L.apply_head(model, v, "x"), model.stages[0].labels
 
 
+def _grader(s, d):
+    notes = view(s, d, "notes").select("doc_id", "text", "sleeve_label", "media_label")
+    return G.fit(notes, F.when(c("doc_id") % 5 < 3, "train").when(c("doc_id") % 5 == 3, "val").otherwise("test"))
+
+
 @query("ML08")
 def _(s, d):
-    out, _ = _scored(s, d)
-    return out.groupBy("split").agg(F.avg((c("y") == c("predicted")).cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    """Every head on every split, beside what the commonest class alone would give."""
+    grader, feats = _grader(s, d)
+    return G.evaluate(grader.score(feats))
+
+
+_BAND = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} IN ('Poor', 'Good') THEN 'low' WHEN {0} IN ('Very Good', 'Very Good Plus') THEN 'mid' WHEN {0} IN ('Excellent', 'Near Mint', 'Mint') THEN 'high' ELSE 'other' END"
+
+
+@query("ML08_weights", f"""WITH t AS (SELECT 'sleeve_label' AS head, sleeve_label AS label, doc_id FROM notes UNION ALL SELECT 'media_label', media_label, doc_id FROM notes
+UNION ALL SELECT 'sleeve_band', {_BAND.format("sleeve_label")}, doc_id FROM notes UNION ALL SELECT 'media_band', {_BAND.format("media_label")}, doc_id FROM notes),
+g AS (SELECT head, label, count(*) AS n FROM t WHERE doc_id % 5 < 3 AND label IS NOT NULL GROUP BY 1, 2) SELECT head, label, n, round(sum(n) OVER (PARTITION BY head) / (count(*) OVER (PARTITION BY head) * n), 8) AS weight FROM g""")
+def _(s, d):
+    train = view(s, d, "notes").where("doc_id % 5 < 3").withColumns({f"{t}_band": G.band(c(f"{t}_label")) for t in G.TARGETS})
+    return G.class_weights(train, ["sleeve_label", "media_label", "sleeve_band", "media_band"]).withColumn("weight", F.round("weight", 8))
 
 
 @query("ML09")
@@ -227,9 +247,7 @@ def _(s, d):
 
 @query("ML18")
 def _(s, d):
-    notes = view(s, d, "notes").withColumn("clean", N.clean(c("text")))
-    feats = F.array(*(x.cast("double") for x in (N.hits(c("clean"), N.VOCABULARY.playback), N.hits(c("clean"), N.VOCABULARY.sleeve), N.hits(c("clean"), N.VOCABULARY.sealed), F.length("clean") / 1000)))
-    rows = notes.where(c("media_label").isin(*GRADES)).withColumn("x", feats)
-    out = L.apply_head(L.fit_head(rows.where("doc_id % 5 < 4"), "x", "media_label", 0.1, 10), rows, "x")
-    ruled = N.apply_rules(out.withColumn("confidence", F.array_max("probabilities")), "clean", {"media": "predicted"}, {"media": "confidence"})
-    return ruled.select("doc_id", c("predicted").alias("model"), c("media_final").alias("final"), "contradiction")
+    """All notes graded by a grader that saw the training ones: both targets, then the rules."""
+    grader, _ = _grader(s, d)
+    out = grader.grade(view(s, d, "notes").select("doc_id", "text"))
+    return out.select("doc_id", *(f"{t}_{x}" for t in G.TARGETS for x in ("predicted", "final", "close")), "evidence_predicted", "media_evidence_strength", "contradiction", "adequate_for_training")
