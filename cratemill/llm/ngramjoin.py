@@ -28,11 +28,11 @@ from . import common, graph, textscan
 from .common import KeyFilter
 from .textscan import mix
 
-#: The frequency table has 2**LOG2_COUNTERS counters whatever the number of tokens (16 MB for a task and for the driver, 4 MB broadcast).
-LOG2_COUNTERS = 22
-_CHUNK = 1 << 14
+#: The frequency table has 2**LOG2_COUNTERS counters whatever the number of tokens (32 MB for a task, 16 MB for the driver and each worker).
+LOG2_COUNTERS = 24
+_CHUNK = 1 << 16
 #: Tokens of more documents than these numbers are indexed in pairs, or in threes.
-CLASSES = (64, 4096)
+CLASSES = (16, 1024)
 #: Frequent tokens of a class are dealt to groups of about so many in a prefix; combinations are made inside groups.
 _GROUP = 8
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407], dtype=np.uint64)
@@ -55,7 +55,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The set of each row as sorted 64-bit hashes of its runs of `size` words (fewer words: of all of them; none: empty)."""
     texts = texts.cast(pa.string())
-    for lo, hi in textscan.row_groups(texts, 1 << 23):
+    for lo, hi in textscan.row_groups(texts, 1 << 22):
         words, first = word_hashes(texts.slice(lo, hi - lo))
         runs = np.zeros(max(0, len(words) - size + 1), dtype=np.uint64)
         for j in range(size):
@@ -97,24 +97,29 @@ def most_classes(percent: int, wanted: int) -> int:
     return 1
 
 
+def rank(counts: np.ndarray, usual: float, classes: tuple[int, ...]) -> np.ndarray:
+    """What the table says of tokens by their counters: class (2 bits) and level of frequency (6 bits). usual: what other tokens add to a counter."""
+    level = np.minimum(63, np.floor(3 * np.log2(counts + 1.0))).astype(np.uint8)
+    kind = np.zeros(len(counts), dtype=np.uint8)
+    for limit in classes:
+        kind += counts > usual + 4 * usual**0.5 + limit
+    return level | (kind << 6)
+
+
 class Order:
     """Levels and classes of tokens, looked up by the first bits of their hashes."""
 
-    def __init__(self, counts: np.ndarray, classes: tuple[int, ...]):
-        usual = counts.sum() / len(counts)  # what other tokens add to a counter
-        level = np.floor(4 * np.log2(counts + 1.0)).astype(np.uint8)
-        kind = sum((counts > usual + 4 * usual**0.5 + limit).astype(np.uint8) for limit in classes) if classes else np.zeros(len(counts), dtype=np.uint8)
-        self.level, self.kind = level, np.asarray(kind, dtype=np.uint8)
-        self.shift = np.uint64(64 - (len(counts).bit_length() - 1))
+    def __init__(self, table: np.ndarray):
+        self.table, self.shift = table, np.uint64(64 - (len(table).bit_length() - 1))
 
     def signatures(self, tokens: np.ndarray, percent: int) -> np.ndarray:
         """What the set is indexed under. Sets that are similar and not equal have a signature in common."""
         n = len(tokens)
         if n < least_size(percent):
             return tokens[:0]
-        at = (tokens >> self.shift).astype(np.int64)
-        order = np.argsort(self.level[at], kind="stable")  # tokens are sorted, so ties go by hash
-        kind, wanted = self.kind[at[order]], need(n, percent)
+        code = self.table[(tokens >> self.shift).astype(np.int64)]
+        order = np.argsort(code & 63, kind="stable")  # tokens are sorted, so ties go by hash
+        kind, wanted = code[order] >> 6, need(n, percent)
         ordered = tokens[order]
         if not kind[:wanted].any():
             return mix(ordered[:wanted])
@@ -161,47 +166,73 @@ def _with_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([short, *batch.columns], ["k", *batch.schema.names])
 
 
-def survey(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, tag, n, key, bits), counters): the size, identity and bitmap of every row's set, and in how many rows tokens occur, by the first bits of their hashes.
+def _pack(counts: np.ndarray) -> bytes:
+    """A chunk of counters: places and counts of those that are not zero if they are few, else all, compressed."""
+    at = np.flatnonzero(counts)
+    if len(at) < _CHUNK >> 3:
+        return b"s" + at.astype(np.uint16).tobytes() + counts[at].tobytes()
+    return b"z" + zlib.compress(counts.tobytes(), 1)
+
+
+def _add(sums: np.ndarray, packed: bytes) -> None:
+    if packed[:1] == b"z":
+        sums += np.frombuffer(zlib.decompress(packed[1:]), dtype=np.uint16)
+    else:
+        at, counts = np.frombuffer(packed[1:], dtype=np.uint16).reshape(2, -1)
+        sums[at] += counts
+
 
-    One pass. A task sends its counters in chunks of fixed size, once; chunks are added up as they come.
+def survey(docs: DataFrame, size: int, classes: tuple[int, ...]) -> tuple[DataFrame, Order]:
+    """((doc_id, tag, n, key, bits), order): the size, identity and bitmap of every row's set, and how frequent tokens are, by the first bits of their hashes.
+
+    One pass over the texts. A task sends its counters in chunks of fixed size, once for 65,535 rows; chunks are added up as they come.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     counters, chunk = 1 << LOG2_COUNTERS, _CHUNK
+    names = ["doc_id", "tag", "n", "key", "bits", "chunk", "counts"]
+
+    def send(counts: np.ndarray, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for i in range(counters // chunk):
+            part = counts[i * chunk : (i + 1) * chunk]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([_pack(part)], pa.binary())], names)
+        counts[:] = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(counters, dtype=np.uint32)
-        names = ["doc_id", "tag", "n", "key", "bits", "chunk", "counts"]
+        counts, seen, id_type = np.zeros(counters, dtype=np.uint16), 0, None
         for batch in batches:
-            sizes, keys, maps = [], [], []
+            sizes, keys, maps, id_type = [], [], [], batch.column(0).type
             for tokens in sets(batch.column(2), size):
+                if seen == 65535:
+                    yield from send(counts, id_type)
+                    seen = 0
                 sizes.append(len(tokens))
                 keys.append(_key(tokens))
                 maps.append(bitmap(tokens))
-                counts[(tokens >> np.uint64(64 - LOG2_COUNTERS)).astype(np.int64)] += 1  # two tokens of one text seldom meet in a counter
+                counts[(tokens >> np.uint64(64 - LOG2_COUNTERS)).astype(np.int64)] += 1  # one at most for a text, so no counter overflows
+                seen += 1
             rows = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(maps, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
-        full = [i for i in range(counters // chunk) if counts[i * chunk : (i + 1) * chunk].any()]
-        for i in full:
-            packed = zlib.compress(counts[i * chunk : (i + 1) * chunk].tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([packed], pa.binary())], names)
+        if seen:
+            yield from send(counts, id_type)
+
+    rows = common.pick(docs, "doc_id", "text").select("doc_id", common.text_tag(F.col("text")).alias("tag"), "text")
+    rows = rows.mapInArrow(run, f"doc_id {kind}, tag long, n int, key binary, bits binary, chunk int, counts binary")
+    rows = common.materialize(rows, "sets")
+    usual = (rows.agg(F.sum("n").cast("double").alias("n")).first()["n"] or 0.0) / counters
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums.setdefault(i, np.zeros(chunk, dtype=np.int64))
-                sums[i] += np.frombuffer(zlib.decompress(packed), dtype=np.uint32)
+                _add(sums.setdefault(i, np.zeros(chunk, dtype=np.int64)), packed)
         for i, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([rank(counts, usual, classes).tobytes()], pa.binary())], ["chunk", "codes"])
 
-    rows = common.pick(docs, "doc_id", "text").select("doc_id", common.text_tag(F.col("text")).alias("tag"), "text")
-    rows = rows.mapInArrow(run, f"doc_id {kind}, tag long, n int, key binary, bits binary, chunk int, counts binary")
-    rows = common.materialize(rows, "sets")
-    total = np.zeros(counters, dtype=np.int64)
-    for r in rows.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
-        total[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["counts"], dtype=np.int64)
-    return rows.where("chunk is null").select("doc_id", "tag", "n", "key", "bits"), total
+    table = np.zeros(counters, dtype=np.uint8)
+    for r in rows.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, codes binary").toLocalIterator():
+        table[r["chunk"] * chunk : (r["chunk"] + 1) * chunk] = np.frombuffer(r["codes"], dtype=np.uint8)
+    return rows.where("chunk is null").select("doc_id", "tag", "n", "key", "bits"), Order(table)
 
 
 def postings(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
@@ -223,21 +254,24 @@ def postings(docs: DataFrame, order: Order, size: int, percent: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([textscan.signed(np.concatenate(sigs)), pa.array(np.repeat(np.array(ks, dtype=np.int64), times)), pa.array(np.repeat(np.array(ns, dtype=np.int32), times))], ["sig", "k", "n"])
 
     rows = common.materialize(common.pick(docs, "text").mapInArrow(run, "sig long, k long, n int"), "signatures")
+    held.destroy()  # what it was used for lies in files
     several = rows.groupBy("sig").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select(F.col("sig").alias("shared"))
     several = common.materialize(several, "shared-signatures")
-    maybe = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(several, "shared", 26))
+    maybe = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(several, "shared"))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(maybe.value.maybe(batch.column(0).to_numpy().view(np.uint64))))
 
     few = rows.mapInArrow(narrow, rows.schema)
-    return common.materialize(few.join(several, few["sig"] == several["shared"]).select("sig", "k", "n").distinct(), "postings")
+    out = common.materialize(few.join(several, few["sig"] == several["shared"]).select("sig", "k", "n").distinct(), "postings")
+    maybe.destroy()
+    return out
 
 
 def members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(key, tokens) of the sets in wanted (key, tag): each from a text with that tag, once."""
-    maybe = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted, "tag", 26))
+    maybe = docs.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted, "tag"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +286,9 @@ def members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     # copies have one tag; of each task's copies the first moves on
     once = rows.groupBy("key", "t").agg(F.first("tokens").alias("tokens"))
     mine = wanted.select(F.col("key").alias("wk"), "tag")
-    return common.materialize(once.join(mine, (once["key"] == mine["wk"]) & (once["t"] == mine["tag"]), "left_semi").select("key", "tokens"), "members")
+    out = common.materialize(once.join(mine, (once["key"] == mine["wk"]) & (once["t"] == mine["tag"]), "left_semi").select("key", "tokens"), "members")
+    maybe.destroy()
+    return out
 
 
 def _near(percent: int):
@@ -338,13 +374,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 90, classes:
     give repeated results. A null doc_id is the smallest of a component only if all are null. Other columns are ignored.
 
     Tokens are compared by 64-bit hashes (XXH64 of words, mixed), sets by 128-bit ones. Result and completeness do not depend on
-    classes or on the size of the frequency table: those decide how many candidates are compared. At far more than 2**22 tokens of
-    equal frequency the table tells only the most frequent ones apart.
+    classes or on the size of the frequency table: those decide how many candidates are compared. At far more tokens than
+    the table has counters it tells only the most frequent ones apart.
     """
     if not 0 < percent <= 100 or size < 1:
         raise ValueError("percent is 1 to 100, size 1 or more")
-    rows, counts = survey(docs, size)
-    order = Order(counts, classes[: most_classes(percent, len(classes) + 1) - 1])
+    rows, order = survey(docs, size, classes[: most_classes(percent, len(classes) + 1) - 1])
     posts = postings(docs, order, size, percent)
     keys = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("tag").alias("tag"), F.first("bits").alias("bits"))
     keys = common.materialize(keys.mapInArrow(_with_short, f"k long, {', '.join(f'{c} {t}' for c, t in keys.dtypes)}"), "keys")
