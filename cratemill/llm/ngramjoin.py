@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph, textscan
@@ -31,8 +31,8 @@ from .textscan import mix
 #: The frequency table has 2**LOG2_COUNTERS counters whatever the number of tokens (32 MB for a task, 16 MB for the driver and each worker).
 LOG2_COUNTERS = 24
 _CHUNK = 1 << 16
-#: Tokens of more documents than these numbers are indexed in pairs, or in threes.
-CLASSES = (16, 1024)
+#: Tokens of more documents than the first number are indexed in pairs, of more than a second (if given) in threes.
+CLASSES = (16,)
 #: Frequent tokens of a class are dealt to groups of about so many in a prefix; combinations are made inside groups.
 _GROUP = 8
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407], dtype=np.uint64)
@@ -155,9 +155,19 @@ def _short(key: bytes) -> int:
 _BITS = 1024
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Which bits an odd number of tokens falls on. Two bitmaps differ in no more bits than their sets differ in tokens."""
-    return np.packbits(np.bincount((tokens & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1).tobytes()
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Which bits an odd number of tokens falls on, as longs. Two bitmaps differ in no more bits than their sets differ in tokens."""
+    return np.packbits(np.bincount((tokens & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1).view(np.int64)
+
+
+def may_be_similar(a: str, b: str, percent: int) -> Column:
+    """Whether the sizes and bitmaps of two sides allow that the sets are similar. Sides: prefixes of the columns n and b0, b1, ...
+
+    Similar sets differ in (100 - percent) / (100 + percent) of the sum of their sizes at most.
+    """
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    differ = sum((F.bit_count(F.col(f"{a}b{i}").bitwiseXOR(F.col(f"{b}b{i}"))) for i in range(_BITS // 64)), F.lit(0))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
 
 
 def _with_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,14 +198,14 @@ def survey(docs: DataFrame, size: int, classes: tuple[int, ...]) -> tuple[DataFr
     One pass over the texts. A task sends its counters in chunks of fixed size, once for 65,535 rows; chunks are added up as they come.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counters, chunk = 1 << LOG2_COUNTERS, _CHUNK
+    counters, chunk, longs = 1 << LOG2_COUNTERS, _CHUNK, pa.list_(pa.int64())
     names = ["doc_id", "tag", "n", "key", "bits", "chunk", "counts"]
 
     def send(counts: np.ndarray, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         for i in range(counters // chunk):
             part = counts[i * chunk : (i + 1) * chunk]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([_pack(part)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, longs), pa.array([i], pa.int32()), pa.array([_pack(part)], pa.binary())], names)
         counts[:] = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +222,12 @@ def survey(docs: DataFrame, size: int, classes: tuple[int, ...]) -> tuple[DataFr
                 counts[(tokens >> np.uint64(64 - LOG2_COUNTERS)).astype(np.int64)] += 1  # one at most for a text, so no counter overflows
                 seen += 1
             rows = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(maps, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(maps, longs), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if seen:
             yield from send(counts, id_type)
 
     rows = common.pick(docs, "doc_id", "text").select("doc_id", common.text_tag(F.col("text")).alias("tag"), "text")
-    rows = rows.mapInArrow(run, f"doc_id {kind}, tag long, n int, key binary, bits binary, chunk int, counts binary")
+    rows = rows.mapInArrow(run, f"doc_id {kind}, tag long, n int, key binary, bits array<long>, chunk int, counts binary")
     rows = common.materialize(rows, "sets")
     usual = (rows.agg(F.sum("n").cast("double").alias("n")).first()["n"] or 0.0) / counters
 
@@ -291,21 +301,6 @@ def members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return out
 
 
-def _near(percent: int):
-    """Filters batches of pairs by the sizes of their sets and by their bitmaps: what is left out can't be similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            na, nb = at["na"].to_numpy().astype(np.int64), at["nb"].to_numpy().astype(np.int64)
-            a, b = (np.frombuffer(b"".join(at[x].to_pylist()), dtype=np.uint64).reshape(-1, _BITS // 64) for x in ("bits_a", "bits_b"))
-            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-            keep = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
-            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep))
-
-    return run
-
-
 def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): the identities of the pairs (ka, kb) of sets that are similar; keys: k, key, tag, n, bits of all sets.
 
@@ -313,10 +308,10 @@ def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, size: int, percen
     partners is dealt to several tasks.
     """
     pairs = common.materialize(pairs, "pairs")
-    side = lambda x: keys.select(F.col("k").alias(f"k{x}_"), F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    side = lambda x: keys.select(F.col("k").alias(f"k{x}_"), F.col("key").alias(x), F.col("n").alias(f"{x}_n"), *(F.get("bits", F.lit(i)).alias(f"{x}_b{i}") for i in range(_BITS // 64)))
     half = graph.split_join(pairs, side("b"), "kb", "kb_", graph.hot_or_none(pairs, "kb"), [F.col("ka")]).drop("kb_")
     both = graph.split_join(half, side("a"), "ka", "ka_", graph.hot_or_none(pairs, "ka"), [F.col("kb")])
-    close = common.materialize(both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_near(percent), "a binary, b binary, na int, nb int"), "close-pairs")
+    close = common.materialize(both.where(may_be_similar("a_", "b_", percent)).select("a", "b", F.col("a_n").alias("na"), F.col("b_n").alias("nb")), "close-pairs")
     ends = close.select(F.explode(F.array("a", "b")).alias("end")).distinct()
     found = members(docs, common.materialize(keys.join(ends, keys["key"] == ends["end"], "left_semi").select("key", "tag"), "wanted"), size)
     set_of = lambda x: found.select(F.col("key").alias(f"key_{x}"), F.col("tokens").alias(f"t{x}"))
@@ -358,10 +353,11 @@ def link_components(posts: DataFrame, docs: DataFrame, keys: DataFrame, size: in
         left = joined.join(open_.select("open"), joined["sig"] == open_["open"]).drop("open")
         if pending <= 8 * entries or (was is not None and pending > was / 2):
             break
-    left = common.materialize(left, "rest")
-    other = left.withColumnsRenamed({"sig": "sig_b", "k": "kb", "n": "nb", "comp": "comp_b"})
-    close = (F.col("sig") == F.col("sig_b")) & (F.col("k") < F.col("kb")) & (F.col("comp") != F.col("comp_b")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
-    rest = left.join(other, close).select(F.col("k").alias("ka"), "kb").distinct()
+    bits = keys.select(F.col("k").alias("bk"), *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(_BITS // 64)))
+    left = common.materialize(graph.split_join(left, bits, "k", "bk", graph.hot_or_none(left, "k", total=entries), [F.col("sig")]).drop("bk"), "rest")
+    mine, other = left.select(*(F.col(c).alias(f"x_{c}") for c in left.columns)), left.select(*(F.col(c).alias(f"y_{c}") for c in left.columns))
+    close = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_k") < F.col("y_k")) & (F.col("x_comp") != F.col("y_comp")) & may_be_similar("x_", "y_", percent)
+    rest = mine.join(other, close).select(F.col("x_k").alias("ka"), F.col("y_k").alias("kb")).distinct()
     new = common.materialize(verify(rest, docs, keys, size, percent), "links")
     return graph.components(links.unionByName(new))
 
