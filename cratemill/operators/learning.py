@@ -160,14 +160,6 @@ def price_model(train: DataFrame, inputs: list[str], target: str, family: str =
     return Pipeline(stages=[assemble, cls[family]()]).fit(train)
 
 
-def reranker(train: DataFrame, inputs: list[str], label: str, weight: str | None = None):
-    """Scaled logistic model of whether a candidate is the held-out item."""
-    stages = [VectorAssembler(inputCols=inputs, outputCol="__raw", handleInvalid="keep"), StandardScaler(inputCol="__raw", outputCol="__v", withMean=True), LogisticRegression(featuresCol="__v", labelCol=label, maxIter=30, regParam=0.01, probabilityCol="__p")]
-    if weight:
-        stages[-1] = stages[-1].setWeightCol(weight)
-    return Pipeline(stages=stages).fit(train)
-
-
 def champion(trials: DataFrame, limits: dict[str, float], penalty: float, goal: str) -> DataFrame:
     """The best trial: feasible ones first, then the goal plus a penalty for every limit broken, then the id."""
     over = reduce(lambda a, b: a + b, (F.greatest(F.col(k) - v, F.lit(0.0)) for k, v in limits.items()))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from dataclasses import dataclass
+
 from pyspark.sql import functions as F
 
+from cratemill.operators import batch as B
 from cratemill.operators import grader as G
 from cratemill.operators import learning as L
 from cratemill.operators import recommend as R
+from cratemill.operators import reranking as K
 from cratemill.operators import vectors as V
 from cratemill.operators.ranking import quantiles
 from cratemill.plans.registry import query
@@ -16,6 +19,21 @@ from cratemill.sources.views import sql, table, view
 c = F.col
 
 
+@dataclass(frozen=True)
+class Fits:
+    """How far the registered models are fitted; full fits need other numbers only."""
+
+    rank: int = 8
+    iterations: int = 3
+    #: Candidates of the first stage for each user, and what the reranker's trees are.
+    candidates: int = 100
+    tree_iterations: int = 20
+    tree_depth: int = 4
+
+
+FITS = Fits()
+
+
 def _indexed(s, d):
     """Interactions as integers; ids of the tables are numbers already."""
     i = R.interactions(view(s, d, "collection"), view(s, d, "wantlist"), view(s, d, "ratings"))
@@ -29,7 +47,7 @@ def _(s, d):
 
 def _als(s, d, n: int = 10):
     inter = _indexed(s, d)
-    model = L.train_als(inter, rank=8, iterations=3)
+    model = L.train_als(inter, rank=FITS.rank, iterations=FITS.iterations)
     return inter, model, L.als_top_n(model, inter.select("user").distinct(), n, inter, 40)
 
 
@@ -56,48 +74,116 @@ def _(s, d):
     return scores.withColumn("score", F.round("score", 5))
 
 
-def _rerank_frame(s, d):
-    i = R.interactions(view(s, d, "collection"), view(s, d, "wantlist"), view(s, d, "ratings"))
-    held = R.leave_one_out(i, 42).where("held_out").select(c("user_id").cast("int").alias("user"), c("album_id").cast("int").alias("item"), F.lit(1.0).alias("label"))
-    inter = _indexed(s, d)
-    train = inter.join(held.select("user", "item"), ["user", "item"], "left_anti").checkpoint()
-    model = L.train_als(train, rank=8, iterations=3)
-    ranked = L.als_top_n(model, train.select("user").distinct(), 30, train, 40)
-    pop = train.groupBy("item").agg(F.log1p(F.count(F.lit(1))).alias("pop"))
-    w = Window.partitionBy("user")
-    dev = F.stddev_pop("score").over(w)
-    rows = ranked.join(pop, "item", "left").withColumns({"z": (c("score") - F.avg("score").over(w)) / F.when(dev > 0, dev).otherwise(1.0), "rr": 1 / c("rank"), "pop": F.coalesce("pop", F.lit(0.0))})
-    labelled = rows.join(held, ["user", "item"], "left").withColumn("label", F.coalesce("label", F.lit(0.0))).checkpoint()  # read again by every step of the fit
-    return labelled
+def _items(s, d):
+    """Albums as a reranker reads them. An album is the release of its number."""
+    return view(s, d, "albums").select(c("album_id").cast("bigint").alias("item"), R.split_genres(c("genre")).alias("genres"), "artist", "year", c("avg_rating").alias("rating"))
+
+
+def _catalogue(s, d):
+    per_master = R.catalogue_features(sql(s, d, "SELECT release_id, master_id, coalesce(contains(lower(format_desc), 'vinyl'), false) AS is_vinyl, country, label_tier AS label_id, year FROM releases"), sql(s, d, "SELECT release_id, community_want AS want, community_have AS have, num_for_sale, release_lowest_price AS lowest_price FROM marketplace"))
+    of_album = view(s, d, "releases").select(c("release_id").cast("bigint").alias("item"), "master_id").where("master_id is not null")
+    return of_album.join(per_master, "master_id").drop("master_id")
+
+
+def _split(s, d):
+    """(training interactions, held-out pairs), as tables: one interaction of every user who has two or more is held out."""
+    i = R.leave_one_out(R.interactions(view(s, d, "collection"), view(s, d, "wantlist"), view(s, d, "ratings")), 42)
+    rows = i.select(c("user_id").cast("int").alias("user"), c("album_id").cast("int").alias("item"), "strength", "held_out").checkpoint()
+    return rows.where("not held_out").drop("held_out"), rows.where("held_out").select("user", "item")
+
+
+def _candidates(s, d, train, held, users, rank: int = FITS.rank):
+    """Labelled candidates of the first stage with all features, kept as a table; owned items are none."""
+    model = L.train_als(train, rank=rank, iterations=FITS.iterations)
+    top = B.blocked_top_k(*B.factor_vectors(model), train, FITS.candidates)
+    label = top.join(held.select("user", "item", F.lit(1.0).alias("label")), ["user", "item"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
+    return model, K.features(label, users, _items(s, d), _catalogue(s, d)).checkpoint()
+
+
+def _reranked(s, d):
+    train, held = _split(s, d)
+    _, rows = _candidates(s, d, train, held, K.profiles(train, _items(s, d)))
+    return rows, held, K.training_frame(rows)
+
+
+#: A candidate for each user and popular album: features without a model, so SQL can follow them.
+_POPULAR = "SELECT CAST(user_id AS BIGINT) AS user, CAST(album_id AS BIGINT) AS item, CAST(n AS DOUBLE) AS score, CAST(rank AS INT) AS rank FROM (SELECT u.user_id, p.album_id, p.n, row_number() OVER (PARTITION BY u.user_id ORDER BY p.n DESC, p.album_id) AS rank FROM (SELECT DISTINCT user_id, album_id FROM usage) u JOIN (SELECT album_id, count(*) AS n FROM usage GROUP BY album_id) p ON u.album_id = p.album_id) q"
+_LG = "list_distinct(list_transform(string_split(genre, ','), lambda g: lower(trim(g))))"
+
+
+@query("ML04_features", f"""WITH cand AS ({_POPULAR}), it AS (SELECT CAST(album_id AS BIGINT) AS item, {_LG} AS gs, artist, year, avg_rating AS rating FROM albums), own AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS user, CAST(album_id AS BIGINT) AS item FROM usage),
+og AS (SELECT user, g, count(*) AS n FROM (SELECT user, unnest(gs) AS g FROM own JOIN it USING (item)) x GROUP BY 1, 2), ug AS (SELECT user, list(g ORDER BY n DESC, g) AS mine, sum(n) AS mass FROM og GROUP BY 1),
+ua AS (SELECT user, artist, count(*) AS n FROM own JOIN it USING (item) GROUP BY 1, 2), un AS (SELECT user, avg(year) FILTER (WHERE year > 0) AS my, CASE WHEN count(*) FILTER (WHERE year > 0) > 1 THEN stddev_pop(year) FILTER (WHERE year > 0) ELSE 0 END AS dy, avg(rating) FILTER (WHERE rating > 0) AS mr, count(*) AS n FROM own JOIN it USING (item) GROUP BY 1),
+mt AS (SELECT cand.user, cand.item, sum(coalesce(og.n, 0)) AS matched FROM cand JOIN (SELECT item, unnest(gs) AS g FROM it) x USING (item) LEFT JOIN og ON og.user = cand.user AND og.g = x.g GROUP BY 1, 2),
+j AS (SELECT cand.*, it.*, ug.*, un.*, coalesce(ua.n, 0) AS times, matched, avg(score) OVER (PARTITION BY cand.user) AS am, stddev_pop(score) OVER (PARTITION BY cand.user) AS ad FROM cand JOIN it USING (item) JOIN ug ON ug.user = cand.user JOIN un ON un.user = cand.user LEFT JOIN ua ON ua.user = cand.user AND ua.artist = it.artist JOIN mt ON mt.user = cand.user AND mt.item = cand.item)
+SELECT "user", item, round((score - am) / CASE WHEN ad > 0 THEN ad ELSE 1 END, 5) AS als_score_z, round(len(list_intersect(mine, gs))::DOUBLE / len(list_distinct(list_concat(mine, gs))), 6) AS genre_jaccard, (times > 0)::INT::DOUBLE AS artist_match, round(CASE WHEN my > 0 AND year > 0 THEN abs(year - my) ELSE 0 END, 5) AS year_distance,
+round(len(list_intersect(mine[:{K.TOP_GENRES}], gs))::DOUBLE / len(list_distinct(list_concat(mine[:{K.TOP_GENRES}], gs))), 6) AS user_top_genre_jaccard, round(matched::DOUBLE / greatest(mass, 1), 6) AS user_genre_affinity, round(ln(1 + times), 6) AS user_artist_affinity, round(CASE WHEN my > 0 AND year > 0 THEN abs(year - my) / greatest(1, dy) ELSE 0 END, 5) AS user_year_zdist,
+round(CASE WHEN rating > 0 THEN coalesce(rating - mr, 0) ELSE 0 END, 11) AS item_rating_vs_user_mean, round(ln(1 + n), 6) AS user_activity_log FROM j""")
+def _(s, d):
+    items = _items(s, d)
+    out = K.features(sql(s, d, _POPULAR), K.profiles(sql(s, d, "SELECT CAST(user_id AS BIGINT) AS user, CAST(album_id AS BIGINT) AS item FROM usage"), items), items, _catalogue(s, d))
+    at = {"als_score_z": 5, "artist_match": 1, "year_distance": 5, "user_year_zdist": 5, "item_rating_vs_user_mean": 11}
+    return out.select("user", "item", *(F.round(x, at.get(x, 6)).alias(x) for x in K.PERSONAL if x not in ("als_rank_inv", "item_avg_rating")))
 
 
 @query("ML04")
 def _(s, d):
-    frame = _rerank_frame(s, d)
-    model = L.reranker(frame, ["z", "rr", "pop"], "label")
-    weights = [float(x) for x in model.stages[-1].coefficients]
-    return frame.agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives")).select("rows", "positives", *(F.lit(w).alias(f"w_{n}") for n, w in zip(("z", "rr", "pop"), weights)))
+    """What the linear reranker learned of each feature, in deviations."""
+    _, _, frame = _reranked(s, d)
+    model = K.fit(frame, "linear")
+    weights = [0.0] * len((*K.PERSONAL, *K.CATALOGUE)) if model is None else [float(x) for x in model.stages[-1].coefficients]
+    table_ = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.lit(w).alias("weight")) for n, w in zip((*K.PERSONAL, *K.CATALOGUE), weights)))).alias("x")
+    return frame.agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives")).select("rows", "positives", table_).select("rows", "positives", "x.*")
 
 
 @query("ML05")
 def _(s, d):
-    frame = _rerank_frame(s, d)
-    scored = L.reranker(frame, ["z", "rr", "pop"], "label").transform(frame).withColumn("p", L.vector_to_array("__p")[1])
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("p"), "item"))).where("place <= 10").select("user", "item", "place")
+    """The reranked mode: ten albums for every user."""
+    rows, _, frame = _reranked(s, d)
+    return K.rerank(K.fit(frame, "linear"), rows, 10).select("user", "item", c("rank").alias("place"))
+
+
+@query("ML05_plain")
+def _(s, d):
+    inter = _indexed(s, d)
+    return B.blocked_top_k(*B.factor_vectors(L.train_als(inter, rank=FITS.rank, iterations=FITS.iterations)), inter, 10).select("user", "item", "rank")
+
+
+@query("ML05_hybrid")
+def _(s, d):
+    inter = _indexed(s, d)
+    model = L.train_als(inter, rank=FITS.rank, iterations=FITS.iterations)
+    content = B.content_vectors(L.album_features(view(s, d, "albums"), 20).select(c("album_id").cast("bigint").alias("item"), "features"), inter)
+    return B.hybrid_top_k(B.factor_vectors(model), content, inter, 10).select("user", "item", "rank")
+
+
+_EMB = "SELECT CAST(vec_id AS BIGINT) AS item, CAST(label AS BIGINT) AS user, embedding FROM embeddings"
+
+
+@query("ML05_blocks", """WITH m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) q GROUP BY 1, 2), u AS (SELECT label AS "user", list(x ORDER BY i) AS v FROM m GROUP BY 1),
+s AS (SELECT "user", vec_id AS item, list_dot_product(v, embedding::DOUBLE[]) AS score FROM u JOIN embeddings e ON e.label <> u."user") SELECT "user"::BIGINT AS "user", item::BIGINT AS item, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) <= 10""")
+def _(s, d):
+    """For the mean vector of every label the ten nearest vectors of other labels, by blocks."""
+    e = sql(s, d, _EMB).withColumn("vector", c("embedding").cast("array<double>"))
+    users = L.mean_vectors(e, "user", "vector").withColumnRenamed("mean", "vector")
+    return B.blocked_top_k(users, e.select("item", "vector"), e.select("user", "item"), 10, item_block=512).select("user", "item", F.round("score", 4).alias("score"))
 
 
 @query("ML06")
 def _(s, d):
-    i = R.interactions(view(s, d, "collection"), view(s, d, "wantlist"), view(s, d, "ratings"))
-    split = R.leave_one_out(i, 42).select(c("user_id").cast("int").alias("user"), c("album_id").cast("int").alias("item"), "strength", "held_out").checkpoint()
-    train, held = split.where("not held_out").drop("held_out"), split.where("held_out")
-    out = None
-    for rank in (4, 8):  # the grid is small; every fit is distributed
-        top = L.als_top_n(L.train_als(train, rank=rank, iterations=2), train.select("user").distinct(), 10, train, 40)
-        hit = held.select("user", "item").join(top.select("user", "item", F.lit(1).alias("hit")), ["user", "item"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("hit_rate"), F.count(F.lit(1)).alias("users"))
-        row = hit.select(F.lit(rank).alias("rank"), "hit_rate", "users")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Factor models and rerankers on one split: every setting's lists measured in one pass; the rerankers share one table of candidates."""
+    train, held = _split(s, d)
+    users = K.profiles(train, _items(s, d)).checkpoint()
+    _, rows = _candidates(s, d, train, held, users)
+    lists = {f"als rank {FITS.rank}": K.rerank(None, rows, 10)}
+    for hard in (0.3, 0.7):
+        frame = K.training_frame(rows, hard_ratio=hard).checkpoint()
+        lists[f"linear, hard {hard}"] = K.rerank(K.fit(frame, "linear"), rows, 10)
+    lists["trees"] = K.rerank(K.fit(frame, "trees", iterations=FITS.tree_iterations, depth=FITS.tree_depth), rows, 10)
+    for rank in (FITS.rank // 2, FITS.rank * 2):  # the grid is small; every fit is distributed
+        model = L.train_als(train, rank=rank, iterations=FITS.iterations)
+        lists[f"als rank {rank}"] = B.blocked_top_k(*B.factor_vectors(model), train, 10)
+    return K.ranking_metrics(K.settings_union(lists), held)
 
 
 _TOKENS = "SELECT doc_id, coalesce(sleeve_label, 'none') AS cls, {} AS tokens, doc_id % 5 < 4 AS is_train FROM notes"
