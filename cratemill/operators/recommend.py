@@ -78,7 +78,8 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, p, q).ratio() if p and q else 0.0 for p, q in zip(x, y)])
 
-    return ratio(a, b)
+    # so marked, a filter on the result isn't pushed below and Python runs once for each pair
+    return ratio.asNondeterministic()(a, b)
 
 
 def candidates(albums: DataFrame, masters: DataFrame, window: int = 1) -> DataFrame:
@@ -110,9 +111,10 @@ def match(albums: DataFrame, masters: DataFrame, least: float = 0.88, window: in
     if similarity is sequence_ratio:
         # common characters in order are at most the longer title less the edits, so few pairs reach the threshold and Python
         total = F.length("title") + F.length("m_title")
-        pairs = pairs.where(exact | (1 - F.levenshtein("title", "m_title") / total >= least))
-    scored = pairs.withColumn("sim", F.when(exact, 1.0).otherwise(similarity(F.col("title"), F.col("m_title"))))
-    scored = scored.withColumn("exact", exact).where(exact | (F.col("sim") >= least))
+        pairs = pairs.where(exact | (1 - F.levenshtein("title", "m_title") / total >= least)).checkpoint()
+    equal = pairs.where(exact).withColumns({"sim": F.lit(1.0), "exact": F.lit(True)})
+    near = pairs.where(~exact).withColumn("sim", similarity(F.col("title"), F.col("m_title"))).where(F.col("sim") >= least)
+    scored = equal.unionByName(near.withColumn("exact", F.lit(False)))
     # an album with an equal title among its free candidates takes it, so those come first
     order = [F.desc("exact"), F.when(F.col("exact"), F.col("master_no")).asc_nulls_last(), F.desc("sim"), F.asc("master_id")]
     w = Window.partitionBy("album_id").orderBy(*order)

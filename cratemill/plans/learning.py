@@ -118,12 +118,12 @@ mt AS (SELECT cand.user, cand.item, sum(coalesce(og.n, 0)) AS matched FROM cand
 j AS (SELECT cand.*, it.*, ug.*, un.*, coalesce(ua.n, 0) AS times, matched, avg(score) OVER (PARTITION BY cand.user) AS am, stddev_pop(score) OVER (PARTITION BY cand.user) AS ad FROM cand JOIN it USING (item) JOIN ug ON ug.user = cand.user JOIN un ON un.user = cand.user LEFT JOIN ua ON ua.user = cand.user AND ua.artist = it.artist JOIN mt ON mt.user = cand.user AND mt.item = cand.item)
 SELECT "user", item, round((score - am) / CASE WHEN ad > 0 THEN ad ELSE 1 END, 5) AS als_score_z, round(len(list_intersect(mine, gs))::DOUBLE / len(list_distinct(list_concat(mine, gs))), 6) AS genre_jaccard, (times > 0)::INT::DOUBLE AS artist_match, round(CASE WHEN my > 0 AND year > 0 THEN abs(year - my) ELSE 0 END, 5) AS year_distance,
 round(len(list_intersect(mine[:{K.TOP_GENRES}], gs))::DOUBLE / len(list_distinct(list_concat(mine[:{K.TOP_GENRES}], gs))), 6) AS user_top_genre_jaccard, round(matched::DOUBLE / greatest(mass, 1), 6) AS user_genre_affinity, round(ln(1 + times), 6) AS user_artist_affinity, round(CASE WHEN my > 0 AND year > 0 THEN abs(year - my) / greatest(1, dy) ELSE 0 END, 5) AS user_year_zdist,
-round(CASE WHEN rating > 0 THEN coalesce(rating - mr, 0) ELSE 0 END, 11) AS item_rating_vs_user_mean, round(ln(1 + n), 6) AS user_activity_log FROM j""")
+round(CASE WHEN rating > 0 THEN coalesce(rating - mr, 0) ELSE 0 END, 11) + 0 AS item_rating_vs_user_mean, round(ln(1 + n), 6) AS user_activity_log FROM j""")
 def _(s, d):
     items = _items(s, d)
     out = K.features(sql(s, d, _POPULAR), K.profiles(sql(s, d, "SELECT CAST(user_id AS BIGINT) AS user, CAST(album_id AS BIGINT) AS item FROM usage"), items), items, _catalogue(s, d))
     at = {"als_score_z": 5, "artist_match": 1, "year_distance": 5, "user_year_zdist": 5, "item_rating_vs_user_mean": 11}
-    return out.select("user", "item", *(F.round(x, at.get(x, 6)).alias(x) for x in K.PERSONAL if x not in ("als_rank_inv", "item_avg_rating")))
+    return out.select("user", "item", *((F.round(x, at.get(x, 6)) + F.lit(0.0)).alias(x) for x in K.PERSONAL if x not in ("als_rank_inv", "item_avg_rating")))
 
 
 @query("ML04")
