@@ -321,22 +321,22 @@ def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, size: int, percen
     return both.select("a", "b", "na", "nb", inter.alias("i")).where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
 
 
-def link_components(posts: DataFrame, docs: DataFrame, keys: DataFrame, size: int, percent: int, rounds: int = 6) -> DataFrame | None:
+def link_components(posts: DataFrame, docs: DataFrame, keys: DataFrame, size: int, percent: int, rounds: int = 2) -> DataFrame | None:
     """(node, root) over the identities of all sets that are similar to another.
 
     A round compares the members of every index entry with one of them, the first by a hash that changes with the round, and joins
-    what is similar. When rounds join little more, members of one entry that are still in different components are compared with each
-    other, all of them. Pairs inside a component could add nothing. None if no two sets share an entry.
+    what is similar. Then members of one entry that are still in different components are compared with each other, all of them, by
+    their bitmaps first, inside the join. Pairs inside a component could add nothing. None if no two sets share an entry.
     """
     if posts.isEmpty():
         return None
     short, entries = keys.select("key", F.col("k").alias("short")), posts.count()
-    links, left, pending = None, posts.withColumn("comp", F.col("k").cast("string")), None
+    links, left = None, posts.withColumn("comp", F.col("k").cast("string"))
     for turn in range(rounds):
         first = F.xxhash64("k", F.lit(turn))
         lead = left.groupBy(F.col("sig").alias("of")).agg(F.min_by("k", first).alias("ka"), F.min_by("comp", first).alias("lead_comp"))
         lead = common.materialize(lead, "leads")
-        hot = graph.hot_or_none(left, "sig", total=entries)
+        hot = graph.hot_or_none(left, "sig")
         star = graph.split_join(left, lead, "sig", "of", hot, [F.col("k")]).where("comp <> lead_comp").select("ka", F.col("k").alias("kb")).distinct()
         new = common.materialize(verify(star, docs, keys, size, percent), "links")
         links = new if links is None else links.unionByName(new)
@@ -347,16 +347,16 @@ def link_components(posts: DataFrame, docs: DataFrame, keys: DataFrame, size: in
         sizes = joined.groupBy("sig", "comp").agg(F.count(F.lit(1)).cast("double").alias("s"))
         open_ = sizes.groupBy(F.col("sig").alias("open")).agg((F.pow(F.sum("s"), F.lit(2)) - F.sum(F.col("s") * F.col("s"))).alias("twice"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         open_ = common.materialize(open_, "open-entries")
-        was, pending = pending, (open_.agg(F.sum("twice").alias("p")).first()["p"] or 0.0) / 2
+        pending = (open_.agg(F.sum("twice").alias("p")).first()["p"] or 0.0) / 2
         if not pending:
             return roots
         left = joined.join(open_.select("open"), joined["sig"] == open_["open"]).drop("open")
-        if pending <= 8 * entries or (was is not None and pending > was / 2):
+        if pending <= 100 * entries:
             break
     bits = keys.select(F.col("k").alias("bk"), *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(_BITS // 64)))
-    left = common.materialize(graph.split_join(left, bits, "k", "bk", graph.hot_or_none(left, "k", total=entries), [F.col("sig")]).drop("bk"), "rest")
+    left = common.materialize(left.join(bits, left["k"] == bits["bk"]).drop("bk"), "rest")
     mine, other = left.select(*(F.col(c).alias(f"x_{c}") for c in left.columns)), left.select(*(F.col(c).alias(f"y_{c}") for c in left.columns))
-    close = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_k") < F.col("y_k")) & (F.col("x_comp") != F.col("y_comp")) & may_be_similar("x_", "y_", percent)
+    close = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_k") < F.col("y_k")) & may_be_similar("x_", "y_", percent) & (F.col("x_comp") != F.col("y_comp"))
     rest = mine.join(other, close).select(F.col("x_k").alias("ka"), F.col("y_k").alias("kb")).distinct()
     new = common.materialize(verify(rest, docs, keys, size, percent), "links")
     return graph.components(links.unionByName(new))

@@ -234,7 +234,7 @@ def test_sets_of_many_texts():
 def test_components_with_hot_nodes(spark):
     """A star, a chain and a ring; every node and root counts as hot."""
     edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2001), (2001, 2002), (2000, 2002)]
-    got = {r["node"]: r["root"] for r in graph.components(frame(spark, edges, "a long, b long"), parts=50, least=2).collect()}
+    got = {r["node"]: r["root"] for r in graph.components(frame(spark, edges, "a long, b long"), parts=50, least=2, few=0).collect()}
     assert got == {**dict.fromkeys(range(200), 0), **dict.fromkeys(range(1000, 1041), 1000), **dict.fromkeys(range(2000, 2003), 2000)}
 
 
