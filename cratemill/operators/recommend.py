@@ -219,19 +219,47 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def similar_examples(bank: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(target, item_id, other_id, sim, rank): the k most similar examples of the same target by Jaccard of token sets.
+def example_pairs(bank: DataFrame, queries: DataFrame, k: int, frequent: int = 256) -> DataFrame:
+    """(target, item_id, other_id) among which are the k most similar examples of every query; see similar_examples.
 
-    bank and queries: target, item_id, tokens (distinct). Only pairs that share a token are made; intersections are counted by
-    an equi-join on the token.
+    Tokens are put in one order, those that fewest examples of the target have first. Pairs that share a token of `frequent` examples or
+    fewer are made first. Then a query knows how similar its k-th example is, t, and others matter only if they share t of its tokens, so at
+    least one of its first n - t * n + 1: only among these are frequent tokens joined, and only with examples of a size that allows t. A
+    query that found fewer than k examples is joined by all its tokens.
     """
-    left = queries.select("target", "item_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    right = bank.select("target", F.col("item_id").alias("other_id"), F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    shared = left.join(right, ["target", "token"]).where(F.col("item_id") != F.col("other_id")).groupBy("target", "item_id", "other_id", "n", "m").agg(F.count(F.lit(1)).alias("common"))
-    sim = shared.withColumn("sim", F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
+    keys = ["target", "item_id"]
+    spread = lambda d, size: d.select(*keys, F.size("tokens").alias(size), F.explode("tokens").alias("token"))
+    right = spread(bank, "m").withColumnRenamed("item_id", "other_id")
+    often = right.groupBy("target", "token").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy(*keys).orderBy(F.coalesce("df", F.lit(0)), "token")
+    left = spread(queries, "n").join(often, ["target", "token"], "left").withColumn("at", F.row_number().over(order)).checkpoint()
+    rare = left.where(F.col("df") <= frequent).join(right, ["target", "token"]).where(F.col("item_id") != F.col("other_id")).select("target", "item_id", "other_id").distinct()
+    nth = best_examples(bank, queries, rare, k).where(F.col("rank") == k).select(*keys, F.col("sim").alias("t"))
+    limited = left.where(F.col("df") > frequent).join(nth, keys, "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
+    first = limited.where(F.col("at") <= F.col("n") - F.ceil(F.col("t") * F.col("n") - 1e-9) + 1)
+    fits = (F.col("item_id") != F.col("other_id")) & (F.least("n", "m") >= F.col("t") * F.greatest("n", "m") - 1e-9)
+    more = first.join(right, ["target", "token"]).where(fits).select("target", "item_id", "other_id")
+    return rare.unionByName(more).distinct()
+
+
+def best_examples(bank: DataFrame, queries: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(target, item_id, other_id, sim, rank): the k pairs of every query with the largest Jaccard index; ties by other_id."""
+    a = queries.select("target", "item_id", F.col("tokens").alias("a"))
+    b = bank.select("target", F.col("item_id").alias("other_id"), F.col("tokens").alias("b"))
+    common = F.size(F.array_intersect("a", "b"))
+    sim = pairs.join(a, ["target", "item_id"]).join(b, ["target", "other_id"]).withColumn("common", common).withColumn("sim", F.col("common") / (F.size("a") + F.size("b") - F.col("common"))).where("common > 0")
     return sim.withColumn("rank", F.row_number().over(Window.partitionBy("target", "item_id").orderBy(F.desc("sim"), "other_id"))).where(F.col("rank") <= k).select("target", "item_id", "other_id", "sim", "rank")
 
 
+def similar_examples(bank: DataFrame, queries: DataFrame, k: int, frequent: int = 256) -> DataFrame:
+    """(target, item_id, other_id, sim, rank): the k most similar examples of the same target by Jaccard of token sets, above 0.
+
+    bank and queries: target, item_id (unique in its target), tokens (distinct). A token that all texts share makes no pairs where rarer ones
+    have found k examples that are more similar than it could be (example_pairs).
+    """
+    return best_examples(bank, queries, example_pairs(bank, queries, k, frequent).checkpoint(), k)
+
+
 def catalogue_features(releases: DataFrame, community: DataFrame) -> DataFrame:
     """Per master what a reranker reads of the catalogue: log counts of releases, vinyl releases and labels, countries, the span of
     years (0 to 80), log community counts, the wants for each copy owned (0 to 10), log offers and lowest price, and whether there are any.
