@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -13,7 +14,10 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cratemill.operators.ranking import global_rank
+from cratemill.operators.prices import metrics
+from cratemill.operators.ranking import global_rank, quantiles
+from cratemill.operators.store import load_bundle, save_bundle
+from cratemill.streaming.incremental import shared_path
 
 
 def dense_ids(df: DataFrame, column: str) -> DataFrame:
@@ -160,12 +164,73 @@ def price_model(train: DataFrame, inputs: list[str], target: str, family: str =
     return Pipeline(stages=[assemble, cls[family]()]).fit(train)
 
 
+def refit_champion(rows: DataFrame, test: Column, inputs: list[str], target: str, base: str, family: str, trees: int, depth: int, cover: float = 0.8, path: str | None = None) -> str:
+    """Fit on the rows that are not test, take the half width that covers `cover` of the test rows' errors, fit again on all rows, save; the path.
+
+    target is what the model predicts, as a residual over the column base; errors are those of base + prediction. The half width is an
+    exact quantile of the test rows.
+    """
+    first = price_model(rows.where(~test), inputs, target, family, trees=trees, depth=depth)
+    errors = first.transform(rows.where(test)).select(F.abs(F.col(target) - F.col("prediction")).alias("e"))
+    half = quantiles(errors, F.col("e"), {"half": cover}).first()
+    final = price_model(rows, inputs, target, family, trees=trees, depth=depth)
+    spark = rows.sparkSession
+    facts = {"family": family, "inputs": inputs, "base": base, "half": half["half"] if half and half["half"] is not None else 0.0, "cover": cover}
+    return save_bundle(spark, path or shared_path(spark, "price-champion"), {"model": final}, facts)
+
+
+def estimate(path: str, rows: DataFrame) -> DataFrame:
+    """rows with price, lo and hi from a saved champion: a batch job that fits nothing. Logs become prices; lo is 0 at least."""
+    models, facts = load_bundle(rows.sparkSession, path)
+    y = F.col("prediction") + F.col(facts["base"])
+    half = F.lit(float(facts["half"]))
+    out = models["model"].transform(rows).withColumns({"price": F.expm1(y), "lo": F.greatest(F.lit(0.0), F.expm1(y - half)), "hi": F.expm1(y + half)})
+    return out.drop("prediction", "__v")
+
+
 def champion(trials: DataFrame, limits: dict[str, float], penalty: float, goal: str) -> DataFrame:
     """The best trial: feasible ones first, then the goal plus a penalty for every limit broken, then the id."""
     over = reduce(lambda a, b: a + b, (F.greatest(F.col(k) - v, F.lit(0.0)) for k, v in limits.items()))
     return trials.withColumns({"excess": over, "objective": F.col(goal) + penalty * over}).orderBy((F.col("excess") > 0).cast("int"), "objective", "trial").limit(1)
 
 
+def draw_trials(n: int, seed: int, trees: tuple[int, int], depth: tuple[int, int], families: tuple[str, ...] = ("gbt", "forest")) -> list[dict]:
+    """n different settings drawn by a seed (fewer if there are not so many); trees and depth are bounds, both included."""
+    rng, seen = random.Random(seed), []
+    for _ in range(20 * n):
+        one = {"family": rng.choice(families), "trees": rng.randint(*trees), "depth": rng.randint(*depth)}
+        if one not in seen:
+            seen.append(one)
+        if len(seen) == n:
+            break
+    return seen
+
+
+def search(rows: DataFrame, trials: list[dict], fold: Column, folds: int, inputs: list[str], target: str, base: str, path: str) -> DataFrame:
+    """(trial, family, trees, depth, mae, wape, mdape, n): every trial fitted on all folds but one and measured on that one, all folds together.
+
+    fold: 0 to folds - 1, the same for all rows of a release, so no release is on both sides. Each trial's line is written below path when it is
+    done; a search that starts again fits only what has no line. target is predicted as a residual over the column base.
+    """
+    spark = rows.sparkSession
+    held = rows.withColumn("__fold", fold).checkpoint()  # read again for every fit
+    schema = "trial string, family string, trees int, depth int, mae double, wape double, mdape double, n long"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for t in trials:
+        name = f"{t['family']}-{t['trees']}-{t['depth']}"
+        done = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
+        if done.getFileSystem(conf).exists(done):
+            continue
+        scored = None
+        for i in range(folds):
+            model = price_model(held.where(F.col("__fold") != i), inputs, target, t["family"], trees=t["trees"], depth=t["depth"])
+            part = model.transform(held.where(F.col("__fold") == i)).select((F.col(target) + F.col(base)).alias("y_true"), (F.col("prediction") + F.col(base)).alias("y_pred"))
+            scored = part if scored is None else scored.unionByName(part)
+        line = metrics(scored).select(F.lit(name).alias("trial"), F.lit(t["family"]).alias("family"), F.lit(t["trees"]).alias("trees"), F.lit(t["depth"]).alias("depth"), "mae", "wape", "mdape", F.col("n").cast("long").alias("n"))
+        line.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+    return spark.read.schema(schema).parquet(*(f"{path}/{t['family']}-{t['trees']}-{t['depth']}" for t in trials))
+
+
 def label_audit(df: DataFrame, classes: list[str], label: str, probs: str) -> DataFrame:
     """Confident learning (Northcutt et al., 2021): self-confidence, the class most likely meant, and an issue flag.
 

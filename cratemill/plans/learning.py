@@ -12,9 +12,9 @@ from cratemill.operators import learning as L
 from cratemill.operators import recommend as R
 from cratemill.operators import reranking as K
 from cratemill.operators import vectors as V
-from cratemill.operators.ranking import quantiles
 from cratemill.plans.registry import query
 from cratemill.sources.views import sql, table, view
+from cratemill.streaming.incremental import shared_path
 
 c = F.col
 
@@ -29,6 +29,12 @@ class Fits:
     candidates: int = 100
     tree_iterations: int = 20
     tree_depth: int = 4
+    #: Trees of the price models.
+    price_trees: int = 20
+    price_depth: int = 4
+    #: Trials of the random search, and folds of each.
+    trials: int = 3
+    folds: int = 2
 
 
 FITS = Fits()
@@ -279,7 +285,7 @@ _INPUTS = ["log_anchor", "year", "media_ord"]
 
 def _predicted(s, d, family: str = "gbt"):
     rows = _priced(s, d)
-    model = L.price_model(rows.where("not test"), _INPUTS, "z", family, trees=5, depth=4)
+    model = L.price_model(rows.where("not test"), _INPUTS, "z", family, trees=FITS.price_trees, depth=FITS.price_depth)
     return model.transform(rows.where("test")).withColumn("y_hat", c("prediction") + c("log_anchor"))
 
 
@@ -297,9 +303,10 @@ def _(s, d):
 
 @query("UDF02")
 def _(s, d):
-    p = _predicted(s, d)
-    half = quantiles(p, F.abs(c("y_true") - c("y_hat")), {"half": 0.8})
-    return p.join(F.broadcast(half)).select("l_orderkey", "l_linenumber", F.expm1("y_hat").alias("price"), F.greatest(F.lit(0.0), F.expm1(c("y_hat") - c("half"))).alias("lo"), F.expm1(c("y_hat") + c("half")).alias("hi"))
+    """Prices of all rows with intervals, by a champion that was fitted, saved and loaded again."""
+    rows = _priced(s, d)
+    path = L.refit_champion(rows, c("test"), _INPUTS, "z", "log_anchor", "gbt", FITS.price_trees, FITS.price_depth)
+    return L.estimate(path, rows).select("l_orderkey", "l_linenumber", "price", "lo", "hi")
 
 
 _TRIALS = "SELECT p_brand AS trial, avg(p_retailprice) / 10000 AS mdape, avg(CAST(p_size AS DOUBLE)) / 100 AS wape FROM part GROUP BY p_brand"
@@ -311,6 +318,13 @@ def _(s, d):
     return best.select("trial", F.round("mdape", 6).alias("mdape"), F.round("wape", 6).alias("wape"))
 
 
+@query("ML13_search")
+def _(s, d):
+    """A seeded random search over folds of releases; the trial that is chosen, infeasible ones last."""
+    trials = L.search(_priced(s, d), L.draw_trials(FITS.trials, 42, (3, 10), (2, 4)), F.pmod(F.xxhash64("release_id"), F.lit(FITS.folds)), FITS.folds, _INPUTS, "z", "log_anchor", shared_path(s, "trials"))
+    return L.champion(trials, {"mdape": 0.095, "wape": 0.25}, 10.0, "mdape").select("trial", "mae", "wape", "mdape", "n")
+
+
 @query("ML14", "WITH g AS (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS k, 6.85 AS mid), e AS (SELECT k, mid, abs(exp(w * y_pred + (1 - w) * ln(1 + anchor)) - exp(y_true)) AS ae FROM (SELECT *, 1 / (1 + exp(-k * (ln(1 + anchor) - mid))) AS w FROM priced, g) q) SELECT k, round(avg(ae), 4) AS mae FROM e GROUP BY 1")
 def _(s, d):
     ks = F.explode(F.array(*(F.lit(k) for k in (0.5, 1.0, 2.0))))

@@ -92,3 +92,35 @@ def test_probability_steps(spark):
     assert blended == pytest.approx([0.7 / 1.45, 0.6 / 1.45, 0.15 / 1.45])
     band = lambda most: df.select(K.confidence_band(F.col("p"), names, names, most)).first()[0]
     assert band(0.25) == "Mint/Near Mint" and band(0.1) is None
+
+
+def test_a_saved_champion_estimates_without_a_fit(spark, monkeypatch):
+    """Prices follow their inputs; the interval covers about the share that was asked for; loading does not fit."""
+    rng = random.Random(5)
+    rows = [(i, float(rng.randrange(10)), rng.gauss(0, 0.1)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id int, x double, noise double").selectExpr("id", "x", "2.0D AS base", "x / 5 + noise AS z").cache()
+    path = L.refit_champion(df, F.col("id") % 4 == 0, ["x"], "z", "base", "gbt", 10, 3)
+    monkeypatch.setattr(L, "price_model", None)
+    out = L.estimate(path, df.drop("z")).join(df.select("id", "z"), "id").withColumn("true", F.expm1(F.col("base") + F.col("z")))
+    row = out.agg(F.avg((F.abs(F.log1p("price") - F.log1p("true")) < 0.3).cast("int")).alias("close"), F.avg(F.col("true").between(F.col("lo"), F.col("hi")).cast("int")).alias("inside"), F.min("lo").alias("least")).first()
+    assert row["close"] > 0.97 and 0.7 < row["inside"] < 0.9 and row["least"] >= 0
+
+
+def test_search_resumes_and_prefers_feasible_trials(spark, monkeypatch, tmp_path):
+    """Trials are real fits over folds of releases; a second run fits none; an infeasible trial loses to a feasible one."""
+    rng = random.Random(8)
+    rows = [(i, f"r{i % 40}", float(i % 40 % 10), rng.gauss(0, 0.05)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, release_id string, x double, noise double").selectExpr("id", "release_id", "x", "3.0D AS base", "x / 4 + noise AS z")
+    trials = [{"family": "gbt", "trees": 8, "depth": 3}, {"family": "forest", "trees": 1, "depth": 1}]
+    seen, real = [], L.price_model
+    monkeypatch.setattr(L, "price_model", lambda train, *a, **k: (seen.append({r["release_id"] for r in train.select("release_id").distinct().collect()}), real(train, *a, **k))[1])
+    args = (F.pmod(F.xxhash64("release_id"), F.lit(2)), 2, ["x"], "z", "base", f"file://{tmp_path}/trials")
+    got = {r["trial"]: r for r in L.search(df, trials, *args).collect()}
+    assert len(seen) == 4 and not seen[0] & seen[1] and got["gbt-8-3"]["n"] == 400
+    assert got["gbt-8-3"]["mdape"] < got["forest-1-1"]["mdape"]
+    again = L.search(df, trials, *args)
+    assert len(seen) == 4 and again.count() == 2
+    limit = (got["gbt-8-3"]["wape"] + got["forest-1-1"]["wape"]) / 2
+    assert L.champion(again, {"wape": limit}, 10.0, "mdape").first()["trial"] == "gbt-8-3"
+    drawn = L.draw_trials(5, 1, (2, 4), (2, 3))
+    assert drawn == L.draw_trials(5, 1, (2, 4), (2, 3)) and len({str(t) for t in drawn}) == 5
