@@ -345,7 +345,7 @@ def link_components(posts: DataFrame, docs: DataFrame, keys: DataFrame, size: in
         joined = posts.join(of_k, posts["k"] == of_k["ck"], "left").select("sig", "k", "n", F.coalesce("root", F.col("k").cast("string")).alias("comp"))
         joined = common.materialize(joined, "entries")
         sizes = joined.groupBy("sig", "comp").agg(F.count(F.lit(1)).cast("double").alias("s"))
-        open_ = sizes.groupBy(F.col("sig").alias("open")).agg((F.pow(F.sum("s"), F.lit(2)) - F.sum(F.col("s") * F.col("s"))).alias("twice"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        open_ = sizes.groupBy(F.col("sig").alias("open")).agg((F.pow(F.sum("s"), F.lit(2)) - F.sum(F.col("s") * F.col("s"))).alias("twice"), F.count(F.lit(1)).alias("parts"), F.sum("s").alias("docs")).where("parts > 1 and docs > 2")  # of two, the round has compared one with the other
         open_ = common.materialize(open_, "open-entries")
         pending = (open_.agg(F.sum("twice").alias("p")).first()["p"] or 0.0) / 2
         if not pending:
