@@ -16,9 +16,12 @@ def lower_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.strip().lower() for c in df.columns))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Headers lower-cased, all text; quotes and line breaks inside fields are kept."""
-    return lower_headers(spark.read.csv(path, header=True, escape='"', multiLine=True))
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """Headers lower-cased, all text; quotes inside fields are kept.
+
+    line_breaks: fields may hold line breaks. Then every file is one task; without, large files are split.
+    """
+    return lower_headers(spark.read.csv(path, header=True, escape='"', multiLine=line_breaks))
 
 
 def load_usage(spark: SparkSession, path: str) -> DataFrame:
