@@ -24,6 +24,8 @@ class BlendConfig:
     listing_cap: float = 3.0
     label_cap_peak: float = 2.0
     label_cap_anchor: float = 4.0
+    nowcast_cap: float = 15.0
+    listing_clip: float = 2.0
     min_listing: float = 1.0
     inflated: float = 2.5
     mint_outlier: float = 3.0

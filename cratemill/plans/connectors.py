@@ -86,17 +86,24 @@ def _(s, d):
     return X.ingest_report(chosen, {k: remap(df, mapping) for k, (_, df) in chosen.items() if k != "ratings"})
 
 
-_XML = """SELECT CASE WHEN CAST(release_id AS BIGINT) % 19 = 0 THEN 'x' || release_id ELSE release_id END AS _id, CASE WHEN CAST(release_id AS BIGINT) % 23 = 0 THEN 'Deleted' ELSE 'Accepted' END AS _status, title, country, CAST(year AS STRING) || '-05-01' AS released, master_id,
-named_struct('genre', array(genre, 'Rock')) AS genres, named_struct('style', array(style)) AS styles, named_struct('artist', array(named_struct('id', substr(master_id, 1, 8), 'name', style))) AS artists,
-named_struct('format', array(named_struct('_name', 'Vinyl', '_qty', '1', 'descriptions', named_struct('description', array('LP', 'Album'))))) AS formats FROM releases"""
-
-
-@query("SRC10", "SELECT release_id, genre, style, year, decade, nullif(trim(country), '') AS country, 'Vinyl, LP, Album' AS format_desc FROM releases WHERE CAST(release_id AS BIGINT) % 19 <> 0 AND CAST(release_id AS BIGINT) % 23 <> 0")
+#: Releases as elements: the year in its own element, in the date or in neither; artists without a number, labels by attribute or element.
+_XML = """SELECT CASE WHEN no % 19 = 0 THEN 'x' || release_id ELSE release_id END AS _id, CASE WHEN no % 23 = 0 THEN 'Deleted' ELSE 'Accepted' END AS _status, title, country,
+CASE WHEN no % 4 = 0 THEN CAST(year AS STRING) WHEN no % 4 = 1 THEN 'unknown' END AS year, CASE WHEN no % 4 < 3 THEN CAST(year - 1 + CASE WHEN no % 4 = 2 THEN 1 ELSE 0 END AS STRING) || '-05-01' ELSE 'May' END AS released, master_id,
+named_struct('genre', array(genre, 'Rock')) AS genres, named_struct('style', array(' ', style)) AS styles, named_struct('artist', array(named_struct('id', 'none', 'name', 'Nobody'), named_struct('id', CAST(no % 40 AS STRING), 'name', style))) AS artists,
+named_struct('label', array(named_struct('_id', CASE WHEN no % 2 = 0 THEN CAST(no % 40 AS STRING) END, '_catno', 'C1', 'id', 'e' || CAST(no % 40 AS STRING), 'name', 'House'))) AS labels,
+named_struct('format', array(named_struct('_name', 'Vinyl', '_qty', '1', 'descriptions', named_struct('description', array('LP', CASE WHEN no % 5 = 0 THEN 'Repress' ELSE 'Album' END))), named_struct('_name', CASE WHEN no % 3 = 0 THEN 'Picture Disc' ELSE 'Promo' END, '_qty', '1', 'descriptions', named_struct('description', array('  '))))) AS formats
+FROM (SELECT *, CAST(release_id AS BIGINT) AS no FROM releases) q"""
+_ROWS = """SELECT release_id, nullif(trim(master_id), '') AS master_id, genre, style, y AS year, y - y % 10 AS decade, nullif(trim(country), '') AS country, 0 AS label_tier, (no % 5 <> 0)::INT AS is_original_pressing, 0 AS is_colored_vinyl, (no % 3 = 0)::INT AS is_picture_disc, (no % 3 <> 0)::INT AS is_promo,
+'Vinyl LP ' || d || ', ' || p AS format_desc, '[{"id":"' || (no % 40) || '","name":"' || style || '"}]' AS artists_json, '[{"id":"' || CASE WHEN no % 2 = 0 THEN '' ELSE 'e' END || (no % 40) || '","name":"House","catno":"C1"}]' AS labels_json, '["' || genre || '","Rock"]' AS genres_json, '["' || style || '"]' AS styles_json,
+'[{"name":"Vinyl","qty":"1","descriptions":["LP","' || d || '"]},{"name":"' || p || '","qty":"1","descriptions":[]}]' AS formats_json
+FROM (SELECT *, CASE WHEN no % 5 = 0 THEN 'Repress' ELSE 'Album' END AS d, CASE WHEN no % 3 = 0 THEN 'Picture Disc' ELSE 'Promo' END AS p, coalesce(CASE no % 4 WHEN 0 THEN year WHEN 1 THEN year - 1 WHEN 2 THEN year END, 0)::INT AS y FROM (SELECT *, CAST(release_id AS BIGINT) AS no FROM releases) q) r WHERE no % 19 <> 0 AND no % 23 <> 0"""
+
+
+@query("SRC10", _ROWS)
 def _(s, d):
     path = shared_path(s, "releases-xml")
     sql(s, d, _XML).write.format("xml").option("rowTag", "release").option("rootTag", "releases").save(path)
-    rows = X.release_rows(X.read_xml(s, path, "release", X.RELEASE_XML))
-    return rows.select("release_id", "genre", "style", "year", "decade", F.nullif(F.trim("country"), F.lit("")).alias("country"), "format_desc")
+    return X.release_rows(X.read_xml(s, path, "release", X.RELEASE_XML)).withColumn("country", F.nullif("country", F.lit("")))
 
 
 @query("SRC11", "SELECT master_id, 'r' || CAST(master_no AS STRING) AS main_release_id, title, year, CAST(master_no % 9 AS STRING) AS primary_artist_id, artist AS primary_artist_name, 'Rock' AS primary_genre FROM masters")

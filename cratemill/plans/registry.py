@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cratemill.sources.views import with_views
 
 FLAGSHIP = "AGG01"
-_MODULES = ("catalogue", "recommend", "merges", "prices", "drift", "grading", "review", "learning", "connectors")
+_MODULES = ("catalogue", "recommend", "merges", "prices", "synthesis", "drift", "grading", "review", "learning", "connectors")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 
@@ -29,6 +29,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def twin(name: str) -> str:
+    """The SQL of a query registered before, as a subquery."""
+    return f"({_oracles[name]})"
+
+
 def _load() -> None:
     for m in _MODULES:
         importlib.import_module(f"cratemill.plans.{m}")

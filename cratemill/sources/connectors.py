@@ -72,22 +72,51 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 RELEASE_XML = (
-    "_id string, _status string, title string, country string, released string, master_id string, genres struct<genre:array<string>>, styles struct<style:array<string>>, "
-    "artists struct<artist:array<struct<id:string,name:string>>>, formats struct<format:array<struct<_name:string,_qty:string,descriptions:struct<description:array<string>>>>>"
+    "_id string, _status string, title string, country string, year string, released string, master_id string, genres struct<genre:array<string>>, styles struct<style:array<string>>, "
+    "artists struct<artist:array<struct<id:string,name:string>>>, labels struct<label:array<struct<_id:string,_name:string,_catno:string,id:string,name:string,catno:string>>>, "
+    "formats struct<format:array<struct<_name:string,_qty:string,descriptions:struct<description:array<string>>>>>"
 )
 MASTER_XML = "_id string, main_release string, title string, year string, data_quality string, genres struct<genre:array<string>>, styles struct<style:array<string>>, artists struct<artist:array<struct<id:string,name:string>>>"
 
 
+def _filled(list_: Column) -> Column:
+    """The texts of a list without blanks at their ends; empty ones go, and a missing list is empty."""
+    return F.coalesce(F.filter(F.transform(list_, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def _json(list_: Column) -> Column:
+    return F.when(F.size(list_) > 0, F.to_json(list_))
+
+
 def release_rows(xml: DataFrame) -> DataFrame:
-    """Feature rows of a release dump: deleted releases and ids that are no numbers go."""
-    names = lambda c: F.col(c)[0]
-    formats = F.transform("formats.format", lambda f: F.struct(f["_name"].alias("name"), f["_qty"].alias("qty"), f["descriptions"]["description"].alias("descriptions")))
-    year = C.year_of(F.col("released"))
-    desc = F.array_join(F.flatten(F.transform(formats, lambda f: F.concat(F.array(f["name"]), F.coalesce(f["descriptions"], F.array().cast("array<string>"))))), ", ")
-    rows = xml.where((F.coalesce("_status", F.lit("")) != "Deleted") & F.rlike("_id", F.lit("^[0-9]+$")))
+    """Feature rows of a release dump: deleted releases and ids that are no numbers go.
+
+    The year is the four digits that the element year starts with, else those of released, else 0; the decade is 0 with it. Lists are JSON
+    text, null if empty: artists only with a number as id, labels by their attributes or else their elements. A format's text is its name
+    and its descriptions, formats are joined by commas; flags are read from that text, the first pressing from the descriptions.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    either = lambda x, k: F.when(text(x[f"_{k}"]) != "", text(x[f"_{k}"])).otherwise(text(x[k]))
+    digits = lambda c: F.nullif(F.regexp_extract(F.trim(c), r"^(\d{4})", 1), F.lit("")).cast("int")
+    lists = {
+        "genres": _filled(F.col("genres.genre")),
+        "styles": _filled(F.col("styles.style")),
+        "artists": F.transform(F.filter("artists.artist", lambda a: F.rlike(text(a["id"]), F.lit("^[0-9]+$"))), lambda a: F.struct(text(a["id"]).alias("id"), text(a["name"]).alias("name"))),
+        "labels": F.filter(F.transform("labels.label", lambda x: F.struct(*(either(x, k).alias(k) for k in ("id", "name", "catno")))), lambda x: F.concat(x["id"], x["name"], x["catno"]) != ""),
+        "formats": F.transform("formats.format", lambda f: F.struct(text(f["_name"]).alias("name"), text(f["_qty"]).alias("qty"), _filled(f["descriptions"]["description"]).alias("descriptions"))),
+    }
+    rows = xml.where((text(F.col("_status")) != "Deleted") & F.rlike(text(F.col("_id")), F.lit("^[0-9]+$"))).withColumns({f"__{k}": v for k, v in lists.items()})
+    parts = F.transform("__formats", lambda f: F.trim(F.concat_ws(" ", f["name"], F.array_join(f["descriptions"], " "))))
+    rows = rows.withColumns({
+        "__year": F.coalesce(digits(F.col("year")), digits(F.col("released")), F.lit(0)),
+        "__desc": F.nullif(F.array_join(F.filter(parts, lambda p: p != ""), ", "), F.lit("")),
+        "__json": _json(F.col("__formats")),
+    })
     return rows.select(
-        F.col("_id").alias("release_id"), "master_id", F.get("genres.genre", F.lit(0)).alias("genre"), F.get("styles.style", F.lit(0)).alias("style"), year.alias("year"),
-        (F.floor(year / 10) * 10).cast("int").alias("decade"), "country", desc.alias("format_desc"), F.to_json(formats).alias("formats_json"), F.to_json("artists.artist").alias("artists_json"),
+        text(F.col("_id")).alias("release_id"), F.nullif(F.trim("master_id"), F.lit("")).alias("master_id"), F.get("__genres", F.lit(0)).alias("genre"), F.get("__styles", F.lit(0)).alias("style"),
+        F.col("__year").alias("year"), (F.floor(F.col("__year") / 10) * 10).cast("int").alias("decade"), F.trim("country").alias("country"), F.lit(0).alias("label_tier"),
+        C.is_original(F.col("__json"), F.col("__desc")).alias("is_original_pressing"), *(v.alias(k) for k, v in C.text_flags(F.col("__desc")).items()), F.col("__desc").alias("format_desc"),
+        *(_json(F.col(f"__{k}")).alias(f"{k}_json") for k in ("artists", "labels", "genres", "styles")), F.col("__json").alias("formats_json"),
     )
 
 

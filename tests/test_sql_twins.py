@@ -11,7 +11,7 @@ from cratemill.sources.views import BASE
 
 SF = "/root/testdata/sf0.001"
 #: Long fits; run by tests/test_learning.py instead.
-SLOW = {"ML01", "ML04", "ML05", "ML06", "ML08", "ML09", "ML12", "ML16", "ML18", "UDF02"}
+SLOW = {"ML01", "ML04", "ML05", "ML06", "ML08", "ML09", "ML12", "ML14_ensemble", "ML16", "ML18", "UDF02"}
 
 
 @pytest.fixture(scope="module")
