@@ -169,6 +169,20 @@ def test_match_of_many_equal_titles(spark):
     assert got == {f"a{i}": f"m{i}" for i in range(280)}
 
 
+def test_match_of_a_chain_takes_few_jobs(spark):
+    """Every album wants the master that the one before it gets, so refusals follow one another; the number of jobs doesn't follow them."""
+    n = 40
+    albums = spark.createDataFrame([(f"a{i}", i, "ann", "untitled", 1900 + i) for i in range(n)], "album_id string, album_no int, artist string, title string, year int")
+    masters = spark.createDataFrame([(f"m{i}", i, "Ann", "Untitled", 1900 + i) for i in range(n)], "master_id string, master_no int, artist string, title string, year int")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        got = {r["album_id"]: r["master_id"] for r in recommend.match(albums, masters).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {f"a{i}": f"m{i}" for i in range(n)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 60
+
+
 def test_low_rated_takes_any_text(spark):
     df = spark.createDataFrame([("a", "1"), ("a", "n/a"), ("b", "2"), ("b", "4"), ("c", "none")], "album_id string, rating string")
     assert [r["album_id"] for r in recommend.only_low_rated(df).collect()] == ["a"]
