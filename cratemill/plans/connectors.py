@@ -102,7 +102,7 @@ FROM (SELECT *, CASE WHEN no % 5 = 0 THEN 'Repress' ELSE 'Album' END AS d, CASE
 @query("SRC10", _ROWS)
 def _(s, d):
     path = shared_path(s, "releases-xml")
-    sql(s, d, _XML).write.format("xml").option("rowTag", "release").option("rootTag", "releases").save(path)
+    X.write_xml(sql(s, d, _XML), path, "release", "releases")
     return X.release_rows(X.read_xml(s, path, "release", X.RELEASE_XML)).withColumn("country", F.nullif("country", F.lit("")))
 
 

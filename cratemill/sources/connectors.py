@@ -120,8 +120,14 @@ def release_rows(xml: DataFrame) -> DataFrame:
     )
 
 
+def write_xml(df: DataFrame, path: str, tag: str, root: str, rows_per_file: int = 20_000) -> None:
+    """df as a dump of rowTag elements in files of at most so many rows: the reader can't split an XML file, so a file is what one task reads."""
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt.write.format("xml").option("rowTag", tag).option("rootTag", root).option("maxRecordsPerFile", rows_per_file).save(path)
+
+
 def read_xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    """A dump of rowTag elements. A gzip file is one split, so its rows are dealt out before they are worked on."""
+    """A dump of rowTag elements. A file is read by one task; what a gzip file holds is dealt out before it is worked on."""
     df = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
     return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if path.endswith(".gz") else df
 

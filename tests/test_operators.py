@@ -169,6 +169,20 @@ def test_match_of_many_equal_titles(spark):
     assert got == {f"a{i}": f"m{i}" for i in range(280)}
 
 
+@pytest.mark.parametrize("name", ["SRC10", "SRC11"])
+def test_dumps_are_read_by_several_tasks(spark, name):
+    import __spark_entry__
+
+    assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_xml_files_have_bounded_rows(spark, tmp_path):
+    path = str(tmp_path / "x")
+    connectors.write_xml(spark.range(100).select(F.col("id").alias("_id")), path, "release", "releases", rows_per_file=7)
+    files = [p.read_text().count("<release ") for p in (tmp_path / "x").glob("part-*")]
+    assert max(files) <= 7 and sum(files) == 100
+
+
 def test_match_of_a_chain_takes_few_jobs(spark):
     """Every album wants the master that the one before it gets, so refusals follow one another; the number of jobs doesn't follow them."""
     n = 40
