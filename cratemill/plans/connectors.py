@@ -113,7 +113,7 @@ def _(s, d):
         c("master_id").alias("_id"), F.concat(F.lit("r"), c("master_no").cast("string")).alias("main_release"), "title", c("year").cast("string").alias("year"), F.lit("Correct").alias("data_quality"),
         F.struct(F.array(F.lit("Rock")).alias("genre")).alias("genres"), F.struct(F.array(F.struct((c("master_no") % 9).cast("string").alias("id"), c("artist").alias("name"))).alias("artist")).alias("artists"),
     )
-    m.write.format("xml").option("rowTag", "master").option("rootTag", "masters").save(path)
+    X.write_xml(m, path, "master", "masters")
     out = X.master_rows(X.read_xml(s, path, "master", X.MASTER_XML))
     return out.select("master_id", "main_release_id", "title", "year", "primary_artist_id", "primary_artist_name", "primary_genre")
 
