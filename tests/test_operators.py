@@ -183,6 +183,18 @@ def test_xml_files_have_bounded_rows(spark, tmp_path):
     assert max(files) <= 7 and sum(files) == 100
 
 
+def test_listing_rows_work_each_pattern_once(spark):
+    from cratemill.sources import html
+
+    row = '<tr><td class="item_description"><strong><a href="/sell/item/{}">{}</a></strong><p class="item_condition">Media: NM<br>Sleeve: VG</p><p>{}</p></td></tr>'
+    page = "<table>" + row.format(1, "A - B", "first") + row.format(2, "C", "x &amp; y") + row.format(1, "Later - D", "again") + "</table>"
+    out = html.listing_rows(spark.createDataFrame([(7, page)], "page_id int, html string"))
+    got = sorted(tuple(r) for r in out.select("page_id", "listing_id", "artist", "title", "media", "sleeve", "comments").collect())
+    assert got == [(7, "1", "A", "B", "NM", "VG", "first"), (7, "2", "", "C", "NM", "VG", "x & y")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(x) for x in ("item_description", "strong\\b", "(?is)<p\\b")] == [1, 1, 1]
+
+
 def test_match_of_a_chain_takes_few_jobs(spark):
     """Every album wants the master that the one before it gets, so refusals follow one another; the number of jobs doesn't follow them."""
     n = 40
