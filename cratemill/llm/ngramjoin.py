@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, graph, textscan
@@ -151,6 +151,8 @@ def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+#: Of the signatures of a set that are still open so many of the smallest are looked at, so that a pair is not made again for each one shared.
+_FIRST = 8
 #: A set's tokens flip bits of a bitmap of so many bits, by their hashes.
 _BITS = 1024
 
@@ -321,6 +323,20 @@ def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, size: int, percen
     return both.select("a", "b", "na", "nb", inter.alias("i")).where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
 
 
+def open_pairs(left: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """(ka, kb) of all members of one entry of left (sig, k, n, comp) that are in different components and may be similar by size and bitmap.
+
+    A pair that shares one of its first signatures is made under the smallest of those only; few others come more than once.
+    """
+    bits = keys.select(F.col("k").alias("bk"), *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(_BITS // 64)))
+    firsts = left.groupBy(F.col("k").alias("fk")).agg(F.slice(F.array_sort(F.collect_set("sig")), 1, _FIRST).alias("first"))
+    left = common.materialize(left.join(bits, left["k"] == bits["bk"]).join(firsts, left["k"] == firsts["fk"]).drop("bk", "fk"), "rest")
+    mine, other = left.select(*(F.col(c).alias(f"x_{c}") for c in left.columns)), left.select(*(F.col(c).alias(f"y_{c}") for c in left.columns))
+    close = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_k") < F.col("y_k")) & may_be_similar("x_", "y_", percent) & (F.col("x_comp") != F.col("y_comp"))
+    close = close & F.coalesce(F.array_min(F.array_intersect("x_first", "y_first")) == F.col("x_sig"), F.lit(True))
+    return mine.join(other, close).select(F.col("x_k").alias("ka"), F.col("y_k").alias("kb"))
+
+
 def link_components(posts: DataFrame, docs: DataFrame, keys: DataFrame, size: int, percent: int, rounds: int = 2) -> DataFrame | None:
     """(node, root) over the identities of all sets that are similar to another.
 
@@ -342,22 +358,19 @@ def link_components(posts: DataFrame, docs: DataFrame, keys: DataFrame, size: in
         links = new if links is None else links.unionByName(new)
         roots = graph.components(links)
         of_k = roots.join(short, roots["node"] == short["key"]).select(F.col("short").alias("ck"), F.hex("root").alias("root"))
-        joined = posts.join(of_k, posts["k"] == of_k["ck"], "left").select("sig", "k", "n", F.coalesce("root", F.col("k").cast("string")).alias("comp"))
-        joined = common.materialize(joined, "entries")
-        sizes = joined.groupBy("sig", "comp").agg(F.count(F.lit(1)).cast("double").alias("s"))
-        open_ = sizes.groupBy(F.col("sig").alias("open")).agg((F.pow(F.sum("s"), F.lit(2)) - F.sum(F.col("s") * F.col("s"))).alias("twice"), F.count(F.lit(1)).alias("parts"), F.sum("s").alias("docs")).where("parts > 1 and docs > 2")  # of two, the round has compared one with the other
-        open_ = common.materialize(open_, "open-entries")
-        pending = (open_.agg(F.sum("twice").alias("p")).first()["p"] or 0.0) / 2
+        # an entry that is not open stays so: the next round starts from the open ones. Of two members the round has compared one with the other
+        joined = left.drop("comp").join(of_k, left["k"] == of_k["ck"], "left").select("sig", "k", "n", F.coalesce("root", F.col("k").cast("string")).alias("comp"))
+        entry = Window.partitionBy("sig")
+        open_ = joined.withColumns({"least": F.min("comp").over(entry), "most": F.max("comp").over(entry), "docs": F.count(F.lit(1)).over(entry)}).where("least <> most and docs > 2")
+        left = common.materialize(open_.select("sig", "k", "n", "comp"), "open-entries")
+        sizes = left.groupBy("sig", "comp").agg(F.count(F.lit(1)).cast("double").alias("s"))
+        pairs = sizes.groupBy("sig").agg((F.pow(F.sum("s"), F.lit(2)) - F.sum(F.col("s") * F.col("s"))).alias("twice"))
+        pending = (pairs.agg(F.sum("twice").alias("p")).first()["p"] or 0.0) / 2
         if not pending:
             return roots
-        left = joined.join(open_.select("open"), joined["sig"] == open_["open"]).drop("open")
         if pending <= 100 * entries:
             break
-    bits = keys.select(F.col("k").alias("bk"), *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(_BITS // 64)))
-    left = common.materialize(left.join(bits, left["k"] == bits["bk"]).drop("bk"), "rest")
-    mine, other = left.select(*(F.col(c).alias(f"x_{c}") for c in left.columns)), left.select(*(F.col(c).alias(f"y_{c}") for c in left.columns))
-    close = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_k") < F.col("y_k")) & may_be_similar("x_", "y_", percent) & (F.col("x_comp") != F.col("y_comp"))
-    rest = mine.join(other, close).select(F.col("x_k").alias("ka"), F.col("y_k").alias("kb")).distinct()
+    rest = open_pairs(left, keys, percent).distinct()
     new = common.materialize(verify(rest, docs, keys, size, percent), "links")
     return graph.components(links.unionByName(new))
 

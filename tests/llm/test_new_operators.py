@@ -184,6 +184,17 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch):
     assert sum(compared) < 300 * 299 / 2 / 4
 
 
+def test_ngram_join_makes_an_open_pair_once(spark):
+    """Members that share many signatures are a pair under one of them; members that share any are no less a pair."""
+    rng = random.Random(6)
+    of = {k: set(range(40)) for k in range(3)} | {k: set(rng.sample(range(100, 160), 20)) for k in range(10, 20)}
+    left = spark.createDataFrame([(s, k, 100, str(k)) for k, sigs in of.items() for s in sigs], "sig long, k long, n int, comp string")
+    keys = spark.createDataFrame([(k, [0] * 16) for k in of], "k long, bits array<long>")
+    got = [(r["ka"], r["kb"]) for r in ngramjoin.open_pairs(left, keys, 90).collect()]
+    assert set(got) == {(a, b) for a in of for b in of if a < b and of[a] & of[b]}
+    assert sum(b < 3 for _, b in got) == 3
+
+
 def test_signatures_are_shared_by_similar_sets():
     """Whatever the classes of tokens are, two similar sets that differ have a signature in common."""
     rng = np.random.default_rng(5)
