@@ -214,6 +214,14 @@ def test_low_rated_takes_any_text(spark):
     assert [r["album_id"] for r in recommend.only_low_rated(df).collect()] == ["a"]
 
 
+def test_quantiles_rank_a_bounded_number_of_rows_in_a_task(spark, monkeypatch):
+    parts, real = [], ranking.global_rank
+    monkeypatch.setattr(ranking, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(ranking, "global_rank", lambda *a, **k: (parts.append(k["partitions"]), real(*a, **k))[1])
+    assert ranking.quantiles(spark.range(1001), F.col("id"), {"m": 0.5}).first()["m"] == 500
+    assert parts == [max(21, int(spark.conf.get("spark.sql.shuffle.partitions")))]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_quantiles_are_exact(spark, seed):
     import numpy as np
