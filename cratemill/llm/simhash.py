@@ -136,7 +136,8 @@ def links(fps: DataFrame, radius: int = 3, groups: int = 6, least: int = 1000) -
         & F.expr(f"bit_count(fp ^ q) <= {radius}")
         & (F.expr(once) == F.col("choice"))
     )
-    return left.join(right, close).select(F.least("fp", "q").alias("a"), F.greatest("fp", "q").alias("b"))
+    # Spark sizes either side by the file of points, before it is exploded to cells, so it would broadcast them by that size
+    return left.hint("merge").join(right.hint("merge"), close).select(F.least("fp", "q").alias("a"), F.greatest("fp", "q").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -283,6 +283,14 @@ def test_simhash_grid_splits_crowded_cells(spark, groups):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_simhash_links_broadcast_no_cells(spark):
+    """A file of fingerprints is small beside the cells that are made of it; Spark must not size a broadcast by the file."""
+    df = common.materialize(frame(spark, [(i * 7919,) for i in range(50)], "fp long"), "points")
+    plan = simhash.links(df)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert plan.count("BroadcastHashJoin") == 2  # the hot cells, one for each side
+
+
 def test_simhash_groups_follow_the_points():
     assert [simhash.groups_for(n, 3) for n in (0, 10**6, 10**8, 10**10)] == [6, 6, 7, 9]
 
