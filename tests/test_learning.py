@@ -124,3 +124,18 @@ def test_search_resumes_and_prefers_feasible_trials(spark, monkeypatch, tmp_path
     assert L.champion(again, {"wape": limit}, 10.0, "mdape").first()["trial"] == "gbt-8-3"
     drawn = L.draw_trials(5, 1, (2, 4), (2, 3))
     assert drawn == L.draw_trials(5, 1, (2, 4), (2, 3)) and len({str(t) for t in drawn}) == 5
+
+
+def test_price_families_end_in_a_champion(spark):
+    """The family with the least error is refitted and prices every row with an interval that holds most true prices."""
+    rows = {r["family"]: r for r in registry.queries()["ML12"](spark, SF).collect()}
+    assert rows.keys() == set(L.FAMILIES)
+    best = min(rows.values(), key=lambda r: (r["mae"], r["family"]))
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert best["champion"] and best["priced"] == lines and 0.7 < best["inside"] <= 1.0 and best["width"] > 0
+    assert all(not r["champion"] and r["priced"] is None for r in rows.values() if r["family"] != best["family"])
+
+
+def test_best_family(spark):
+    tried = spark.createDataFrame([("a", None), ("c", 2.0), ("b", 2.0), ("d", 3.0)], "family string, mae double")
+    assert L.best_family(tried, "mae") == "b"
